@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions.exprs import clean_key
-from corvane.llm import cutoffs, mixing, splitting, survivorship
+from corvane.llm import cutoffs, lists, mixing, neighbours, simclusters, splitting, survivorship
 from corvane.sources.tables import table
 
 
@@ -18,6 +18,32 @@ def p1_survivors(spark: SparkSession, d: str) -> DataFrame:
     return survivorship.merge_survivors(table(spark, d, "concepts"), table(spark, d, "sources"))
 
 
+MODEL, DIM = "notion-embed-2", 128
+
+
+def _usable(spark: SparkSession, d: str) -> DataFrame:
+    return lists.model_vectors(table(spark, d, "concepts"), MODEL, DIM)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_neighbours(spark, d).select(F.col("id").alias("concept_id"), "neighbour_id")
+
+
+def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.nearest(_usable(spark, d), DIM, k=5)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    members, around = simclusters.pivot_clusters(_usable(spark, d), DIM)
+    return simclusters.isolated_cliques(members, around, least=12)
+
+
+def p5_clusters(spark: SparkSession, d: str) -> DataFrame:
+    vectors = _usable(spark, d)
+    members, _ = simclusters.pivot_clusters(vectors, DIM)
+    return simclusters.describe(members, vectors, DIM).drop("pivot")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_cutoffs(spark, d).select("source_list", "cutoff", "kept")
 
@@ -50,4 +76,4 @@ def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_texts(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_survivors, p3_found, p3_cutoffs, p7_found, p7_plan, p7_mix, p8_found, p8_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_survivors, p2_found, p2_neighbours, p3_found, p3_cutoffs, p5_found, p5_clusters, p7_found, p7_plan, p7_mix, p8_found, p8_pieces)}

@@ -33,7 +33,33 @@ k as (
 select source_list, max(cutoff) cutoff, min(kept) kept{0} from k where 100 * kept >= p * total group by 1
 """
 
+UNIT = """
+raw as (
+  select id, list_transform(embedding, lambda x: x::double) e from concepts
+  where dropped = 0 and embedding_model = 'notion-embed-2' and len(embedding) = 128
+    and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 128
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+u as (select id, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) e from raw)"""
+
+P2 = f"""
+with {UNIT},
+s as (select a.id, b.id neighbour_id, round(list_dot_product(a.e, b.e), 6) similarity from u a join u b on a.id <> b.id)
+select {{0}} from s
+qualify row_number() over (partition by id order by similarity desc, neighbour_id) <= 5
+"""
+
+P5 = f"""
+with recursive {UNIT},
+l as materialized (select a.id, b.id o from u a join u b on list_dot_product(a.e, b.e) >= 0.7),
+n as (select id, min(o) g, count(*) n, list(o order by o) around from l group by id),
+good as (select g from n group by g having count(distinct around) = 1 and count(*) = any_value(n) and count(*) >= 12)
+select g cluster_id, id concept_id from n where g in (select g from good)
+"""
+
 SQL = {
+    "p2_found": P2.format("id concept_id, neighbour_id"),
+    "p2_neighbours": P2.format("id, neighbour_id, similarity"),
+    "p5_found": P5,
     "p1_found": P1,
     "p3_found": P3.format(""),
     "p3_cutoffs": P3.format(", any_value(total) total"),
