@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions.exprs import clean_key
-from corvane.llm import cutoffs, lists, mixing, neighbours, simclusters, splitting, survivorship
+from corvane.llm import cutoffs, leaks, lists, mixing, neighbours, simclusters, splitting, survivorship
 from corvane.sources.tables import table
 
 
@@ -56,6 +56,14 @@ def p3_cutoffs(spark: SparkSession, d: str) -> DataFrame:
     return tree.cutoffs(targets, records).withColumnRenamed("source", "source_list")
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_leaks(spark, d).where(F.col("exact_words") >= leaks.WORDS).select("doc_id", "item_id")
+
+
+def p6_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaked(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_plan(spark, d).where("short").select("source")
 
@@ -76,4 +84,4 @@ def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_texts(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_survivors, p2_found, p2_neighbours, p3_found, p3_cutoffs, p5_found, p5_clusters, p7_found, p7_plan, p7_mix, p8_found, p8_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_survivors, p2_found, p2_neighbours, p3_found, p3_cutoffs, p5_found, p5_clusters, p6_found, p6_leaks, p7_found, p7_plan, p7_mix, p8_found, p8_pieces)}

@@ -56,7 +56,19 @@ good as (select g from n group by g having count(distinct around) = 1 and count(
 select g cluster_id, id concept_id from n where g in (select g from good)
 """
 
+NORMAL = "regexp_extract_all(lower(regexp_replace({0}, '<[^>]*>', ' ', 'g')), '[\\p{{L}}\\p{{N}}]+')"
+
+P6 = f"""
+with
+i as (select item_id, {NORMAL.format("item_text")} w from eval_items),
+d as (select doc_id, {NORMAL.format("text")} w from documents),
+ig as (select distinct item_id, array_to_string(w[k:k + 11], ' ') g from i, unnest(range(1, len(w) - 10)) t(k) where len(w) >= 12),
+dg as (select doc_id, array_to_string(w[k:k + 11], ' ') g from d, unnest(range(1, len(w) - 10)) t(k) where len(w) >= 12)
+select distinct doc_id, item_id from dg join ig using (g)
+"""
+
 SQL = {
+    "p6_found": P6,
     "p2_found": P2.format("id concept_id, neighbour_id"),
     "p2_neighbours": P2.format("id, neighbour_id, similarity"),
     "p5_found": P5,
