@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions.exprs import clean_key
-from corvane.llm import cutoffs, leaks, lists, mixing, neighbours, simclusters, splitting, survivorship
+from corvane.llm import cutoffs, leaks, lists, mixing, neardup, neighbours, simclusters, splitting, survivorship
 from corvane.sources.tables import table
 
 
@@ -33,6 +33,12 @@ def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.nearest(_usable(spark, d), DIM, k=5)
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    fields = [F.coalesce(c, F.lit("")) for c in ("title", "wiki_extract", "aha_explanation")]
+    texts = table(spark, d, "concepts").select("id", F.concat_ws(" ", *fields).alias("text"))
+    return neardup.near_duplicates(texts, words=3, similarity=0.5, least=20).select("group_id", F.col("id").alias("concept_id"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     members, around = simclusters.pivot_clusters(_usable(spark, d), DIM)
     return simclusters.isolated_cliques(members, around, least=12)
@@ -84,4 +90,4 @@ def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_texts(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_survivors, p2_found, p2_neighbours, p3_found, p3_cutoffs, p5_found, p5_clusters, p6_found, p6_leaks, p7_found, p7_plan, p7_mix, p8_found, p8_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_survivors, p2_found, p2_neighbours, p3_found, p3_cutoffs, p4_found, p5_found, p5_clusters, p6_found, p6_leaks, p7_found, p7_plan, p7_mix, p8_found, p8_pieces)}

@@ -67,7 +67,22 @@ dg as (select doc_id, array_to_string(w[k:k + 11], ' ') g from d, unnest(range(1
 select distinct doc_id, item_id from dg join ig using (g)
 """
 
+P4 = """
+with recursive
+t as (
+  select id, regexp_extract_all(lower(coalesce(title, '') || ' ' || coalesce(wiki_extract, '') || ' ' || coalesce(aha_explanation, '')), '[\\p{L}\\p{N}]+') w
+  from concepts),
+g as (select distinct id, array_to_string(w[k:k + 2], ' ') s from t, unnest(range(1, len(w) - 1)) r(k) where len(w) >= 20),
+n as (select id, count(*) n from g group by 1),
+o as (select a.id a, b.id b, count(*) c from g a join g b on a.s = b.s and a.id < b.id group by 1, 2),
+l as (select a, b from o join n x on x.id = a join n y on y.id = b where 2 * c >= x.n + y.n - c),
+e as (select a, b from l union select b, a from l),
+r(a, b) as (select a, b from e union select r.a, e.b from r join e on e.a = r.b)
+select least(a, min(b)) group_id, a concept_id from r group by a
+"""
+
 SQL = {
+    "p4_found": P4,
     "p6_found": P6,
     "p2_found": P2.format("id concept_id, neighbour_id"),
     "p2_neighbours": P2.format("id, neighbour_id, similarity"),
