@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from corvane.plans.oracle import ORACLE
+from corvane.plans.queries import QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
