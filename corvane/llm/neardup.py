@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions.exprs import words_text
@@ -18,6 +16,8 @@ from corvane.sources.durable import durable, release
 
 #: Token orders; a pair has to share a prefix token under each.
 ORDERS = 3
+#: Pairs of hash orders in which records that agree in both first tokens are held against one of them.
+STARS = 8
 #: Counters of the token frequency sketch. Its size doesn't depend on the corpus. It only ranks tokens, so
 #: tokens that share a counter cost time, never a result.
 SKETCH = 1 << 20
@@ -164,35 +164,28 @@ def _read(b: pa.RecordBatch):
     return size, np.concatenate([[0], np.cumsum(size)[:-1]]), _unpack(b"".join(b.column("s").to_pylist()))
 
 
-def head_rows(sets: DataFrame, sketch) -> DataFrame:
-    """(head, id, size, b0...): each record under its first token of every order."""
-    names = ["head", "id", "size", *[f"b{w}" for w in range(PARITY)]]
+def head_rows(sets: DataFrame) -> DataFrame:
+    """(head, id): each record under its first tokens of two orders by hash, for STARS pairs of orders."""
 
     def run(batches):
         for b in batches:
             if not b.num_rows:
                 continue
-            size, begin, h = _read(b)
-            pos, bits, ids = positions(h, begin, sketch.value), parity(h, begin).astype(np.int64), b.column("id").to_numpy()
-            heads = [h[np.flatnonzero(pos[k] == 0)] for k in range(ORDERS)]
-            for k in range(ORDERS):
-                new = ~np.any([heads[k] == heads[j] for j in range(k)], axis=0) if k else np.ones(len(ids), bool)
-                cols = [heads[k].astype(np.int64), ids, size, *bits.T]
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c[new])) for c in cols], names=names)
+            _, begin, h = _read(b)
+            ids = b.column("id").to_numpy()
+            for k in range(STARS):
+                first, second = (np.minimum.reduceat(mix64(h, 50 + 2 * k + j), begin) for j in (0, 1))
+                head = mix64(first ^ mix64(second, 1), 90 + k).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(head), pa.array(ids)], names=["head", "id"])
 
-    return sets.mapInArrow(run, "head long, id long, size long, " + ", ".join(f"b{w} long" for w in range(PARITY)))
+    return sets.mapInArrow(run, "head long, id long")
 
 
-def _star_pairs(rows: DataFrame, bounds: Bounds) -> DataFrame:
-    """(a, b): each record with the one of smallest id under the same head, where sizes and bitmaps leave the
-    similarity possible. At most ORDERS pairs a record, however many share a head."""
-    cols = ["id", "size", *[f"b{w}" for w in range(PARITY)]]
-    first = rows.groupBy("head").agg(F.min(F.struct(*cols)).alias("p"), F.count("*").alias("n")).where("n > 1").select("head", "p")
-    both = join_skewed(rows, first, "head").where("id <> p.id")
-    total = F.col("size") + F.col("p.size")
-    small = F.least("size", "p.size") >= F.greatest("size", "p.size") * bounds.t
-    apart = reduce(Column.__add__, [F.bit_count(F.col(f"b{w}").bitwiseXOR(F.col(f"p.b{w}"))) for w in range(PARITY)])
-    return both.where(small & (apart <= total * ((1 - bounds.t) / (1 + bounds.t)) + 1e-9)).select(F.col("p.id").alias("a"), F.col("id").alias("b")).distinct()
+def _star_pairs(rows: DataFrame) -> DataFrame:
+    """(a, b): each record with the one of smallest id under the same head: at most STARS pairs a record,
+    however many share a head."""
+    first = rows.groupBy("head").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").select("head", "a")
+    return join_skewed(rows, first, "head").where("id <> a").select("a", F.col("id").alias("b")).distinct()
 
 
 def token_rows(sets: DataFrame, sketch, buckets: int, bounds: Bounds) -> DataFrame:
@@ -348,7 +341,8 @@ def verified(pairs: DataFrame, sets: DataFrame, bounds: Bounds) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(k).filter(pa.array(keep)) for k in range(3)], names=["id", "size", "s"])
 
     few = sets.select("id", "size", "s", F.pmod(F.xxhash64("id"), F.lit(64 << 18)).alias("h")).mapInArrow(thin, "id long, size int, s binary")
-    left = pairs.join(few.select(F.col("id").alias("a"), F.col("size").alias("na"), F.col("s").alias("sa")), "a")
+    # a star's centre may be in a third of the pairs
+    left = join_skewed(pairs, few.select(F.col("id").alias("a"), F.col("size").alias("na"), F.col("s").alias("sa")), "a")
     both = left.join(few.select(F.col("id").alias("b"), F.col("size").alias("nb"), F.col("s").alias("sb")), "b")
 
     def test(batches):
@@ -367,8 +361,8 @@ def near_duplicates(texts: DataFrame, words: int = 5, similarity: float = 0.8, l
     runs. group_id: the smallest id of the group.
 
     1. Equal texts fall together to the one of smallest id by a hash; from there only that one goes on.
-    2. Stars: under each order, records with the same first token are held against the one of smallest
-       id. This joins most of a large group with a number of pairs linear in its size.
+    2. Stars: records that agree in their first tokens under two orders by hash are held against the one of
+       smallest id. This joins most of a large group with a number of pairs linear in its size.
     3. Prefix tokens of any order go to buckets by their hash; in a bucket, records of different
        components that share a token become candidates if sizes and parity bitmaps allow; a pair is kept if
        its shared tokens cover all orders. No pair of records that could be similar is left out, and no
@@ -388,7 +382,7 @@ def near_duplicates(texts: DataFrame, words: int = 5, similarity: float = 0.8, l
     tokens = sets.agg(F.sum("size")).first()[0] or 0
     sketch = spark.sparkContext.broadcast(frequency_sketch(sets))
 
-    links = durable(verified(durable(_star_pairs(durable(head_rows(sets, sketch), "heads"), bounds), "stars"), sets, bounds), "links")
+    links = durable(verified(durable(_star_pairs(durable(head_rows(sets), "heads")), "stars"), sets, bounds), "links")
     comp = durable(connected_components(links), "comp")
     known = comp.select(F.col("node").alias("id"), F.col("component").alias("comp"))
     with_comp = sets.join(known, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
