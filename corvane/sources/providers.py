@@ -76,34 +76,34 @@ def embed(texts: DataFrame, embedder: Embedder, batch: int = 96) -> DataFrame:
     return texts.select("id", "text").mapInArrow(run, "id long, embedding array<float>")
 
 
-class PageSource(DataSource):
-    """``spark.read.format("corpus_pages")`` over ``pages`` (titles joined by '|') of the provider class set in
-    ``PageSource.provider``: (title, html, error). One partition a page, so a slow or failing page holds up or
-    costs no other."""
+def page_source(provider: Pages, name: str = "corpus_pages") -> type[DataSource]:
+    """A data source to register: ``spark.read.format(name).option("pages", "A|B")`` gives (title, html, error).
+    One partition a page, so a slow or failing page holds up or costs no other."""
 
-    provider: Pages | None = None
+    class PageSource(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return name
 
-    @classmethod
-    def name(cls) -> str:
-        return "corpus_pages"
+        def schema(self) -> str:
+            return "title string, html string, error string"
 
-    def schema(self) -> str:
-        return "title string, html string, error string"
+        def reader(self, schema):
+            return _PageReader([p for p in self.options.get("pages", "").split("|") if p], provider)
 
-    def reader(self, schema):
-        return _PageReader([p for p in self.options.get("pages", "").split("|") if p], type(self).provider)
+    return PageSource
 
 
 class _PageReader(DataSourceReader):
-    def __init__(self, pages: list[str], provider: Pages | None, retries: int = 4):
+    def __init__(self, pages: list[str], provider: Pages, retries: int = 4):
         self.pages, self.provider, self.retries = pages, provider, retries
 
     def partitions(self):
         return [InputPartition(p) for p in self.pages]
 
     def read(self, partition):
-        error = "no provider"
-        for _ in range(self.retries if self.provider else 0):
+        error = None
+        for _ in range(self.retries):
             try:
                 yield partition.value, self.provider.html(partition.value), None
                 return
