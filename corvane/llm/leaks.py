@@ -16,7 +16,7 @@ Q, WORDS, EDITS = 8, 12, 2
 ITEM_BLOCK = 4_000_000
 #: Characters of documents taken at once.
 TEXT_BLOCK = 1_500_000
-FILTER_BITS = 22
+FILTER_BITS = MARK_BITS = 22
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 
 
@@ -39,6 +39,34 @@ def qgram_hashes(c: np.ndarray) -> np.ndarray:
     return h
 
 
+class Grams:
+    """Positions by hash."""
+
+    def __init__(self, h: np.ndarray, pos: np.ndarray):
+        order = np.argsort(h[pos], kind="stable")
+        self.at = pos[order]
+        self.hashes, first = np.unique(h[self.at], return_index=True)
+        self.first = np.append(first, len(pos))
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which of ``h`` occur, as which entries)."""
+        k = np.searchsorted(self.hashes, h)
+        k[k == len(self.hashes)] = 0
+        hit = np.flatnonzero(self.hashes[k] == h)
+        return hit, k[hit]
+
+    def expand(self, pos: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each position with each one of its entry."""
+        times = self.first[k + 1] - self.first[k]
+        p = np.repeat(pos, times)
+        return p, self.at[np.repeat(self.first[k], times) + np.arange(len(p)) - np.repeat(np.cumsum(times) - times, times)]
+
+
+def _longer(h: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of ``size`` >= Q characters from those of Q, which overlap."""
+    return h if size == Q else h[: Q - size] * np.uint64(_ODD[3]) + (h[size - Q :] ^ (h[size - Q :] >> np.uint64(31)))
+
+
 @dataclass
 class Items:
     """The items of a block: their texts end to end, each after a separator, and their q-grams by hash."""
@@ -49,9 +77,10 @@ class Items:
     #: by item: least characters of a run of the words asked for; q-grams a region must share
     least: np.ndarray
     need: np.ndarray
-    hashes: np.ndarray
-    first: np.ndarray
-    at: np.ndarray
+    grams: Grams
+    #: a run within the edit budget has an exact stretch of this many characters
+    seed_size: int
+    seeds: Grams
     filter: np.ndarray
 
 
@@ -74,14 +103,15 @@ def index_items(rows: list[tuple[int, str]], words: int, edits: int) -> Items |
     text = codes("\n" + "\n".join(texts) + "\n" * Q)
     start = np.cumsum([1, *[len(t) + 1 for t in texts]])
     h = qgram_hashes(text)
-    ok = np.convolve(text == 10, np.ones(Q, np.int64))[Q - 1 : Q - 1 + len(h)] == 0  # none over a separator
-    pos = np.flatnonzero(ok)
-    order = np.argsort(h[pos], kind="stable")
-    pos = pos[order]
-    hashes, first = np.unique(h[pos], return_index=True)
+    # e edits leave e + 1 exact stretches, of which one has this many characters
+    size = max(Q, (int(least.min()) - edits) // (edits + 1))
+    both = []
+    for g, n in ((h, Q), (_longer(h, size), size)):
+        inside = np.convolve(text == 10, np.ones(n, np.int64))[n - 1 : n - 1 + len(g)] == 0  # none over a separator
+        both.append(Grams(g, np.flatnonzero(inside)))
     table = np.zeros(1 << FILTER_BITS, dtype=bool)
-    table[(hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
-    return Items(np.asarray(ids), text, start, least, need, hashes, np.append(first, len(pos)), pos, table)
+    table[(both[0].hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
+    return Items(np.asarray(ids), text, start, least, need, both[0], size, both[1], table)
 
 
 def _edit_distance(a: np.ndarray, b: np.ndarray, band: int) -> int:
@@ -111,15 +141,20 @@ def _whole_words(text: np.ndarray, other: np.ndarray, a: np.ndarray, b: np.ndarr
     return np.maximum(0, inner + 1 - np.where(first | ~left, 1, 0) - np.where(last | ~right, 1, 0))
 
 
+def _mark(block: np.ndarray, item: np.ndarray, diag: np.ndarray) -> np.ndarray:
+    """A slot for a stretch of the document, an item and 16 diagonals. What shares a slot by chance is looked at
+    in vain, nothing is lost."""
+    key = (block * 1_000_003 + item).astype(np.uint64) * np.uint64(_ODD[0]) + (diag // 16).astype(np.uint64) * np.uint64(_ODD[1])
+    return ((key ^ (key >> np.uint64(32))) * np.uint64(_ODD[3]) >> np.uint64(64 - MARK_BITS)).astype(np.int64)
+
+
 def find(doc: np.ndarray, items: Items, words: int, edits: int):
     """Matches in ``doc``, documents end to end after separators: (position, item, words in the longest
     exact run, words in the best run with up to ``edits`` edits, its edits)."""
     h = qgram_hashes(doc)
     maybe = np.flatnonzero(items.filter[(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
-    at = np.searchsorted(items.hashes, h[maybe])
-    at[at == len(items.hashes)] = 0
-    hit = items.hashes[at] == h[maybe]
-    pos, at = maybe[hit], at[hit]
+    hit, at = items.grams.find(h[maybe])
+    pos = maybe[hit]
     # no region of any item can be where too few q-grams of all items are near
     window, need = int(items.least.max()) + edits - Q + 1, int(items.need.min())
     far = np.searchsorted(pos, pos + window, "left")
@@ -129,12 +164,28 @@ def find(doc: np.ndarray, items: Items, words: int, edits: int):
     np.add.at(cover, far[dense], -1)
     keep = np.cumsum(cover[:-1]) > 0
     pos, at = pos[keep], at[keep]
-    times = items.first[at + 1] - items.first[at]
-    p = np.repeat(pos, times)
-    i = items.at[np.repeat(items.first[at], times) + np.arange(len(p)) - np.repeat(np.cumsum(times) - times, times)]
-    if not len(p):
+    # a region has an exact stretch of seed_size: only q-grams near one, of its item and diagonals, go on
+    longer = _longer(h, items.seed_size)
+    seed = pos[pos < len(longer)]
+    hit, k = items.seeds.find(longer[seed])
+    sp, si = items.seeds.expand(seed[hit], k)
+    if not len(sp):
         return
+    block = window + Q
+    near = np.zeros(len(doc) // block + 3, dtype=bool)
+    marked = np.zeros(1 << MARK_BITS, dtype=bool)
+    s_item = np.searchsorted(items.start, si, "right") - 1
+    for side in (-1, 0, 1):
+        near[sp // block + 1 + side] = True
+        for e in (-edits, edits):
+            marked[_mark(sp // block + side, s_item, sp - si + e)] = True
+    some = near[pos // block + 1]
+    p, i = items.grams.expand(pos[some], at[some])
     item = np.searchsorted(items.start, i, "right") - 1
+    some = marked[_mark(p // block, item, p - i)]
+    p, i, item = p[some], i[some], item[some]
+    if not len(p):
+        return
     diag = p - i
     # overlapping bands, each 2 * (edits + 1) diagonals wide: a region's q-grams all lie in one
     ok = np.zeros(len(p), dtype=bool)
