@@ -143,6 +143,15 @@ def verified_quotes(quotes: DataFrame, evidence: DataFrame, phrase) -> DataFrame
     return hit.groupBy("id").agg(F.min(F.struct("site_order", "page_title")).alias("h")).select("id", "h.*")
 
 
+def replaced_edges(existing: DataFrame, made: DataFrame, sources: list[str]) -> DataFrame:
+    """Edges (src_id, dst_id, kind, source, weight, note) after a rebuild: those of ``sources`` are dropped, then the
+    made ones are added, the first by source, then weight, of each (src_id, dst_id, kind); kept ones win."""
+    keys, cols = ["src_id", "dst_id", "kind"], ["src_id", "dst_id", "kind", "source", "weight", "note"]
+    old = existing.where(~F.coalesce(F.col("source").isin(*sources), F.lit(False))).select(*cols)
+    new = made.groupBy(*keys).agg(F.min(F.struct("source", (-F.col("weight")).alias("w"), "note")).alias("m")).select(*keys, "m.source", (-F.col("m.w")).alias("weight"), "m.note")
+    return old.unionByName(new.join(old.select(*keys).distinct(), keys, "left_anti"))
+
+
 def nested_edges(edges: DataFrame) -> DataFrame:
     """(src, kinds: map of kind to list of {id, w}), lists heaviest first. A hub's list is one cell by nature of
     the format; queries use the flat edges."""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.sources.durable import durable
+
 #: The kinds of edge.
 KINDS = ("semantic_near", "semantic_dedup", "prerequisite_of", "specializes", "contrasts_with", "example_of", "same_phenomenon_different_frame")
 LEAST_COST = 0.001
@@ -32,24 +34,25 @@ def shortest_path(edges: DataFrame, start: int, goal: int, max_hops: int = 6, ki
 
     Each layer relaxes the frontier over the adjacency and keeps one path per node, unless an earlier
     layer reached the node as cheaply, so a layer has at most one row a node and the work is linear in the
-    edges for each hop.
+    edges for each hop. Layers are durable tables, so none is computed twice.
     """
     spark = edges.sparkSession
-    adj = adjacency(edges, kinds).withColumn("step", F.greatest(F.lit(LEAST_COST), 1 - F.col("weight"))).select("a", "b", "step")
+    full = durable(adjacency(edges, kinds), "adjacency")
+    adj = full.withColumn("step", F.greatest(F.lit(LEAST_COST), 1 - F.col("weight"))).select("a", "b", "step")
     layer = spark.range(1).select(F.lit(start).cast("long").alias("node"), F.lit(0.0).alias("cost"), F.array(F.lit(start).cast("long")).alias("path"))
     done = layer
-    if start != goal:
-        for _ in range(max_hops):
-            new = layer.join(adj, F.col("node") == F.col("a")).where(~F.array_contains("path", F.col("b"))).select(F.col("b").alias("node"), (F.col("cost") + F.col("step")).alias("cost"), F.concat("path", F.array("b")).alias("path"))
-            new = new.groupBy("node").agg(F.min(F.struct("cost", "path")).alias("m")).select("node", "m.*")
-            seen = done.groupBy("node").agg(F.min("cost").alias("known"))
-            layer = new.join(seen, "node", "left").where("known is null or cost < known").drop("known")
-            done = done.unionByName(layer)
+    for _ in range(max_hops if start != goal else 0):
+        new = layer.join(adj, F.col("node") == F.col("a")).where(~F.array_contains("path", F.col("b"))).select(F.col("b").alias("node"), (F.col("cost") + F.col("step")).alias("cost"), F.concat("path", F.array("b")).alias("path"))
+        new = new.groupBy("node").agg(F.min(F.struct("cost", "path")).alias("m")).select("node", "m.*")
+        seen = done.groupBy("node").agg(F.min("cost").alias("known"))
+        layer = durable(new.join(seen, "node", "left").where("known is null or cost < known").drop("known"), "layer")
+        if layer.isEmpty():
+            break
+        done = done.unionByName(layer)
     best = done.where(F.col("node") == goal).orderBy("cost", "path").limit(1)
     steps = best.select(F.posexplode("path").alias("step", "node"), "path", "cost")
     steps = steps.select("step", "node", F.when(F.col("step") > 0, F.try_element_at("path", F.col("step"))).alias("before"), F.round("cost", 6).alias("cost"))
-    a = adjacency(edges, kinds)
-    return steps.join(a, (F.col("before") == F.col("a")) & (F.col("node") == F.col("b")), "left").select("step", "node", F.col("weight"), F.array_join("kinds", ",").alias("kinds"), "cost")
+    return steps.join(full, (F.col("before") == F.col("a")) & (F.col("node") == F.col("b")), "left").select("step", "node", F.col("weight"), F.array_join("kinds", ",").alias("kinds"), "cost")
 
 
 def direct_edges(edges: DataFrame, a: int, b: int) -> DataFrame:

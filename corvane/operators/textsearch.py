@@ -45,10 +45,9 @@ def search(concepts: DataFrame, q: str, fuzzy: float = 0.15) -> DataFrame:
             .otherwise(0.0)
         )
 
-    hits = None
-    for w in words:
-        h = docs.select("id", "field", "boost", "len", F.explode("tokens").alias("token"), F.lit(w).alias("term")).withColumn("close", closeness(F.col("token"), w)).where("close > 0")
-        hits = h if hits is None else hits.unionByName(h)
+    tokens = docs.select("id", "field", "boost", "len", F.explode("tokens").alias("token"))
+    matches = F.array(*[F.struct(F.lit(w).alias("term"), closeness(F.col("token"), w).alias("close")) for w in words])
+    hits = tokens.select("*", F.explode(F.filter(matches, lambda m: m["close"] > 0)).alias("m")).select("id", "field", "boost", "len", "token", "m.*")
     tf = hits.groupBy("id", "field", "boost", "len", "term", "token", "close").agg(F.count("*").alias("tf"))
     df = tf.groupBy("field", "term", "token").agg(F.count("*").alias("df"))
     s = tf.join(df, ["field", "term", "token"]).join(stats, "field")
