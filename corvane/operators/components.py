@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +10,9 @@ from corvane.sources.durable import durable, release
 
 #: A node with more than 1/HEAVY of the edge ends is heavy; there are at most HEAVY of those.
 HEAVY = 64
+#: Edges (16 bytes each) that one task may finish by union-find; more are contracted in rounds until so few
+#: are left or nothing changes.
+FINISH = 200_000
 
 
 def _with_min(ends: DataFrame, count: int) -> DataFrame:
@@ -21,20 +25,47 @@ def _with_min(ends: DataFrame, count: int) -> DataFrame:
     return marked.where("hu is not null").select("u", "v", F.col("hm").alias("m")).unionByName(light), mins
 
 
+def _finish(edges: DataFrame) -> DataFrame:
+    """(node, component) of at most FINISH edges, in one task."""
+
+    def run(batches):
+        parent: dict[int, int] = {}
+
+        def root(x):
+            top = x
+            while (up := parent.setdefault(top, top)) != top:
+                top = up
+            while parent[x] != top:
+                parent[x], x = top, parent[x]
+            return top
+
+        for b in batches:
+            for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                a, z = sorted((root(u), root(v)))
+                parent[z] = a
+        nodes = list(parent)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], names=["node", "component"])
+
+    return edges.coalesce(1).mapInArrow(run, "node long, component long")
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``edges``: its first two columns are the ends (bigint). Returns (node, component), component
     being the smallest node reached; one row per node that has an edge to another one.
 
     Nulls and self-loops link nothing; repeated edges count once; direction is ignored; an empty
-    input gives no rows. Needs O(log n) rounds, each cut by a durable table. Raises if it hasn't
+    input gives no rows. Ids are read as bigint. Needs O(log n) rounds, each cut by a durable table. Raises if it hasn't
     converged after ``max_rounds``.
     """
     a, b = edges.columns[:2]
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(f"`{a}` is not null and `{b}` is not null").where("u <> v").distinct()
+    a, b = F.col(a).cast("long"), F.col(b).cast("long")
+    e = edges.where(a.isNotNull() & b.isNotNull()).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     cur = durable(e, "cc")
     seen = None
     for _ in range(max_rounds):
         n, total = cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+        if 0 < n <= FINISH:
+            return _finish(cur)
         if n == 0 or (n, total) == seen:
             return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
                 cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

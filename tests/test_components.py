@@ -1,5 +1,8 @@
 import random
 
+import pytest
+
+from corvane.operators import components
 from corvane.operators.components import connected_components
 from corvane.operators.skew import join_skewed
 
@@ -24,6 +27,12 @@ def run(spark, edges):
     return {r.node: r.component for r in rows}
 
 
+@pytest.fixture(params=[0, 200_000], autouse=True)
+def finish(request, monkeypatch):
+    """All in rounds, and small inputs in one task."""
+    monkeypatch.setattr(components, "FINISH", request.param)
+
+
 def test_chain_star_nulls_loops_and_repeats(spark):
     edges = [(i, i + 1) for i in range(40)] + [(1000, 1000 + i) for i in range(1, 50)] + [(5, 5), (None, 7), (7, None), (0, 1), (1, 0), (-9, 3000)]
     assert run(spark, edges) == expected(edges)
