@@ -121,13 +121,18 @@ def positions(h: np.ndarray, begin: np.ndarray, sketch: np.ndarray) -> np.ndarra
     """For each token of each record (records lie end to end from ``begin``) its place in the record under
     every order. All orders put rarer tokens first, by the power of two of their frequency, and differ in
     the order within a power; each is one order of all tokens, the same in every record."""
-    rare = np.log2(np.maximum(sketch[(mix64(h, 9) % np.uint64(SKETCH)).astype(np.int64)], 1)).astype(np.int8)
+    rare = np.log2(np.maximum(sketch[(mix64(h, 9) % np.uint64(SKETCH)).astype(np.int64)], 1)).astype(np.uint64)
     size = np.diff([*begin, len(h)])
-    record = np.repeat(np.arange(len(begin)), size)
+    place = np.arange(len(h)) - np.repeat(begin, size)
     out = np.empty((ORDERS, len(h)), np.int32)
-    for k in range(ORDERS):
-        order = np.lexsort((mix64(h, 20 + k), rare, record))
-        out[k, order] = np.arange(len(h)) - np.repeat(begin, size)
+    for a in range(0, len(begin), 1 << 14):  # record, power and 45 bits of the hash in one number to sort by
+        z = min(a + (1 << 14), len(begin))
+        part = slice(begin[a], begin[z] if z < len(begin) else len(h))
+        head = (np.repeat(np.arange(z - a, dtype=np.uint64), size[a:z]) << np.uint64(50)) | (rare[part] << np.uint64(45))
+        for k in range(ORDERS):
+            # stable: equal bits keep the order of the tokens' own hashes, which is the same in every record
+            order = np.argsort(head | (mix64(h[part], 20 + k) >> np.uint64(19)), kind="stable")
+            out[k, part][order] = place[part]
     return out
 
 
