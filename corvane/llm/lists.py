@@ -92,19 +92,28 @@ def fit_centroids(x: np.ndarray, lists: int, seed: int = 7) -> np.ndarray:
 @dataclass
 class Probing:
     """Which lists a row probes besides its own: those whose centroid is within ``delta`` of the best or at
-    least ``floor`` similar, at most ``most`` of them, nearest first (None: all of them)."""
+    least ``floor`` similar, at most ``most`` of them, nearest first (None: all of them). If these hold under
+    ``least`` rows, further ones, nearest first, until they hold as many."""
 
     delta: float
     floor: float
     most: int | None
+    least: int = 0
 
-    def __call__(self, sim: np.ndarray) -> np.ndarray:
+    def __call__(self, sim: np.ndarray, n: np.ndarray | None = None) -> np.ndarray:
         mask = (sim >= sim.max(axis=1, keepdims=True) - self.delta) | (sim >= self.floor)
         if self.most is not None and self.most < sim.shape[1]:
             many = np.flatnonzero(mask.sum(axis=1) > self.most)
             if len(many):
                 kth = -np.partition(-sim[many], self.most - 1, axis=1)[:, self.most - 1]
                 mask[many] &= sim[many] >= kth[:, None]
+        if n is not None and self.least:
+            poor = np.flatnonzero(mask @ n < min(self.least, n.sum()))
+            order = np.argsort(-sim[poor], axis=1, kind="stable")
+            before = np.cumsum(n[order], axis=1) - n[order]
+            more = np.zeros((len(poor), sim.shape[1]), dtype=bool)
+            np.put_along_axis(more, order, before < self.least, axis=1)
+            mask[poor] |= more
         return mask
 
 
@@ -113,7 +122,8 @@ class Index:
     centroids: np.ndarray
     dim: int
     probing: Probing
-    #: by list: its blocks, its splits, and its first unit; by unit: its part
+    #: by list: its rows, its blocks, its splits, and its first unit; by unit: its part
+    rows: np.ndarray
     blocks: np.ndarray
     splits: np.ndarray
     first: np.ndarray
@@ -180,7 +190,7 @@ def plan(candidates: DataFrame, queries: DataFrame | None, centroids: np.ndarray
                 p, cost_now, rows_now = p + 1, 0.0, 0.0
             part[u] = p
             cost_now, rows_now = cost_now + cost[lst], rows_now + rows[lst]
-    return Index(centroids, dim, probing, blocks, splits, first, part, p + 1)
+    return Index(centroids, dim, probing, n, blocks, splits, first, part, p + 1)
 
 
 def _expand(rows: np.ndarray, lists: np.ndarray, fixed: np.ndarray, index: Index, by_block: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -211,7 +221,7 @@ def route(vectors: DataFrame, index: Index, candidates: bool, queries: bool) ->
                 r, u = _expand(np.arange(len(ids)), home, (h % index.blocks[home].astype(np.uint64)).astype(np.int64), index, True)
                 row, unt, role = [r], [u], [np.zeros(len(r), np.int8)]
             if queries:
-                r, lst = np.nonzero(index.probing(sim))
+                r, lst = np.nonzero(index.probing(sim, index.rows))
                 r, u = _expand(r, lst, (h[r] % index.splits[lst].astype(np.uint64)).astype(np.int64), index, False)
                 row, unt, role = [*row, r], [*unt, u], [*role, np.ones(len(r), np.int8)]
             row, unt, role = map(np.concatenate, (row, unt, role))

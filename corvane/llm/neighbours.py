@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -10,8 +12,9 @@ from pyspark.sql import functions as F
 from corvane.llm import lists
 from corvane.llm.lists import Probing
 
-#: Lists probed: within 0.2 of the nearest centroid, 32 at most. Measured recall: see the README.
-PROBING = Probing(delta=0.2, floor=2.0, most=32)
+#: Lists probed: within 0.2 of the nearest centroid, 32 at most, but as many as hold 16 rows. Measured recall:
+#: see the README.
+PROBING = Probing(delta=0.2, floor=2.0, most=32, least=16)
 #: Dimensions known after each column block, as parts of all.
 COLUMN_BLOCKS = (0.125, 0.25, 0.5, 1.0)
 #: The test's constant: a candidate is abandoned if its distance, estimated from the first d of D rotated
@@ -144,6 +147,7 @@ def nearest(vectors: DataFrame, dim: int, k: int = 5, probing: Probing = PROBING
     are neighbours like any other; with under k + 1 rows there are fewer neighbours; an empty table gives
     no rows. ``id`` has to be unique and not null. Other columns are ignored.
     """
+    probing = replace(probing, least=max(probing.least, k + SPARE + 1))
     index = lists.plan(vectors, None, lists.fit(vectors, dim), dim, probing)
 
     def run(batches):
