@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions.exprs import clean_key
 from corvane.llm import cutoffs, leaks, lists, mixing, neardup, neighbours, simclusters, splitting, survivorship
+from corvane.operators import cluster
 from corvane.sources.tables import table
 
 
@@ -45,9 +46,13 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_clusters(spark: SparkSession, d: str) -> DataFrame:
-    vectors = _usable(spark, d)
+    """Clusters of at least 12 with size, representatives and top terms; the rest stays outside."""
+    vectors, concepts = _usable(spark, d), table(spark, d, "concepts")
     members, _ = simclusters.pivot_clusters(vectors, DIM)
-    return simclusters.describe(members, vectors, DIM).drop("pivot")
+    texts = concepts.select("id", F.concat_ws(" ", "title", "one_liner").alias("text")).join(members, "id").select(F.col("pivot").alias("cluster"), "id", "text")
+    terms = cluster.top_terms(texts).groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda t: t["term"]).alias("top_terms"))
+    found = simclusters.describe(members, vectors, DIM).where(F.col("size") >= 12)
+    return found.join(terms.withColumnRenamed("cluster", "pivot"), "pivot", "left").drop("pivot")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
