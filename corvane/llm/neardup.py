@@ -16,7 +16,7 @@ from corvane.sources.durable import durable, release
 
 #: Token orders; a pair has to share a prefix token under each.
 ORDERS = 3
-#: Pairs of hash orders in which records that agree in both first tokens are held against one of them.
+#: Sets of three hash orders; records that agree in the first tokens of all three are held against one of them.
 STARS = 8
 #: Counters of the token frequency sketch. Its size doesn't depend on the corpus. It only ranks tokens, so
 #: tokens that share a counter cost time, never a result.
@@ -73,15 +73,13 @@ def shingle_sets(texts: DataFrame, words: int, least: int) -> DataFrame:
     names = ["id", "size", "s"]
 
     def run(batches):
-        for b in batches:
-            for k in range(0, b.num_rows, 1000):
-                part = b.slice(k, 1000)
-                r, h, _ = shingles(part.column(1).to_pylist(), words, least)
-                own, begin = np.unique(r, return_index=True)
-                sizes = np.diff([*begin, len(r)])
-                raw = _pack(h)
-                cut = [*(begin * HASH_BYTES), len(raw)]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(own)), pa.array(sizes, pa.int32()), pa.array([raw[a:z] for a, z in zip(cut, cut[1:])], pa.binary())], names=names)
+        for b in _slices(batches, 1000):
+            r, h, _ = shingles(b.column(1).to_pylist(), words, least)
+            own, begin = np.unique(r, return_index=True)
+            sizes = np.diff([*begin, len(r)])
+            raw = _pack(h)
+            cut = [*(begin * HASH_BYTES), len(raw)]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(own)), pa.array(sizes, pa.int32()), pa.array([raw[a:z] for a, z in zip(cut, cut[1:])], pa.binary())], names=names)
 
     return texts.select("id", "t").mapInArrow(run, "id long, size int, s binary")
 
@@ -164,18 +162,23 @@ class Bounds:
         return (n - np.ceil(self.t * n - 1e-9) + 1).astype(np.int64)
 
 
+def _slices(batches, rows: int = 2000):
+    """Batches small enough that a task's arrays stay small."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+
+
 def _read(b: pa.RecordBatch):
     size = b.column("size").to_numpy().astype(np.int64)
     return size, np.concatenate([[0], np.cumsum(size)[:-1]]), _unpack(b"".join(b.column("s").to_pylist()))
 
 
 def head_rows(sets: DataFrame) -> DataFrame:
-    """(head, id): each record under its first tokens of two orders by hash, for STARS pairs of orders."""
+    """(head, id): each record under its first tokens of three orders by hash, for STARS sets of orders."""
 
     def run(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in _slices(batches):
             _, begin, h = _read(b)
             ids = b.column("id").to_numpy()
             for k in range(STARS):
@@ -199,9 +202,7 @@ def token_rows(sets: DataFrame, sketch, buckets: int, bounds: Bounds) -> DataFra
     names = ["bucket", "id", "comp", "size", "bits", "tokens"]
 
     def run(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in _slices(batches):
             size, begin, h = _read(b)
             pos, bits = positions(h, begin, sketch.value), parity(h, begin)
             rec = np.repeat(np.arange(len(size)), size)
@@ -366,7 +367,7 @@ def near_duplicates(texts: DataFrame, words: int = 5, similarity: float = 0.8, l
     runs. group_id: the smallest id of the group.
 
     1. Equal texts fall together to the one of smallest id by a hash; from there only that one goes on.
-    2. Stars: records that agree in their first tokens under two orders by hash are held against the one of
+    2. Stars: records that agree in their first tokens under three orders by hash are held against the one of
        smallest id. This joins most of a large group with a number of pairs linear in its size.
     3. Prefix tokens of any order go to buckets by their hash; in a bucket, records of different
        components that share a token become candidates if sizes and parity bitmaps allow; a pair is kept if
