@@ -182,8 +182,8 @@ def head_rows(sets: DataFrame) -> DataFrame:
             _, begin, h = _read(b)
             ids = b.column("id").to_numpy()
             for k in range(STARS):
-                first, second = (np.minimum.reduceat(mix64(h, 50 + 2 * k + j), begin) for j in (0, 1))
-                head = mix64(first ^ mix64(second, 1), 90 + k).astype(np.int64)
+                first, second, third = (np.minimum.reduceat(mix64(h, 50 + 3 * k + j), begin) for j in range(3))
+                head = mix64(first ^ mix64(second, 1) ^ mix64(third, 2), 90 + k).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(head), pa.array(ids)], names=["head", "id"])
 
     return sets.mapInArrow(run, "head long, id long")
