@@ -18,6 +18,8 @@ from corvane.operators.facets import Filters, apply
 
 #: Query vectors sent to the tasks at once.
 BLOCK = 4096
+#: Rows held against them at once; at most 8,192.
+STEP = 1024
 
 
 def fetch(vectors: DataFrame, ids: list[int], dim: int) -> tuple[list[int], np.ndarray]:
@@ -68,13 +70,18 @@ def nearest(queries: DataFrame, vectors: DataFrame, dim: int, k: int, keep_self:
             best_s, best_i = np.full((len(qid), 0), -9.0), np.zeros((len(qid), 0), np.int64)
             for b in batches:
                 ids, x = parse(b.column(0), b.column(1), dim)
-                for a in range(0, len(ids), 4096):
-                    i = ids[a : a + 4096]
-                    s = np.round(q @ unit(x[a : a + 4096]).T, 6)
+                order = np.argsort(ids, kind="stable")
+                ids, x = ids[order], x[order]
+                for a in range(0, len(ids), STEP):
+                    i = np.broadcast_to(ids[a : a + STEP], (len(qid), len(ids[a : a + STEP])))
+                    s = np.round(q @ unit(x[a : a + STEP]).T, 6)
                     if not keep_self:
-                        s[qid[:, None] == i[None, :]] = -9.0
-                    best_s = np.concatenate([best_s, s], axis=1)
-                    best_i = np.concatenate([best_i, np.broadcast_to(i, s.shape)], axis=1)
+                        s[qid[:, None] == i] = -9.0
+                    if s.shape[1] > k:  # the k best by similarity, then by id, as one number
+                        key = (np.rint(s * 1e6).astype(np.int64) << 13) - np.arange(s.shape[1])
+                        top = np.argpartition(-key, k - 1, axis=1)[:, :k]
+                        s, i = np.take_along_axis(s, top, 1), np.take_along_axis(i, top, 1)
+                    best_s, best_i = np.concatenate([best_s, s], axis=1), np.concatenate([best_i, i], axis=1)
                     order = np.lexsort((best_i, -best_s), axis=1)[:, :k]
                     best_s, best_i = np.take_along_axis(best_s, order, 1), np.take_along_axis(best_i, order, 1)
             r, c = np.nonzero(best_s > -9.0)

@@ -46,7 +46,7 @@ def test_looks_like_quote(spark):
     assert got == [True, False, False, False, None]
 
 
-HTML = """<div class="mw-parser-output"><div class="navbox"><ul><li><a href="/wiki/Nav">n</a></li></ul></div>
+HTML = """<div class="mw-parser-output"><div><div class="navbox"><ul><li><a href="/wiki/Nav">n</a></li></ul></div></div>
 <ul><li><a href="/wiki/First_entry#x">one</a> <a href="/wiki/Not_this">no</a><ul><li><a href="/wiki/Nested">in</a></li></ul></li><li><a href="/wiki/List_of_x">l</a></li>
 <li><a class="external" href="/wiki/Ext">e</a></li><li><a href="/wiki/Help:Me">h</a></li></ul>
 <table class="wikitable"><tr><th>H</th></tr><tr><td><a href="/wiki/C%2B%2B">c</a></td><td><a href="/wiki/Second_cell">s</a></td></tr></table>
