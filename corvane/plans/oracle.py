@@ -183,7 +183,6 @@ select id, (first(site_order order by site_order, page_title)) site_order, first
   and len(affect) between 1 and 3 and len(list_filter(affect, lambda x: x is null or x not in ({_quoted(AFFECTS)}))) = 0
   and obscurity between 1 and 5 and surprise_score between 1 and 10
   and coalesce(len(try_cast(prerequisites_raw as json)::varchar[]), 0) <= 5, false) valid from concepts""",
-    "wikitext_quotes": None,
     "to_embed": "select id from concepts where dropped = 0 and enriched_at is not null and (embedding is null or embedding_model is distinct from 'notion-embed-2')",
     "to_enrich": "select id from concepts where enriched_at is null",
     "advisor_replies": f"with {KEPT} select 'About ' || slug framing, slug, 'w' why, title from kept where slug is not null",
@@ -191,4 +190,7 @@ select id, (first(site_order order by site_order, page_title)) site_order, first
     "updated_concepts": "with r as (select distinct unnest(representatives) id from clusters) select id, case when id in (select id from r where id is not null) then coalesce(upper(title), title) else title end title, form from concepts",
     "latest_cache": "select slug \"key\", max(reacted_at) created_at, first(signal order by reacted_at desc, signal desc) \"value\" from reactions where slug is not null and reacted_at is not null and signal is not null group by 1",
 }
-ORACLE = {k: v for k, v in ORACLE.items() if v}
+ORACLE["link_extract"] = f"select id, 0 as position, title, 'x' anchor from ({ORACLE['link_titles']}) where title is not null"
+ORACLE["cache_split"] = f"""with v as ({ORACLE['enrichment_valid']}),
+c as (select content_hash, first(v.valid order by id) ok from concepts join v using (id) where content_hash is not null group by 1)
+select id, case when ok then 'hit' else 'miss' end state from concepts join c using (content_hash)"""
