@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from corvane.llm import lists
 from corvane.llm.lists import Probing
+from corvane.operators.skew import join_skewed
+from corvane.sources.durable import durable
 
 #: Lists probed: within 0.2 of the nearest centroid, 32 at most, but as many as hold 16 rows. Measured recall:
 #: see the README.
@@ -143,10 +145,33 @@ def nearest(vectors: DataFrame, dim: int, k: int = 5, probing: Probing = PROBING
     embedding of ``dim`` floats), by cosine rounded to 6 decimals, ties to the smaller id.
 
     Every row is indexed and is a query; the loss comes only from lists not probed and candidates wrongly
-    abandoned. Rows with a null, NaN or infinite number and all-zero ones take no part; copies of a vector
+    abandoned. Copies of a vector beyond k + 1 are told by a hash, so a group of copies of any size costs what
+    k + 1 rows cost. Rows with a null, NaN or infinite number and all-zero ones take no part; copies of a vector
     are neighbours like any other; with under k + 1 rows there are fewer neighbours; an empty table gives
     no rows. ``id`` has to be unique and not null. Other columns are ignored.
     """
+    key = F.concat_ws("_", F.xxhash64("embedding"), F.xxhash64("embedding", F.lit(1))).alias("k")
+    keyed = vectors.select("id", key)
+    big = durable(keyed.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("first")).where(F.col("n") > k + 1), "copies")
+    if big.isEmpty():
+        return _nearest(vectors, dim, k, probing)
+    # of more copies than can be anyone's neighbours only those of smallest id go on; the rest have the
+    # neighbours of the first one, and the first one
+    copies = join_skewed(keyed, big.select("k"), "k", "left_semi")
+    by_id = Window.partitionBy("k").orderBy("id")
+    stay = durable(copies.withColumn("r", F.row_number().over(by_id)).where(F.col("r") <= k + 1).select("id"), "stay")
+    rest = durable(copies.join(stay, "id", "left_anti").select("id", "k"), "rest")
+    found = durable(_nearest(vectors.join(rest, "id", "left_anti"), dim, k, probing), "found")
+    own = big.select("k", F.col("first").alias("id"))
+    entry = lambda s, i: F.struct((-s).alias("s"), i.alias("i"))
+    near = found.join(own, "id").select("k", entry(F.col("similarity"), F.col("neighbour_id")).alias("e"))
+    near = near.unionByName(found.join(own, "id").select("k", entry(F.lit(1.0), F.col("id")).alias("e")).distinct())
+    near = near.groupBy("k").agg(F.slice(F.array_sort(F.collect_list("e")), 1, k).alias("l"))  # k + 1 entries each
+    more = join_skewed(rest, near, "k").select("id", F.explode("l").alias("e"))
+    return found.unionByName(more.select("id", F.col("e.i").alias("neighbour_id"), (-F.col("e.s")).alias("similarity")))
+
+
+def _nearest(vectors: DataFrame, dim: int, k: int, probing: Probing) -> DataFrame:
     probing = replace(probing, least=max(probing.least, k + SPARE + 1))
     index = lists.plan(vectors, None, lists.fit(vectors, dim), dim, probing)
 
