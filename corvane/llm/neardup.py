@@ -388,7 +388,10 @@ def near_duplicates(texts: DataFrame, words: int = 5, similarity: float = 0.8, l
     tokens = sets.agg(F.sum("size")).first()[0] or 0
     sketch = spark.sparkContext.broadcast(frequency_sketch(sets))
 
-    links = durable(verified(durable(_star_pairs(durable(head_rows(sets), "heads")), "stars"), sets, bounds), "links")
+    heads = durable(head_rows(sets), "heads")
+    stars = durable(_star_pairs(heads), "stars")
+    links = durable(verified(stars, sets, bounds), "links")
+    release(heads, stars)
     comp = durable(connected_components(links), "comp")
     known = comp.select(F.col("node").alias("id"), F.col("component").alias("comp"))
     with_comp = sets.join(known, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
