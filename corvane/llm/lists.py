@@ -116,12 +116,45 @@ class Probing:
             mask[poor] |= more
         return mask
 
+    def lists(self, k: int) -> int:
+        return k
+
+    def home(self, sim: np.ndarray) -> np.ndarray:
+        return sim.argmax(axis=1)
+
+
+@dataclass
+class Covering:
+    """Finds every row at least ``threshold`` similar. A row within ``tight`` of its nearest centroid is in that
+    one's list, any other in one more list of loose rows, after the others. A row similar to a member of a
+    list is, by the triangle inequality of angles, within arccos threshold + arccos tight of its centroid,
+    so a row probes all such lists. The loose list is probed by loose rows, and by all if ``everyone``; else
+    who counts has to count a loose query for its tight candidates, too."""
+
+    threshold: float
+    everyone: bool = False
+    tight: float = 0.9
+
+    def __post_init__(self):
+        widest = np.arccos(self.threshold) + np.arccos(self.tight)
+        self.floor = float(np.cos(min(widest, np.pi))) - 1e-4  # more than single precision is off
+
+    def lists(self, k: int) -> int:
+        return k + 1
+
+    def home(self, sim: np.ndarray) -> np.ndarray:
+        return np.where(sim.max(axis=1) >= self.tight, sim.argmax(axis=1), sim.shape[1])
+
+    def __call__(self, sim: np.ndarray, n: np.ndarray | None = None) -> np.ndarray:
+        loose = (self.home(sim) == sim.shape[1]) | self.everyone
+        return np.concatenate([sim >= self.floor, loose[:, None]], axis=1)
+
 
 @dataclass
 class Index:
     centroids: np.ndarray
     dim: int
-    probing: Probing
+    probing: Probing | Covering
     #: by list: its rows, its blocks, its splits, and its first unit; by unit: its part
     rows: np.ndarray
     blocks: np.ndarray
@@ -144,10 +177,10 @@ def fit(vectors: DataFrame, dim: int, seed: int = 7) -> np.ndarray:
     return fit_centroids(unit(x[np.argsort(ids)]), lists, seed)
 
 
-def plan(candidates: DataFrame, queries: DataFrame | None, centroids: np.ndarray, dim: int, probing: Probing) -> Index:
-    """Counts candidates and probes by list (at most MAX_LISTS rows come back) and packs the units.
+def plan(candidates: DataFrame, queries: DataFrame | None, centroids: np.ndarray, dim: int, probing: Probing | Covering) -> Index:
+    """Counts candidates and probes by list (at most MAX_LISTS + 1 rows come back) and packs the units.
     ``queries`` None: the candidates are the queries."""
-    k = len(centroids)
+    k = probing.lists(len(centroids))
 
     def counts(as_candidates: bool, as_queries: bool):
         def run(batches):
@@ -156,7 +189,7 @@ def plan(candidates: DataFrame, queries: DataFrame | None, centroids: np.ndarray
                 _, x = parse(b.column(0), b.column(1), dim)
                 if len(x):
                     sim = unit(x) @ centroids.T
-                    n += as_candidates * np.bincount(sim.argmax(axis=1), minlength=k)
+                    n += as_candidates * np.bincount(probing.home(sim), minlength=k)
                     q += as_queries * probing(sim).sum(axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(k)), pa.array(n), pa.array(q)], names=["list", "n", "q"])
 
@@ -173,13 +206,14 @@ def plan(candidates: DataFrame, queries: DataFrame | None, centroids: np.ndarray
     rows = n / blocks + q / splits
     cost = (n / blocks) * (q / splits) + 50 * rows
     # a walk from list to list, each time to the most similar one left, puts similar lists into one part
-    left, order, at = np.ones(k, dtype=bool), [], int(n.argmax())
+    left, order, at = np.ones(len(centroids), dtype=bool), [], int(n[: len(centroids)].argmax())
     while True:
         order.append(at)
         left[at] = False
         if not left.any():
             break
         at = int(np.where(left, centroids @ centroids[at], -2).argmax())
+    order.extend(range(len(centroids), k))
     conf = candidates.sparkSession.conf
     want = max(int(conf.get("spark.sql.shuffle.partitions")), int(rows.dot(blocks * splits) // 20000))
     share = cost.dot(blocks * splits) / want
@@ -204,9 +238,9 @@ def _expand(rows: np.ndarray, lists: np.ndarray, fixed: np.ndarray, index: Index
 
 
 def route(vectors: DataFrame, index: Index, candidates: bool, queries: bool) -> DataFrame:
-    """(part, id, v, as_candidate, as_query): each vector once for each part, with the units in which it is
-    a candidate and those in which it is a query. Partitioned by part."""
-    schema = "part int, id long, v binary, as_candidate array<int>, as_query array<int>"
+    """(part, id, v, loose, as_candidate, as_query): each vector once for each part, with the units in which
+    it is a candidate and those in which it is a query. Partitioned by part."""
+    schema = "part int, id long, v binary, loose boolean, as_candidate array<int>, as_query array<int>"
 
     def run(batches):
         for b in batches:
@@ -215,9 +249,10 @@ def route(vectors: DataFrame, index: Index, candidates: bool, queries: bool) ->
                 continue
             sim = unit(x) @ index.centroids.T
             h = mix64(ids, 1) >> np.uint64(1)
+            home = index.probing.home(sim)
+            loose = home == len(index.centroids)
             row, unt, role = [], [], []
             if candidates:
-                home = sim.argmax(axis=1)
                 r, u = _expand(np.arange(len(ids)), home, (h % index.blocks[home].astype(np.uint64)).astype(np.int64), index, True)
                 row, unt, role = [r], [u], [np.zeros(len(r), np.int8)]
             if queries:
@@ -239,7 +274,7 @@ def route(vectors: DataFrame, index: Index, candidates: bool, queries: bool) ->
             raw = x[row[start]].tobytes()
             width = 4 * index.dim
             v = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer((np.arange(len(start) + 1, dtype=np.int32) * width).tobytes()), pa.py_buffer(raw)])
-            out = pa.RecordBatch.from_arrays([pa.array(part[start].astype(np.int32)), pa.array(ids[row[start]]), v, *lists], names=["part", "id", "v", "as_candidate", "as_query"])
+            out = pa.RecordBatch.from_arrays([pa.array(part[start].astype(np.int32)), pa.array(ids[row[start]]), v, pa.array(loose[row[start]]), *lists], names=["part", "id", "v", "loose", "as_candidate", "as_query"])
             for k in range(0, out.num_rows, 8192):
                 yield out.slice(k, 8192)
 
@@ -252,6 +287,8 @@ class Part:
 
     ids: np.ndarray
     x: np.ndarray
+    #: which rows are in no centroid's list (see Covering)
+    loose: np.ndarray
     #: by unit: rows that are its candidates, rows that are its queries
     units: list[tuple[np.ndarray, np.ndarray]]
 
@@ -274,4 +311,4 @@ def read_part(batches, dim: int) -> Part | None:
     (cr, cu), (qr, qu) = both
     for u in np.intersect1d(cu, qu):
         units.append((cr[np.searchsorted(cu, u) : np.searchsorted(cu, u, "right")], qr[np.searchsorted(qu, u) : np.searchsorted(qu, u, "right")]))
-    return Part(ids, x, units)
+    return Part(ids, x, t.column("loose").to_numpy(), units)

@@ -8,12 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm import lists
-from corvane.llm.lists import Probing
+from corvane.llm.lists import Covering
 from corvane.operators.skew import join_skewed
 from corvane.sources.durable import durable, release
 
-#: All lists whose centroid is within 0.2 of the nearest or at least 0.45 similar; no cap.
-PROBING = Probing(delta=0.2, floor=0.45, most=None)
 THRESHOLD = 0.7
 QUERY_TILE, CANDIDATE_TILE, PIECES = 512, 4096, 5
 NEAR = 4e-6
@@ -48,7 +46,9 @@ def _tiles(x64, x, cand, quer, threshold):
 def neighbourhoods(vectors: DataFrame, index: lists.Index, threshold: float) -> DataFrame:
     """(id, n, pivot, pivot_rank, h0..h4): of each row's closed neighbourhood its size, its member first in
     hash order and the sum of its members' hashes. Links are summed where they are found and never
-    leave the task, so a cluster of m rows costs m rows of output, not m * m."""
+    leave the task, so a cluster of m rows costs m rows of output, not m * m. ``index`` is planned by a
+    ``Covering`` of the threshold, so no link is missed: loose rows probe the lists of tight ones, not the
+    reverse, and such a link counts for both ends."""
     names = ["id", "n", "pivot", "pivot_rank", *[f"h{p}" for p in range(PIECES)]]
 
     def run(batches):
@@ -58,14 +58,21 @@ def neighbourhoods(vectors: DataFrame, index: lists.Index, threshold: float) ->
         x, ranks, pieces = lists.unit(part.x), _rank(part.ids), _pieces(part.ids)
         ones = np.concatenate([np.ones((len(x), 1), np.float32), pieces], axis=1)
         sums, best = np.zeros((len(x), 1 + PIECES), np.int64), np.full(len(x), -1)
+
+        def add(rows, others, hit):
+            sums[rows] += (hit.astype(np.float32) @ ones[others]).astype(np.int64)
+            some = hit.any(axis=1)
+            first, own = others[hit[some].argmax(axis=1)], rows[some]
+            better = (best[own] < 0) | (ranks[first] < ranks[best[own]])
+            best[own[better]] = first[better]
+
         for cand, quer in part.units:
-            cand = cand[np.argsort(ranks[cand], kind="stable")]
+            cand, quer = (r[np.argsort(ranks[r], kind="stable")] for r in (cand, quer))
             for q, c, _, hit in _tiles(lambda r: lists.unit64(part.x[r]), x, cand, quer, threshold):
-                sums[q] += (hit.astype(np.float32) @ ones[c]).astype(np.int64)
-                some = hit.any(axis=1)
-                first, own = c[hit[some].argmax(axis=1)], q[some]
-                better = (best[own] < 0) | (ranks[first] < ranks[best[own]])
-                best[own[better]] = first[better]
+                add(q, c, hit)
+                back = part.loose[q]
+                if back.any() and not part.loose[c[0]]:
+                    add(c, q[back], hit[back].T)
         got = np.flatnonzero(best >= 0)
         cols = [part.ids[got], sums[got, 0], part.ids[best[got]], ranks[best[got]], *sums[got, 1:].T]
         yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], names=names)
@@ -78,7 +85,7 @@ def neighbourhoods(vectors: DataFrame, index: lists.Index, threshold: float) ->
 def _to_pivots(vectors: DataFrame, pivots: DataFrame, centroids, dim: int, threshold: float, closest: bool) -> DataFrame:
     """(id, pivot): each of ``vectors`` with the similar one of ``pivots`` that is closest, or first in hash
     order; rows without a similar pivot are left out."""
-    index = lists.plan(pivots, vectors, centroids, dim, PROBING)
+    index = lists.plan(pivots, vectors, centroids, dim, Covering(threshold, everyone=True))
     both = lists.route(pivots, index, True, False).unionByName(lists.route(vectors, index, False, True)).repartitionById(index.parts, F.col("part"))
 
     def run(batches):
@@ -116,7 +123,7 @@ def pivot_clusters(vectors: DataFrame, dim: int, threshold: float = THRESHOLD, r
     centroids = lists.fit(vectors, dim)
     left, done, first = vectors, None, None
     while True:
-        around = durable(neighbourhoods(left, lists.plan(left, None, centroids, dim, PROBING), threshold), "around")
+        around = durable(neighbourhoods(left, lists.plan(left, None, centroids, dim, Covering(threshold)), threshold), "around")
         first = first or around
         pivots = around.where("id = pivot").select("pivot")
         direct = join_skewed(around.select("id", "pivot"), pivots, "pivot", "left_semi").select("id", "pivot")

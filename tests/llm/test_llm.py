@@ -155,6 +155,29 @@ def test_pivot_clusters_when_neighbours_are_taken(spark):
     assert empty[0].count() == 0 and simclusters.isolated_cliques(*empty, 2).count() == 0
 
 
+def test_links_are_found_from_both_ends(spark, monkeypatch):
+    """A row between two far groups is linked to a row of each; whatever the centroids, no link is missed."""
+    r = np.random.default_rng(3)
+    axis = np.eye(24)
+    rows = [axis[g] + 0.02 * r.normal(size=24) for g in (0, 1) for _ in range(14)]
+    rows[0], rows[14] = axis[0], axis[1]
+    rows += [axis[0] + axis[1]]
+    rows += [axis[2] + axis[k] * w for k in range(3, 20) for w in (0.5, 0.9, -1.1)]
+    x = np.asarray(rows, np.float32)
+    u = lists.unit64(x)
+    near = u @ u.T >= 0.7
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], V).repartition(3)
+    monkeypatch.setattr(lists, "fit", lambda *_: np.eye(3, 24, dtype=np.float32))
+    members, around = simclusters.pivot_clusters(df, 24)
+    assert {r.id: r.n for r in around.collect()} == dict(enumerate(near.sum(axis=1).tolist()))
+    assert near[28, 0] and near[28, 14] and simclusters.isolated_cliques(members, around, 12).count() == 0
+    pivot = {r.id: r.pivot for r in members.collect()}
+    pivots = sorted(set(pivot.values()))
+    s = u @ u.T
+    assert not near[np.ix_(pivots, pivots)][~np.eye(len(pivots), dtype=bool)].any()
+    assert all(s[i, p] >= max(s[i, q] for q in pivots) - 1e-6 for i, p in pivot.items())
+
+
 # 4. near-duplicates
 
 
