@@ -114,19 +114,69 @@ def index_items(rows: list[tuple[int, str]], words: int, edits: int) -> Items |
     return Items(np.asarray(ids), text, start, least, need, both[0], size, both[1], table)
 
 
-def _edit_distance(a: np.ndarray, b: np.ndarray, band: int) -> int:
-    """Edits between two short gaps, by alignment within ``band`` diagonals; band + 1 if there are more."""
-    if abs(len(a) - len(b)) > band:
-        return band + 1
-    big = band + 1
-    row = {j: j for j in range(min(len(b), band) + 1)}
-    for i in range(1, len(a) + 1):
-        new = {}
-        for j in range(max(0, i - band), min(len(b), i + band) + 1):
-            v = i if j == 0 else min(row.get(j - 1, big) + (a[i - 1] != b[j - 1]), row.get(j, big) + 1, new.get(j - 1, big) + 1)
-            new[j] = min(v, big)
-        row = new
-    return row.get(len(b), big)
+def _ends(doc: np.ndarray, text: np.ndarray, x: np.ndarray, y: np.ndarray, step: int, edits: int) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(edits, document positions, item positions, which are valid) for each number of edits and diagonal: how far an
+    alignment that goes from doc[x], text[y] in the direction ``step`` comes within the edits, back to where a
+    word of both ends. Cells within e edits are, on each diagonal, all those up to the furthest (distances
+    don't fall along a diagonal), so a band of 2 * edits + 1 furthest cells is the whole alignment."""
+    before = (-1 if step < 0 else 0), (0 if step < 0 else -1)
+
+    def room(t, p):
+        sep = np.flatnonzero(t == 10)
+        return sep[np.searchsorted(sep, p)] - p if step > 0 else p - 1 - sep[np.searchsorted(sep, p) - 1]
+
+    def at_end(t, p):
+        edge = [(t[p + o] == 32) | (t[p + o] == 10) for o in before]
+        return edge[0] & ~edge[1]
+
+    rx, ry = room(doc, x), room(text, y)
+    none = np.full(len(x), -(1 << 40))
+    last, out = {}, []
+    for e in range(edits + 1):
+        row = {}
+        for d in range(-e, e + 1):  # n characters of the item against n + d of the document
+            n = np.zeros(len(x), np.int64) if e == 0 else np.maximum(np.maximum(last.get(d, none) + 1, last.get(d + 1, none) + 1), last.get(d - 1, none))
+            top = np.minimum(ry, rx - d)
+            n = np.minimum(n, top)
+            n[n < max(0, -d)] = none[0]
+            live = np.flatnonzero((n >= 0) & (n < top))
+            while len(live):
+                o = -1 if step < 0 else 0
+                same = doc[x[live] + step * (n[live] + d) + o] == text[y[live] + step * n[live] + o]
+                live = live[same]
+                n[live] += 1
+                live = live[n[live] < top[live]]
+            row[d] = n
+            m = n.copy()
+            live = np.flatnonzero(m >= max(0, -d))
+            while len(live):
+                end = at_end(doc, x[live] + step * (m[live] + d)) & at_end(text, y[live] + step * m[live])
+                live = live[~end]
+                m[live] -= 1
+                live = live[m[live] >= max(0, -d)]
+            good = m >= max(0, -d)
+            m[~good] = 0
+            out.append((e, x + step * np.where(good, m + d, 0), y + step * m, good))
+        last = row
+    return out
+
+
+def _best_run(doc: np.ndarray, text: np.ndarray, a: np.ndarray, b: np.ndarray, ia: np.ndarray, ib: np.ndarray, edits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(words of the item in the longest run that goes through an exact stretch and is within the budget, its
+    edits). To the right of any cell of the stretch an alignment costs what it does from the stretch's start,
+    to the left what it does from its end, so the two sides are aligned apart and any split of the budget
+    is tried; both have to meet in the stretch."""
+    blanks = np.concatenate([[0], np.cumsum(text == 32)])
+    words, spent = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
+    right, left = _ends(doc, text, a, ia, 1, edits), _ends(doc, text, b, ib, -1, edits)
+    for e1, u, e, ok1 in right:
+        for e2, t, s, ok2 in left:
+            if e1 + e2 <= edits:
+                meet = np.maximum(np.maximum(s - ia, t - a), 0) <= np.minimum(np.minimum(e - ia, u - a), ib - ia)
+                n = np.where(ok1 & ok2 & meet & (e > s), blanks[e] - blanks[s] + 1, 0)
+                better = (n > words) | ((n == words) & (e1 + e2 < spent))
+                words[better], spent[better] = n[better], e1 + e2
+    return words, spent
 
 
 def _whole_words(text: np.ndarray, other: np.ndarray, a: np.ndarray, b: np.ndarray, oa: np.ndarray, ob: np.ndarray, blanks: np.ndarray) -> np.ndarray:
@@ -228,27 +278,9 @@ def find(doc: np.ndarray, items: Items, words: int, edits: int):
     a, b, ia, ib, item = (z for z in np.unique(np.stack([a, b, ia, ib, item]), axis=1))
     blanks = np.concatenate([[0], np.cumsum(doc == 32)])
     exact = _whole_words(doc, items.text, a, b, ia, ib, blanks)
-    order = np.lexsort((a, item))
-    a, b, ia, ib, item, exact = (z[order] for z in (a, b, ia, ib, item, exact))
-    for k in range(len(a)):  # chains of stretches within the edit budget, aligned over the gaps between
-        chain, spent, last, w = k, 0, k, int(exact[k])
-        for m in range(k + 1, min(k + 1 + 8 * (edits + 1), len(a))):
-            if item[m] != item[k] or a[m] > b[last] + Q * (edits + 1):
-                break
-            if a[m] < b[last] and ia[m] < ib[last] and b[m] <= b[last]:
-                continue
-            lap = max(0, b[last] - a[m], ib[last] - ia[m])
-            ga, gi = doc[b[last] : a[m] + lap], items.text[ib[last] : ia[m] + lap]
-            if (ga == 10).any() or (gi == 10).any() or a[m] + lap > b[m]:
-                continue
-            cost = _edit_distance(ga, gi, edits)
-            if cost and spent + cost <= edits:
-                spent, last = spent + cost, m
-        if last != k:
-            one = [np.asarray([z]) for z in (a[k], b[last], ia[k], ib[last])]
-            w = int(_whole_words(doc, items.text, *one, blanks)[0])
-        if w >= words or exact[k] >= words:
-            yield int(a[k]), int(items.ids[item[k]]), int(exact[k]), w, spent
+    w, spent = _best_run(doc, items.text, a, b, ia, ib, edits)
+    for k in np.flatnonzero((w >= words) | (exact >= words)):
+        yield int(a[k]), int(items.ids[item[k]]), int(exact[k]), int(w[k]), int(spent[k])
 
 
 def leaked(documents: DataFrame, items: DataFrame, words: int = WORDS, edits: int = EDITS, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "item_text") -> DataFrame:
@@ -256,7 +288,8 @@ def leaked(documents: DataFrame, items: DataFrame, words: int = WORDS, edits: in
     of an item, exactly or with up to ``edits`` character edits (inserted, deleted or changed).
 
     exact_words: the longest run of words in common; words and edits: of the longest stretch within the
-    edit budget. Every character of every text is looked at. Null and empty texts and items of under
+    edit budget, in words of the item. A run so short that the edits may leave no Q exact characters in a row
+    (under (edits + 1) * Q + edits characters, 26 by default) is found only where they do. Every character of every text is looked at. Null and empty texts and items of under
     ``words`` words match nothing; equal items are each reported; repeated rows of a document count once.
     Documents are filtered where they are read; only matches are shuffled. Items are taken in blocks of
     ITEM_BLOCK characters by a hash of their id, each block against all documents.

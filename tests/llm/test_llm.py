@@ -270,6 +270,47 @@ def test_leaks_with_edits_and_in_blocks(spark, monkeypatch):
     assert got[1] == (18, 1) and got[2] == (18, 2) and 4 not in got
 
 
+def runs_with_edits(doc, item, n, edits):
+    """(words, edits) of the longest run of at least n item words that whole words of the document match within the edits."""
+    w, best = item.split(), (0, 0)
+    starts = [j == 0 or doc[j - 1] == " " for j in range(len(doc))] + [False]
+    for a in range(len(w)):
+        row, done = [0 if s else 99 for s in starts], 0
+        text = " ".join(w[a:])
+        for i, ch in enumerate(text, 1):
+            new = [row[0] + 1]
+            for j in range(1, len(doc) + 1):
+                new.append(min(row[j - 1] + (ch != doc[j - 1]), row[j] + 1, new[-1] + 1))
+            row = new
+            if i == len(text) or text[i] == " ":
+                done += 1
+                e = min(v for j, v in enumerate(row) if j == len(doc) or doc[j] == " ")
+                if done >= n and e <= edits:
+                    best = max(best, (done, -e))
+    return best
+
+
+def test_leaks_with_edits_anywhere(spark):
+    r = random.Random(6)
+    item = "after nine days the keeper has marked only sixty of the promised"
+    more = item + " ropes while another still claims boredom or worse"
+    docs = ["x aftr nine" + item[10:] + " y", item[:-1] + " then", "so " + item.replace("promised", "promixed") + " it was", "a b fter nine" + item[10:-2] + "d gone", "xx after nine days"]
+    for _ in range(60):
+        w = more.split()
+        a = r.randrange(0, 8)
+        t = list(" ".join(w[a : a + r.choice([11, 12, 12, 13, 14])]))
+        for _ in range(r.randrange(0, 4)):
+            at = r.choice([r.randrange(len(t)), r.randrange(3), len(t) - 1 - r.randrange(3)])
+            t[at : at + 1] = r.choice([[], ["z"], [t[at], "q"]])
+        docs.append(" ".join(["u vv", "".join(t).strip(), "k mm"]))
+    docs = [" ".join(d.split()) for d in docs]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = {(x.doc_id, x.item_id): (x.words, -x.edits) for x in leaks.leaked(df, spark.createDataFrame([(1, item), (2, more)], "item_id long, item_text string")).collect()}
+    want = {(d, k): v for d, t in enumerate(docs) for k, i in ((1, item), (2, more)) if (v := runs_with_edits(t, i, 12, 2))[0]}
+    assert {(0, 1), (1, 1), (2, 1), (3, 1)} <= set(want)
+    assert got == want
+
+
 # 7. mixing
 
 
