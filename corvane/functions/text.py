@@ -68,6 +68,12 @@ def distinctive_phrase(c: Column, n: int = 6) -> Column:
     return F.when(F.size(words) >= n + 1, F.array_join(F.slice(words, -best["at"], n), " "))
 
 
+def search_phrase(c: Column, n: int = 6, least: int = 4) -> Column:
+    """The distinctive phrase, or all words of a text of ``least`` to n words; null for fewer."""
+    words = F.regexp_extract_all(c, F.lit(r"\b[\w'-]+\b"), F.lit(0))
+    return F.coalesce(distinctive_phrase(c, n), F.when(F.size(words).between(least, n), F.array_join(words, " ")))
+
+
 def attribution(author: Column, source: Column) -> Column:
     return F.concat_ws(", ", F.nullif(author, F.lit("")), F.nullif(source, F.lit("")))
 

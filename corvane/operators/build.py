@@ -133,13 +133,17 @@ def quotes_waterfall(quotes: DataFrame, order: tuple[str, ...] = ("wikiquote", "
 
 def verified_quotes(quotes: DataFrame, evidence: DataFrame, phrase) -> DataFrame:
     """``quotes`` (id, text) with the first evidence page (site_order, page_title, body) that holds the phrase
-    built by ``phrase``. Candidates meet by their least frequent word's hash, not in a cross join: pages and
-    phrases share all words of the phrase, so it is enough to join on the phrase's longest word."""
-    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
+    built by ``phrase``, which may end amid words of the page. Candidates meet by a word, not in a cross join: a
+    page that holds a phrase has all words inside it, so it is enough to join on the longest one. Only a phrase
+    without a word inside is compared to all pages."""
+    word = r"[\p{L}\p{N}]+"
+    words = lambda c, w=word: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(w), F.lit(0)))
+    inside = rf"(?<=[^\p{{L}}\p{{N}}]){word}(?=[^\p{{L}}\p{{N}}])"
     p = quotes.select("id", F.lower(phrase).alias("p")).where("p is not null")
-    p = p.withColumn("w", F.array_max(F.transform(words(F.col("p")), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
-    e = evidence.select("site_order", "page_title", F.lower("body").alias("body")).withColumn("w", F.explode(words(F.col("body"))))
-    hit = p.join(e, "w").where("contains(body, p)")
+    p = p.withColumn("w", F.array_max(F.transform(words(F.col("p"), inside), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
+    pages = evidence.select("site_order", "page_title", F.lower("body").alias("body"))
+    hit = p.join(pages.withColumn("w", F.explode(words(F.col("body")))), "w").where("contains(body, p)").select("id", "site_order", "page_title")
+    hit = hit.unionByName(p.where("w is null").join(pages, F.expr("contains(body, p)")).select("id", "site_order", "page_title"))
     return hit.groupBy("id").agg(F.min(F.struct("site_order", "page_title")).alias("h")).select("id", "h.*")
 
 

@@ -412,10 +412,11 @@ def quote_checks(spark, d):
 
 @query
 def verified_quotes(spark, d):
-    """Quotes whose distinctive phrase is found in another quote's text, read as evidence pages."""
+    """Quotes whose distinctive phrase, or all words of a short one, are found in a quote's text, read as evidence
+    pages."""
     q = T(spark, d).t("quotes").where("text is not null")
     evidence = q.select((F.col("source") != "wikiquote").cast("int").alias("site_order"), F.col("id").cast("string").alias("page_title"), F.col("text").alias("body"))
-    return build.verified_quotes(q.select("id", "text"), evidence.where("site_order is not null"), text.distinctive_phrase(F.col("text")))
+    return build.verified_quotes(q.select("id", "text"), evidence.where("site_order is not null"), text.search_phrase(F.col("text")))
 
 
 # Text

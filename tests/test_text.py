@@ -146,3 +146,11 @@ def test_final_reply(spark):
 def test_waterfall(spark):
     q = spark.createDataFrame([(1, 9, "llm_verified", "a", 0), (2, 9, "wikiquote", "b", 1), (3, 9, "wikiquote", "c", 0), (4, 8, "llm_verified", "d", None), (5, 7, "other", "e", 0)], "id long, concept_id long, source string, text string, rank int")
     assert sorted((r.concept_id, r.place, r.text) for r in build.quotes_waterfall(q).collect()) == [(8, 0, "d"), (9, 0, "c"), (9, 1, "b")]
+
+
+def test_verified_quotes_of_few_words_and_within_words(spark):
+    q = spark.createDataFrame([(1, "Mirrors keep no faces"), (2, "too short now"), (3, "of all the ways it was paradox"), (4, "__ __ __ __"), (5, "one two three four five six")], "id long, text string")
+    pages = [(1, "b", "They say mirrors keep no faces."), (0, "c", "too short now, of all the ways it was paradoxes"), (1, "a", "Mirrors keep no faces, __ __ __ __"), (1, "d", "none two three four five sixty")]
+    e = spark.createDataFrame(pages, "site_order int, page_title string, body string")
+    got = {(r.id, r.site_order, r.page_title) for r in build.verified_quotes(q, e, text.search_phrase(F.col("text"))).collect()}
+    assert got == {(1, 1, "a"), (3, 0, "c"), (4, 1, "a"), (5, 1, "d")}
