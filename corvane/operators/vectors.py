@@ -100,10 +100,33 @@ def knn_edges(queries: DataFrame, vectors: DataFrame, dim: int, k: int = 8) -> D
     return nearest(queries, vectors, dim, k).where("score > 0").select("src", "dst", F.col("score").alias("weight"))
 
 
-def dedup_pairs(queries: DataFrame, vectors: DataFrame, dim: int, least: float = 0.92, k: int = 8) -> DataFrame:
+def similar_pairs(queries: DataFrame, vectors: DataFrame, dim: int, least: float) -> DataFrame:
+    """(src, dst, weight): all pairs of one of ``queries`` and another row that are at least ``least`` similar, each
+    once, src having the smaller id."""
+    out = vectors.sparkSession.createDataFrame([], "src long, dst long, weight double")
+    for qid, q in _blocks(queries, dim):
+
+        def run(batches, qid=qid, q=q):
+            for b in batches:
+                ids, x = parse(b.column(0), b.column(1), dim)
+                for a in range(0, len(ids), STEP):
+                    i, s = ids[a : a + STEP], np.round(q @ unit(x[a : a + STEP]).T, 6)
+                    r, c = np.nonzero((s >= least) & (qid[:, None] != i))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(qid[r], i[c])), pa.array(np.maximum(qid[r], i[c])), pa.array(s[r, c])], names=["src", "dst", "weight"])
+
+        out = out.unionByName(vectors.select("id", "embedding").mapInArrow(run, "src long, dst long, weight double"))
+    return out.groupBy("src", "dst").agg(F.max("weight").alias("weight"))
+
+
+def dedup_pairs(queries: DataFrame, vectors: DataFrame, dim: int, least: float = 0.92, k: int = 8, mode: str = "topk") -> DataFrame:
     """(src, dst, weight, note): pairs at least ``least`` similar where dst is among src's k nearest and
-    has the larger id."""
-    e = knn_edges(queries, vectors, dim, k).where((F.col("src") < F.col("dst")) & (F.col("weight") >= least))
+    has the larger id; in mode "all_pairs" all such pairs with a row of ``queries``, whatever their ranks."""
+    if mode not in ("topk", "all_pairs"):
+        raise ValueError(mode)
+    if mode == "all_pairs":
+        e = similar_pairs(queries, vectors, dim, least)
+    else:
+        e = knn_edges(queries, vectors, dim, k).where((F.col("src") < F.col("dst")) & (F.col("weight") >= least))
     return e.withColumn("note", F.concat(F.lit("cosine="), F.format_string("%.3f", "weight")))
 
 

@@ -113,3 +113,13 @@ def test_kmeans_survives_more_clusters_than_rows_and_no_rows(spark):
     assert got.count() == 5 and c.shape == (8, 2)
     assert kmeans(df.limit(0), 2)[0].count() == 0
     assert assign(df, np.eye(2), 2).where("cluster = 0").count() == 5
+
+
+def test_all_pairs_beyond_the_top_k(spark):
+    """12 near-copies: a row has more of them than k."""
+    x = np.eye(8)[0] + 0.02 * np.random.default_rng(2).normal(size=(12, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(50, np.eye(8)[1].tolist())]
+    df = spark.createDataFrame(rows, "id long, embedding array<float>").repartition(3)
+    pairs = lambda q: {(r.src, r.dst) for r in V.dedup_pairs(q, df, 8, mode="all_pairs").collect()}
+    assert pairs(df) == {(a, b) for a in range(12) for b in range(a + 1, 12)}
+    assert pairs(df.where("id = 5")) == {(min(a, 5), max(a, 5)) for a in range(12) if a != 5}
