@@ -1,8 +1,11 @@
 """An inverted-list index over vectors: fitting, planning and routing. Shared by problems 2 and 5.
 
-The centroids are fitted on a bounded sample of rows (``SAMPLE_PER_LIST`` x lists, at most 32 x 1024);
-every row is indexed. Lists hold natural clusters: centroids closer than ``MERGE`` are merged, since in
-many dimensions the rows of one dense cluster have no finer structure that a search could use.
+There are 2 sqrt(n) lists for n rows. They are fitted in the executors on SAMPLE_PER_LIST sample rows a list, level
+by level: rows of a centroid with too many of them are fitted again by themselves, up to FAN centroids from at most
+FAN * SAMPLE_PER_LIST rows at a time, so no task is larger for more rows. Only centroids come to the driver: at most
+CENTROID_BYTES, which is reached at 7e10 rows of 128 numbers (35 TB); from there on lists grow with the rows. Every
+row is indexed. Lists hold natural clusters: centroids closer than ``MERGE`` are merged, since in many dimensions
+the rows of one dense cluster have no finer structure that a search could use.
 
 Work is planned in units: a block of at most BLOCK candidates of one list against at most SPLIT of the
 queries that probe it, so a list with a third of all rows becomes many units. Units are packed into
@@ -16,11 +19,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_LISTS, SAMPLE_PER_LIST, MERGE, ROUNDS = 1024, 32, 0.85, 4
+from corvane.sources.durable import durable, release
+
+SAMPLE_PER_LIST, FAN, MERGE, ROUNDS = 32, 128, 0.85, 4
+CENTROID_BYTES = 1 << 28
 BLOCK, SPLIT, PART = 16384, 65536, 50000
+#: Similarities of rows to centroids held at once by a task.
+TILE = 4_000_000
 
 
 def model_vectors(concepts: DataFrame, model: str, dim: int) -> DataFrame:
@@ -55,11 +64,9 @@ def mix64(i: np.ndarray, seed: int = 0) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def fit_centroids(x: np.ndarray, lists: int, seed: int = 7) -> np.ndarray:
-    """Unit centroids of unit rows: distance-weighted seeding, a few spherical k-means rounds, then
-    merging. At most ``lists``; one zero-free row if ``x`` is empty."""
-    if not len(x):
-        return np.eye(1, x.shape[1], dtype=np.float32)
+def fit_centroids(x: np.ndarray, lists: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """(unit centroids, their rows) of unit rows: distance-weighted seeding, a few spherical k-means rounds, then
+    merging. At most ``lists``."""
     rng = np.random.default_rng(seed)
     chosen = [int(rng.integers(len(x)))]
     far = 1 - x @ x[chosen[0]]
@@ -74,19 +81,26 @@ def fit_centroids(x: np.ndarray, lists: int, seed: int = 7) -> np.ndarray:
     for _ in range(ROUNDS):
         own = (x @ c.T).argmax(axis=1)
         order = np.argsort(own, kind="stable")
-        kept, start = np.unique(own[order], return_index=True)
+        _, start = np.unique(own[order], return_index=True)
         total = np.add.reduceat(x[order], start, axis=0)
         norm = np.linalg.norm(total, axis=1)
         ok = norm > 1e-6
         c, weight = total[ok] / norm[ok, None], np.diff([*start, len(x)])[ok]
-    near, free, out = c @ c.T >= MERGE, np.ones(len(c), dtype=bool), []
+    return merged(c, weight)
+
+
+def merged(c: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Centroids with those closer than MERGE to a heavier one added to it, in the order of ``c``."""
+    free, out = np.ones(len(c), dtype=bool), {}
     for i in np.argsort(-weight, kind="stable"):
         if free[i]:
-            group = near[i] & free
+            group = (c @ c[i] >= MERGE) & free
+            group[i] = True
             free &= ~group
             v = (c[group] * weight[group, None]).sum(axis=0)
-            out.append(v / np.linalg.norm(v))
-    return np.asarray(out, dtype=np.float32)
+            out[i] = (v / np.linalg.norm(v), weight[group].sum())
+    at = sorted(out)
+    return np.asarray([out[i][0] for i in at], dtype=np.float32).reshape(len(at), c.shape[1]), np.asarray([out[i][1] for i in at], dtype=float)
 
 
 @dataclass
@@ -150,9 +164,17 @@ class Covering:
         return np.concatenate([sim >= self.floor, loose[:, None]], axis=1)
 
 
+def tiles(x: np.ndarray, centroids: np.ndarray):
+    """(first row, similarities to all centroids) of unit rows, some rows at a time."""
+    step = max(1, TILE // len(centroids))
+    for a in range(0, len(x), step):
+        yield a, x[a : a + step] @ centroids.T
+
+
 @dataclass
 class Index:
-    centroids: np.ndarray
+    #: broadcast
+    centroids: Broadcast
     dim: int
     probing: Probing | Covering
     #: by list: its rows, its blocks, its splits, and its first unit; by unit: its part
@@ -164,34 +186,90 @@ class Index:
     parts: int
 
 
-def fit(vectors: DataFrame, dim: int, seed: int = 7) -> np.ndarray:
-    """Centroids from a sample of ``vectors`` (id, embedding) chosen by a hash of id."""
-    n = vectors.count()
-    lists = int(min(MAX_LISTS, max(1, 2 * n**0.5)))
-    want = SAMPLE_PER_LIST * lists
-    mod = 1 << 40
-    keep = int(mod * min(1.0, want / max(n, 1)))
-    rows = vectors.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(mod)) < keep).limit(2 * want)
-    t = rows.toArrow()
-    ids, x = parse(t.column("id").combine_chunks(), t.column("embedding").combine_chunks(), dim) if t.num_rows else (np.zeros(0, np.int64), np.zeros((0, dim), np.float32))
-    return fit_centroids(unit(x[np.argsort(ids)]), lists, seed)
-
-
-def plan(candidates: DataFrame, queries: DataFrame | None, centroids: np.ndarray, dim: int, probing: Probing | Covering) -> Index:
-    """Counts candidates and probes by list (at most MAX_LISTS + 1 rows come back) and packs the units.
+def fit(vectors: DataFrame, dim: int, n: int | None = None, seed: int = 7) -> Broadcast:
+    """Broadcast centroids for the ``n`` rows of ``vectors`` (id, embedding), fitted on rows chosen by a hash of id;
+    similar ones lie near each other. One centroid of no meaning if there are no rows."""
+    spark = vectors.sparkSession
+    n = vectors.count() if n is None else n
+    lists = int(max(1, min(2 * n**0.5, CENTROID_BYTES // (4 * dim))))
+    mod, most = 1 << 40, FAN * SAMPLE_PER_LIST
+    keep = int(mod * min(1.0, SAMPLE_PER_LIST * lists / max(n, 1)))
+    chosen = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(mod))
+    sample = durable(vectors.where(chosen < keep).select("id", "embedding"), "sample")
+    # by centroid: its vector, the sample rows it stands for, and whether these are to be fitted apart
+    c, rows, open_ = np.eye(1, dim, dtype=np.float32), np.array([float(SAMPLE_PER_LIST * lists)]), np.array([True])
+    while open_.any():
+        at, share = spark.sparkContext.broadcast(c), most / np.maximum(rows, 1)
+
+        def own(batches, at=at, share=share, open_=open_):
+            for b in batches:
+                ids, x = parse(b.column(0), b.column(1), dim)
+                u = unit(x)
+                for a, sim in tiles(u, at.value):
+                    group = sim.argmax(axis=1)
+                    here = u[a : a + len(sim)]
+                    drawn = mix64(ids[a : a + len(sim)], 4).astype(np.float64) / 2**64 < share[group]
+                    take = np.flatnonzero(open_[group] & drawn)
+                    yield pa.RecordBatch.from_arrays([pa.array(group[take].astype(np.int32)), pa.array(ids[a : a + len(sim)][take]), pa.array([here[t].tobytes() for t in take], pa.binary())], names=["g", "id", "v"])
+
+        def split(batches, rows=rows):
+            got = [b for b in batches if b.num_rows]
+            if got:
+                t = pa.Table.from_batches(got)
+                g, ids = t.column(0).to_numpy(), t.column(1).to_numpy()
+                x = np.frombuffer(b"".join(t.column(2).to_pylist()), np.float32).reshape(-1, dim)
+                for k in np.unique(g):
+                    r = np.flatnonzero(g == k)
+                    r = r[np.argsort(ids[r], kind="stable")]
+                    new, w = fit_centroids(x[r], max(1, min(FAN, round(rows[k] / SAMPLE_PER_LIST))), seed)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(new), k, np.int32)), pa.array(w / w.sum()), pa.array([z.tobytes() for z in new], pa.binary())], names=["g", "w", "v"])
+
+        tasks = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), int(open_.sum())))
+        drawn = sample.mapInArrow(own, "g int, id long, v binary").repartition(tasks, "g")
+        t = drawn.mapInArrow(split, "g int, w double, v binary").toArrow()
+        at.unpersist()
+        g, w = t.column("g").to_numpy(), t.column("w").to_numpy()
+        new = np.frombuffer(b"".join(t.column("v").to_pylist()), np.float32).reshape(-1, dim)
+        stay = np.flatnonzero(~open_)
+        place = np.concatenate([stay, g])  # new ones take the place of the old, so that similar ones stay together
+        order = np.argsort(place, kind="stable")
+        # a centroid that came out alone stands for one dense cluster and is not fitted again
+        again = (rows[g] * w > most) & (np.bincount(g, minlength=len(c))[g] > 1)
+        c, rows, open_ = np.concatenate([c[stay], new])[order], np.concatenate([rows[stay], rows[g] * w])[order], np.concatenate([np.zeros(len(stay), bool), again])[order]
+    release(sample)
+    c, _ = merged(c, rows) if len(c) else (np.eye(1, dim, dtype=np.float32), None)
+    return spark.sparkContext.broadcast(c)
+
+
+def _walk(centroids: np.ndarray, step: int = 2048) -> list[int]:
+    """All lists, each followed by the most similar one left of its stretch, so that similar lists meet in a part."""
+    order, at = [], centroids[0]
+    for a in range(0, len(centroids), step):
+        c = centroids[a : a + step]
+        left = np.ones(len(c), dtype=bool)
+        for _ in range(len(c)):
+            k = int(np.where(left, c @ at, -2).argmax())
+            left[k] = False
+            order.append(a + k)
+            at = c[k]
+    return order
+
+
+def plan(candidates: DataFrame, queries: DataFrame | None, centroids: Broadcast, dim: int, probing: Probing | Covering) -> Index:
+    """Counts candidates and probes by list (one row a list comes back) and packs the units.
     ``queries`` None: the candidates are the queries."""
-    k = probing.lists(len(centroids))
+    k = probing.lists(len(centroids.value))
 
     def counts(as_candidates: bool, as_queries: bool):
         def run(batches):
             n, q = np.zeros(k, np.int64), np.zeros(k, np.int64)
             for b in batches:
                 _, x = parse(b.column(0), b.column(1), dim)
-                if len(x):
-                    sim = unit(x) @ centroids.T
+                for _, sim in tiles(unit(x), centroids.value):
                     n += as_candidates * np.bincount(probing.home(sim), minlength=k)
                     q += as_queries * probing(sim).sum(axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(k)), pa.array(n), pa.array(q)], names=["list", "n", "q"])
+            some = np.flatnonzero(n + q)
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some]), pa.array(q[some])], names=["list", "n", "q"])
 
         return run
 
@@ -205,15 +283,8 @@ def plan(candidates: DataFrame, queries: DataFrame | None, centroids: np.ndarray
     first = np.concatenate([[0], np.cumsum(blocks * splits)[:-1]])
     rows = n / blocks + q / splits
     cost = (n / blocks) * (q / splits) + 50 * rows
-    # a walk from list to list, each time to the most similar one left, puts similar lists into one part
-    left, order, at = np.ones(len(centroids), dtype=bool), [], int(n[: len(centroids)].argmax())
-    while True:
-        order.append(at)
-        left[at] = False
-        if not left.any():
-            break
-        at = int(np.where(left, centroids @ centroids[at], -2).argmax())
-    order.extend(range(len(centroids), k))
+    order = _walk(centroids.value)
+    order.extend(range(len(order), k))
     conf = candidates.sparkSession.conf
     want = max(int(conf.get("spark.sql.shuffle.partitions")), int(rows.dot(blocks * splits) // 20000))
     share = cost.dot(blocks * splits) / want
@@ -245,38 +316,38 @@ def route(vectors: DataFrame, index: Index, candidates: bool, queries: bool) ->
     def run(batches):
         for b in batches:
             ids, x = parse(b.column(0), b.column(1), index.dim)
-            if not len(ids):
-                continue
-            sim = unit(x) @ index.centroids.T
-            h = mix64(ids, 1) >> np.uint64(1)
-            home = index.probing.home(sim)
-            loose = home == len(index.centroids)
-            row, unt, role = [], [], []
-            if candidates:
-                r, u = _expand(np.arange(len(ids)), home, (h % index.blocks[home].astype(np.uint64)).astype(np.int64), index, True)
-                row, unt, role = [r], [u], [np.zeros(len(r), np.int8)]
-            if queries:
-                r, lst = np.nonzero(index.probing(sim, index.rows))
-                r, u = _expand(r, lst, (h[r] % index.splits[lst].astype(np.uint64)).astype(np.int64), index, False)
-                row, unt, role = [*row, r], [*unt, u], [*role, np.ones(len(r), np.int8)]
-            row, unt, role = map(np.concatenate, (row, unt, role))
-            part = index.part[unt]
-            order = np.lexsort((unt, role, part, row))
-            row, unt, role, part = row[order], unt[order].astype(np.int32), role[order], part[order]
-            new = np.concatenate([[True], (row[1:] != row[:-1]) | (part[1:] != part[:-1])])
-            start = np.flatnonzero(new)
-            group = np.cumsum(new) - 1
-            lists = []
-            for k in (0, 1):
-                at = role == k
-                offsets = np.concatenate([[0], np.cumsum(np.bincount(group[at], minlength=len(start)))]).astype(np.int32)
-                lists.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(unt[at])))
-            raw = x[row[start]].tobytes()
-            width = 4 * index.dim
-            v = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer((np.arange(len(start) + 1, dtype=np.int32) * width).tobytes()), pa.py_buffer(raw)])
-            out = pa.RecordBatch.from_arrays([pa.array(part[start].astype(np.int32)), pa.array(ids[row[start]]), v, pa.array(loose[row[start]]), *lists], names=["part", "id", "v", "loose", "as_candidate", "as_query"])
-            for k in range(0, out.num_rows, 8192):
-                yield out.slice(k, 8192)
+            for a, sim in tiles(unit(x), index.centroids.value):
+                yield from send(ids[a : a + len(sim)], x[a : a + len(sim)], sim)
+
+    def send(ids, x, sim):
+        h = mix64(ids, 1) >> np.uint64(1)
+        home = index.probing.home(sim)
+        loose = home == sim.shape[1]
+        row, unt, role = [], [], []
+        if candidates:
+            r, u = _expand(np.arange(len(ids)), home, (h % index.blocks[home].astype(np.uint64)).astype(np.int64), index, True)
+            row, unt, role = [r], [u], [np.zeros(len(r), np.int8)]
+        if queries:
+            r, lst = np.nonzero(index.probing(sim, index.rows))
+            r, u = _expand(r, lst, (h[r] % index.splits[lst].astype(np.uint64)).astype(np.int64), index, False)
+            row, unt, role = [*row, r], [*unt, u], [*role, np.ones(len(r), np.int8)]
+        row, unt, role = map(np.concatenate, (row, unt, role))
+        part = index.part[unt]
+        order = np.lexsort((unt, role, part, row))
+        row, unt, role, part = row[order], unt[order].astype(np.int32), role[order], part[order]
+        new = np.concatenate([[True], (row[1:] != row[:-1]) | (part[1:] != part[:-1])])
+        start = np.flatnonzero(new)
+        group = np.cumsum(new) - 1
+        both = []
+        for k in (0, 1):
+            at = role == k
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(group[at], minlength=len(start)))]).astype(np.int32)
+            both.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(unt[at])))
+        width = 4 * index.dim
+        for k in range(0, len(start), 8192):
+            s = start[k : k + 8192]
+            v = pa.Array.from_buffers(pa.binary(), len(s), [None, pa.py_buffer((np.arange(len(s) + 1, dtype=np.int32) * width).tobytes()), pa.py_buffer(x[row[s]].tobytes())])
+            yield pa.RecordBatch.from_arrays([pa.array(part[s].astype(np.int32)), pa.array(ids[row[s]]), v, pa.array(loose[row[s]]), *[z.slice(k, len(s)) for z in both]], names=["part", "id", "v", "loose", "as_candidate", "as_query"])
 
     return vectors.select("id", "embedding").mapInArrow(run, schema).repartitionById(index.parts, F.col("part"))
 

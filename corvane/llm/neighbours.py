@@ -14,9 +14,11 @@ from corvane.llm.lists import Probing
 from corvane.operators.skew import join_skewed
 from corvane.sources.durable import durable
 
-#: Lists probed: within 0.2 of the nearest centroid, 32 at most, but as many as hold 16 rows. Measured recall:
-#: see the README.
+#: Lists probed: within 0.2 of the nearest centroid, 32 at most, but as many as hold 16 rows. This is where
+#: accuracy is given up; measured recall: see the README.
 PROBING = Probing(delta=0.2, floor=2.0, most=32, least=16)
+#: The exact way: every list, and no candidate is abandoned.
+EXACT = Probing(delta=9.0, floor=-2.0, most=None)
 #: Dimensions known after each column block, as parts of all.
 COLUMN_BLOCKS = (0.125, 0.25, 0.5, 1.0)
 #: The test's constant: a candidate is abandoned if its distance, estimated from the first d of D rotated
@@ -63,7 +65,7 @@ class Best:
         return np.where(self.key == NONE, -1, 0x7FFFFFFF - (self.key & 0xFFFFFFFF))
 
 
-def scan(x: np.ndarray, norms: list[np.ndarray], edges: list[int], cand: np.ndarray, quer: np.ndarray, best: Best) -> None:
+def scan(x: np.ndarray, norms: list[np.ndarray], edges: list[int], cand: np.ndarray, quer: np.ndarray, best: Best, epsilon: float = EPSILON) -> None:
     """One list's candidates against the queries that probe it. ``x``: rotated unit rows, ``norms``: their
     squared length over the dimensions before each edge. Tiles go through the column blocks; after each,
     the test drops pairs that can hardly reach the query's best. Once few pairs of a tile are left they
@@ -82,7 +84,7 @@ def scan(x: np.ndarray, norms: list[np.ndarray], edges: list[int], cand: np.ndar
                     if end == dim:
                         break
                     near = norms[k][q][:, None] + norms[k][c][None, :] - 2 * dot
-                    bound = (reach * (1 + EPSILON / end**0.5)) ** 2 * (end / dim)
+                    bound = (reach * (1 + epsilon / end**0.5)) ** 2 * (end / dim)
                     keep = near <= bound[:, None]
                     left = np.count_nonzero(keep)
                     if left <= SPARSE * keep.size:
@@ -93,7 +95,7 @@ def scan(x: np.ndarray, norms: list[np.ndarray], edges: list[int], cand: np.ndar
                     s = s + np.einsum("ij,ij->i", x[q[i], begin:end], x[c[j], begin:end])
                     if end < dim and len(i):
                         near = norms[k][q[i]] + norms[k][c[j]] - 2 * s
-                        keep = near <= ((reach * (1 + EPSILON / end**0.5)) ** 2 * (end / dim))[i]
+                        keep = near <= ((reach * (1 + epsilon / end**0.5)) ** 2 * (end / dim))[i]
                         pairs, s = (i[keep], j[keep]), s[keep]
                 begin = end
             if pairs is None:
@@ -107,7 +109,7 @@ def scan(x: np.ndarray, norms: list[np.ndarray], edges: list[int], cand: np.ndar
             best.add(q[i][ok], c[j][ok], s[ok])
 
 
-def part_neighbours(part: lists.Part, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def part_neighbours(part: lists.Part, k: int, epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, neighbour, similarity) of a part: the k best in double precision, of k + SPARE kept by the
     scan. A query's own list comes first, so that it meets the others with a distance to beat."""
     order = np.argsort(part.ids, kind="stable")  # rows in order of id, so that ties go to the smaller id
@@ -124,7 +126,7 @@ def part_neighbours(part: lists.Part, k: int) -> tuple[np.ndarray, np.ndarray, n
         for c, q in units:
             here = np.isin(q, c, assume_unique=True) == own
             if here.any():
-                scan(x, norms, edges, c, q[here], best)
+                scan(x, norms, edges, c, q[here], best, epsilon)
     found = best.rows()
     q, slot = np.nonzero(found >= 0)
     c = found[q, slot]
@@ -145,23 +147,26 @@ def nearest(vectors: DataFrame, dim: int, k: int = 5, probing: Probing = PROBING
     embedding of ``dim`` floats), by cosine rounded to 6 decimals, ties to the smaller id.
 
     Every row is indexed and is a query; the loss comes only from lists not probed and candidates wrongly
-    abandoned. Copies of a vector beyond k + 1 are told by a hash, so a group of copies of any size costs what
+    abandoned; with ``probing=EXACT`` there is none, at the cost of all pairs. Copies of a vector beyond k + 1 are told by a hash, so a group of copies of any size costs what
     k + 1 rows cost. Rows with a null, NaN or infinite number and all-zero ones take no part; copies of a vector
     are neighbours like any other; with under k + 1 rows there are fewer neighbours; an empty table gives
     no rows. ``id`` has to be unique and not null. Other columns are ignored.
     """
-    key = F.concat_ws("_", F.xxhash64("embedding"), F.xxhash64("embedding", F.lit(1))).alias("k")
-    keyed = vectors.select("id", key)
+    # one hash tells whether any vector can have so many copies, at the price of eight bytes a row
+    once = vectors.select(F.xxhash64("embedding").alias("k")).groupBy("k").agg(F.count("*").alias("n"))
+    n, most = once.agg(F.sum("n"), F.max("n")).first()
+    if (most or 0) <= k + 1:
+        return _nearest(vectors, n or 0, dim, k, probing)
+    # a second one tells the copies from what only shares the first
+    keyed = vectors.select("id", F.concat_ws("_", F.xxhash64("embedding"), F.xxhash64("embedding", F.lit(1))).alias("k"))
     big = durable(keyed.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("first")).where(F.col("n") > k + 1), "copies")
-    if big.isEmpty():
-        return _nearest(vectors, dim, k, probing)
     # of more copies than can be anyone's neighbours only those of smallest id go on; the rest have the
     # neighbours of the first one, and the first one
     copies = join_skewed(keyed, big.select("k"), "k", "left_semi")
     by_id = Window.partitionBy("k").orderBy("id")
     stay = durable(copies.withColumn("r", F.row_number().over(by_id)).where(F.col("r") <= k + 1).select("id"), "stay")
     rest = durable(copies.join(stay, "id", "left_anti").select("id", "k"), "rest")
-    found = durable(_nearest(vectors.join(rest, "id", "left_anti"), dim, k, probing), "found")
+    found = durable(_nearest(vectors.join(rest, "id", "left_anti"), None, dim, k, probing), "found")
     own = big.select("k", F.col("first").alias("id"))
     entry = lambda s, i: F.struct((-s).alias("s"), i.alias("i"))
     near = found.join(own, "id").select("k", entry(F.col("similarity"), F.col("neighbour_id")).alias("e"))
@@ -171,14 +176,15 @@ def nearest(vectors: DataFrame, dim: int, k: int = 5, probing: Probing = PROBING
     return found.unionByName(more.select("id", F.col("e.i").alias("neighbour_id"), (-F.col("e.s")).alias("similarity")))
 
 
-def _nearest(vectors: DataFrame, dim: int, k: int, probing: Probing) -> DataFrame:
+def _nearest(vectors: DataFrame, n: int | None, dim: int, k: int, probing: Probing) -> DataFrame:
+    epsilon = np.inf if probing == EXACT else EPSILON
     probing = replace(probing, least=max(probing.least, k + SPARE + 1))
-    index = lists.plan(vectors, None, lists.fit(vectors, dim), dim, probing)
+    index = lists.plan(vectors, None, lists.fit(vectors, dim, n), dim, probing)
 
     def run(batches):
         part = lists.read_part(batches, dim)
         if part is not None:
-            q, c, s = part_neighbours(part, k)
+            q, c, s = part_neighbours(part, k, epsilon)
             for a in range(0, len(q), 50000):
                 yield pa.RecordBatch.from_arrays([pa.array(z[a : a + 50000]) for z in (q, c, s)], names=["id", "neighbour_id", "similarity"])
 

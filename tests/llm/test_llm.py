@@ -112,6 +112,19 @@ def test_neighbours(vectors, monkeypatch):
     assert all({b for a, b in got if a == i} == set(sorted(copies - {i})[:5]) for i in copies)
 
 
+def test_exact_neighbours(vectors, monkeypatch):
+    """Every list and no abandoned candidate, whatever the lists; fitted in levels, as small fans ask for."""
+    monkeypatch.setattr(lists, "FAN", 4)
+    monkeypatch.setattr(lists, "SAMPLE_PER_LIST", 8)
+    monkeypatch.setattr(lists, "TILE", 300)
+    ids, s = cosines()
+    s = np.round(s, 6)
+    np.fill_diagonal(s, -9)
+    want = {(int(ids[i]), int(ids[j])) for i in range(len(ids)) for j in np.lexsort((ids, -s[i]))[:5]}
+    assert {(r.id, r.neighbour_id) for r in neighbours.nearest(vectors, 24, 5, neighbours.EXACT).collect()} == want
+    assert 4 < len(lists.fit(vectors, 24).value) <= 2 * len(ids) ** 0.5
+
+
 def test_neighbours_of_few_and_none(spark):
     few = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [0.0, 1.0])], V)
     assert neighbours.nearest(few, 2, 5).count() == 6
@@ -167,7 +180,7 @@ def test_links_are_found_from_both_ends(spark, monkeypatch):
     u = lists.unit64(x)
     near = u @ u.T >= 0.7
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], V).repartition(3)
-    monkeypatch.setattr(lists, "fit", lambda *_: np.eye(3, 24, dtype=np.float32))
+    monkeypatch.setattr(lists, "fit", lambda *_: spark.sparkContext.broadcast(np.eye(3, 24, dtype=np.float32)))
     members, around = simclusters.pivot_clusters(df, 24)
     assert {r.id: r.n for r in around.collect()} == dict(enumerate(near.sum(axis=1).tolist()))
     assert near[28, 0] and near[28, 14] and simclusters.isolated_cliques(members, around, 12).count() == 0
