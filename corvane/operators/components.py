@@ -10,9 +10,6 @@ from corvane.sources.durable import durable, release
 
 #: A node with more than 1/HEAVY of the edge ends is heavy; there are at most HEAVY of those.
 HEAVY = 64
-#: Edges (16 bytes each) that one task may finish by union-find; more are contracted in rounds until so few
-#: are left or nothing changes.
-FINISH = 200_000
 
 
 def _with_min(ends: DataFrame, count: int) -> DataFrame:
@@ -25,8 +22,16 @@ def _with_min(ends: DataFrame, count: int) -> DataFrame:
     return marked.where("hu is not null").select("u", "v", F.col("hm").alias("m")).unionByName(light), mins
 
 
+def _progress(edges: DataFrame) -> tuple[int, int]:
+    """(edges, nodes that point to two others or are pointed to while pointing on). Without the latter every
+    component is one star around its least node."""
+    ends = edges.select("u", F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(edges.select(F.col("v").alias("u"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+    each = ends.groupBy("u").agg(F.sum("out").alias("out"), F.sum("into").alias("into"))
+    return each.agg(F.coalesce(F.sum("out"), F.lit(0)), F.count_if((F.col("out") > 1) | ((F.col("out") > 0) & (F.col("into") > 0)))).first()
+
+
 def _finish(edges: DataFrame) -> DataFrame:
-    """(node, component) of at most FINISH edges, in one task."""
+    """(node, component) of a few edges, in one task."""
 
     def run(batches):
         parent: dict[int, int] = {}
@@ -49,28 +54,27 @@ def _finish(edges: DataFrame) -> DataFrame:
     return edges.coalesce(1).mapInArrow(run, "node long, component long")
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 60, finish: int = 0) -> DataFrame:
     """``edges``: its first two columns are the ends (bigint). Returns (node, component), component
     being the smallest node reached; one row per node that has an edge to another one.
 
     Nulls and self-loops link nothing; repeated edges count once; direction is ignored; an empty
     input gives no rows. Ids are read as bigint. Needs O(log n) rounds, each cut by a durable table. Raises if it hasn't
-    converged after ``max_rounds``.
+    converged after ``max_rounds``. Once no more than ``finish`` edges (16 bytes each) are left, one task ends the
+    work by union-find; by default the rounds go on to the end.
     """
     a, b = edges.columns[:2]
     a, b = F.col(a).cast("long"), F.col(b).cast("long")
     e = edges.where(a.isNotNull() & b.isNotNull()).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     cur = durable(e, "cc")
-    seen = None
     for _ in range(max_rounds):
-        n, total = cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if 0 < n <= FINISH:
-            return _finish(cur)
-        if n == 0 or (n, total) == seen:
+        n, open_ = _progress(cur)
+        if not open_:
             return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
                 cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             )
-        seen = (n, total)
+        if n <= finish:
+            return _finish(cur)
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large, m1 = _with_min(both, 2 * n)
         step = durable(large.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")

@@ -1,8 +1,5 @@
 import random
 
-import pytest
-
-from corvane.operators import components
 from corvane.operators.components import connected_components
 from corvane.operators.skew import join_skewed
 
@@ -22,15 +19,14 @@ def expected(edges):
 
 
 def run(spark, edges):
-    rows = connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
-    assert len(rows) == len({r.node for r in rows})
-    return {r.node: r.component for r in rows}
-
-
-@pytest.fixture(params=[0, 200_000], autouse=True)
-def finish(request, monkeypatch):
-    """All in rounds, and small inputs in one task."""
-    monkeypatch.setattr(components, "FINISH", request.param)
+    """All in rounds, and with the last edges in one task."""
+    out = []
+    for finish in (0, 50):
+        rows = connected_components(spark.createDataFrame(edges, "a long, b long"), finish=finish).collect()
+        assert len(rows) == len({r.node for r in rows})
+        out.append({r.node: r.component for r in rows})
+    assert out[0] == out[1]
+    return out[0]
 
 
 def test_chain_star_nulls_loops_and_repeats(spark):
