@@ -18,6 +18,8 @@ from corvane.sources.durable import durable, release
 ORDERS = 3
 #: Sets of three hash orders; records that agree in the first tokens of all three are held against one of them.
 STARS = 8
+#: Records that may share their first tokens before stars are made.
+CROWD = 64
 #: Counters of the token frequency sketch. Its size doesn't depend on the corpus. It only ranks tokens, so
 #: tokens that share a counter cost time, never a result.
 SKETCH = 1 << 20
@@ -25,7 +27,13 @@ SKETCH = 1 << 20
 PARITY = 6
 #: Tokens held by a task at once.
 BUCKET = 1_000_000
+#: Records of a token's list that are paired in one place. A longer list is cut into blocks of about as many, and each
+#: two blocks meet in a bucket of their own, so no token is one task's work.
+LIST_BLOCK = 8192
+#: Tokens of pairs verified at once.
+VERIFIED = 2_000_000
 HASH_BYTES = 6
+_ENTRY = np.dtype([("t", "<u4"), ("s", "u1"), ("p", "<u2", (ORDERS,))])
 
 
 def shingles(texts: list[str], words: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -174,14 +182,14 @@ def _read(b: pa.RecordBatch):
     return size, np.concatenate([[0], np.cumsum(size)[:-1]]), _unpack(b"".join(b.column("s").to_pylist()))
 
 
-def head_rows(sets: DataFrame) -> DataFrame:
-    """(head, id): each record under its first tokens of three orders by hash, for STARS sets of orders."""
+def head_rows(sets: DataFrame, stars: int = STARS) -> DataFrame:
+    """(head, id): each record under its first tokens of three orders by hash, for ``stars`` sets of orders."""
 
     def run(batches):
         for b in _slices(batches):
             _, begin, h = _read(b)
             ids = b.column("id").to_numpy()
-            for k in range(STARS):
+            for k in range(stars):
                 first, second, third = (np.minimum.reduceat(mix64(h, 50 + 3 * k + j), begin) for j in range(3))
                 head = mix64(first ^ mix64(second, 1) ^ mix64(third, 2), 90 + k).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(head), pa.array(ids)], names=["head", "id"])
@@ -196,10 +204,25 @@ def _star_pairs(rows: DataFrame) -> DataFrame:
     return join_skewed(rows, first, "head").where("id <> a").select("a", F.col("id").alias("b")).distinct()
 
 
+def _placed(h: np.ndarray, ids: np.ndarray, n: np.ndarray, buckets: int, block: int = LIST_BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(which entry, bucket, token, side): where each token of a record is paired. ``n``: about how many records hold
+    it. The entries of a token with B > 1 blocks go to the places (i, j), i <= j, of their own block and each one;
+    in a place of two blocks side tells which, else it is 0. The lowest bit of a token marks places of two
+    blocks."""
+    blocks = np.maximum(1, -(-n // block))
+    own = (mix64(ids, 41) % blocks.astype(np.uint64)).astype(np.int64)
+    at = np.repeat(np.arange(len(h)), blocks)
+    other = np.arange(len(at)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    i, j, two = np.minimum(own[at], other), np.maximum(own[at], other), own[at] != other
+    mixed = mix64(h[at] + mix64(i * (1 << 31) + j, 42) * (blocks[at] > 1), 40)
+    token = ((mixed & np.uint64(0xFFFFFFFE)) | two).astype(np.uint32)
+    return at, ((mixed >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32), token, (two & (own[at] == j)).astype(np.uint8)
+
+
 def token_rows(sets: DataFrame, sketch, buckets: int, bounds: Bounds) -> DataFrame:
     """(bucket, id, comp, size, bits, tokens): a record's prefix tokens of any order, once for each bucket of
-    the token's hash, as entries of 32 bits of the hash and 16 bits of each place."""
-    names = ["bucket", "id", "comp", "size", "bits", "tokens"]
+    the token's hash, as entries of the token, its side (see ``_placed``) and 16 bits of each place."""
+    names, block = ["bucket", "id", "comp", "size", "bits", "tokens"], LIST_BLOCK
 
     def run(batches):
         for b in _slices(batches):
@@ -207,25 +230,47 @@ def token_rows(sets: DataFrame, sketch, buckets: int, bounds: Bounds) -> DataFra
             pos, bits = positions(h, begin, sketch.value), parity(h, begin)
             rec = np.repeat(np.arange(len(size)), size)
             use = np.flatnonzero(pos.min(axis=0) < bounds.prefix(size)[rec])
-            mixed = mix64(h[use], 40)
-            bucket, tok, r = (mixed >> np.uint64(32)) % np.uint64(buckets), (mixed & np.uint64(0xFFFFFFFF)).astype(np.uint32), rec[use]
+            n = sketch.value[(mix64(h[use], 9) % np.uint64(SKETCH)).astype(np.int64)]
+            at, bucket, tok, side = _placed(h[use], b.column("id").to_numpy()[rec[use]], n, buckets, block)
+            r = rec[use][at]
             order = np.lexsort((bucket, r))
-            bucket, tok, r, p = bucket[order].astype(np.int32), tok[order], r[order], pos[:, use[order]]
+            bucket, tok, side, r, p = bucket[order], tok[order], side[order], r[order], pos[:, use[at[order]]]
             start = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (r[1:] != r[:-1])]))
-            entry = np.empty(len(tok), dtype=[("t", "<u4"), ("p", "<u2", (ORDERS,))])
-            entry["t"], entry["p"] = tok, np.minimum(p, 65535).T
-            raw, width = entry.tobytes(), entry.dtype.itemsize
+            entry = np.empty(len(tok), dtype=_ENTRY)
+            entry["t"], entry["s"], entry["p"] = tok, side, np.minimum(p, 65535).T
+            raw, width = entry.tobytes(), _ENTRY.itemsize
             cut = [*(start * width), len(raw)]
             own = r[start]
             mine = [x.tobytes() for x in bits]
-            arrays = [pa.array(bucket[start]), b.column("id").take(pa.array(own)), b.column("comp").take(pa.array(own)), pa.array(size[own].astype(np.int32)), pa.array([mine[i] for i in own], pa.binary()), pa.array([raw[a:z] for a, z in zip(cut, cut[1:])], pa.binary())]
-            out = pa.RecordBatch.from_arrays(arrays, names=names)
-            for k in range(0, out.num_rows, 8192):
-                yield out.slice(k, 8192)
+            for k in range(0, len(start), 8192):
+                o, c = own[k : k + 8192], cut[k : k + 8193]
+                arrays = [pa.array(bucket[start[k : k + 8192]]), b.column("id").take(pa.array(o)), b.column("comp").take(pa.array(o)), pa.array(size[o].astype(np.int32)), pa.array([mine[i] for i in o], pa.binary()), pa.array([raw[a:z] for a, z in zip(c, c[1:])], pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return sets.mapInArrow(run, "bucket int, id long, comp long, size int, bits binary, tokens binary")
 
 
+def _partners(tok: np.ndarray, side: np.ndarray, comp: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(first, hole, width, n): the entries, sorted by token, side and component, with which each one is paired: n
+    from ``first`` on, without ``width`` from ``hole`` on. In places of one block those of later components, in
+    places of two those of the other side, but for the own component."""
+    new_tok = np.concatenate([[True], tok[1:] != tok[:-1]])
+    new_side = new_tok | np.concatenate([[True], side[1:] != side[:-1]])
+    new_comp = new_side | np.concatenate([[True], comp[1:] != comp[:-1]])
+    after = lambda new: np.append(np.flatnonzero(new)[1:], len(tok))[np.cumsum(new) - 1]
+    end, other = after(new_tok), after(new_side)
+    two, front = (tok & 1).astype(bool), side == 0
+    first = np.where(two, np.where(front, other, end), after(new_comp))
+    hole, width = np.full(len(tok), len(tok)), np.zeros(len(tok), np.int64)
+    f, g = np.flatnonzero(two & front), np.flatnonzero(two & ~front)
+    if len(f) and len(g):
+        place = np.unique(comp, return_inverse=True)[1]
+        key = (np.cumsum(new_tok) - 1) * (int(place.max()) + 1) + place
+        a, z = np.searchsorted(key[g], key[f], "left"), np.searchsorted(key[g], key[f], "right")
+        hole[f], width[f] = np.where(z > a, g[np.minimum(a, len(g) - 1)], len(tok)), z - a
+    return first, hole, width, np.maximum(end - first, 0) - width
+
+
 def bucket_pairs(t: pa.Table, bounds: Bounds) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(a, b, orders) of a bucket: pairs of records of different components that share a token, with the
     orders under which it lies in both prefixes, one bit each. Pairs whose sizes or bitmaps rule the
@@ -235,21 +280,18 @@ def bucket_pairs(t: pa.Table, bounds: Bounds) -> tuple[np.ndarray, np.ndarray, n
     size = t.column("size").to_numpy().astype(np.int64)
     bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(-1, PARITY)
     raw = t.column("tokens").to_pylist()
-    entry = np.frombuffer(b"".join(raw), dtype=[("t", "<u4"), ("p", "<u2", (ORDERS,))])
-    row = np.repeat(np.arange(len(ids)), [len(x) // entry.dtype.itemsize for x in raw])
+    entry = np.frombuffer(b"".join(raw), dtype=_ENTRY)
+    row = np.repeat(np.arange(len(ids)), [len(x) // _ENTRY.itemsize for x in raw])
     # only tokens with two records at least
     _, inverse, n = np.unique(entry["t"], return_inverse=True, return_counts=True)
     keep = n[inverse] > 1
-    tok, pos, row = entry["t"][keep], entry["p"][keep].astype(np.int64), row[keep]
-    order = np.lexsort((row, comp[row], tok))
-    tok, pos, row = tok[order], pos[order], row[order]
+    tok, side, pos, row = entry["t"][keep], entry["s"][keep], entry["p"][keep].astype(np.int64), row[keep]
+    order = np.lexsort((row, comp[row], side, tok))
+    tok, side, pos, row = tok[order], side[order], pos[order], row[order]
     if not len(tok):
         return (np.zeros(0, np.int64),) * 3
-    new_tok = np.concatenate([[True], tok[1:] != tok[:-1]])
-    new_sub = new_tok | np.concatenate([[True], comp[row][1:] != comp[row][:-1]])
-    ends = lambda new: np.append(np.flatnonzero(new)[1:], len(tok))[np.cumsum(new) - 1]
-    end, at = ends(new_tok), ends(new_sub)
-    live = np.flatnonzero(at < end)
+    first, hole, width, n = _partners(tok, side, comp[row])
+    live = np.flatnonzero(n > 0)
     sizes = size[row]
     found: list[np.ndarray] = []
     pending = 0
@@ -268,7 +310,8 @@ def bucket_pairs(t: pa.Table, bounds: Bounds) -> tuple[np.ndarray, np.ndarray, n
     while len(live):
         for part in range(0, len(live), 1 << 18):
             i = live[part : part + (1 << 18)]
-            j = at[i] + step
+            j = first[i] + step
+            j = np.where(j >= hole[i], j + width[i], j)
             a, b = sizes[i], sizes[j]
             total = a + b
             need = np.ceil(bounds.t / (1 + bounds.t) * total - 1e-9).astype(np.int64)
@@ -286,7 +329,7 @@ def bucket_pairs(t: pa.Table, bounds: Bounds) -> tuple[np.ndarray, np.ndarray, n
                 if pending > 2_000_000:
                     fold()
         step += 1
-        live = live[at[live] + step < end[live]]
+        live = live[n[live] > step]
     fold()
     if not found:
         return (np.zeros(0, np.int64),) * 3
@@ -334,6 +377,16 @@ def _bloom(ids: DataFrame, words: int = 1 << 18) -> np.ndarray:
     return out
 
 
+def common_tokens(a: list[bytes], na: np.ndarray, b: list[bytes], nb: np.ndarray) -> np.ndarray:
+    """How many tokens the two sets of each pair share: both sides' codes of (pair, token) are sorted together, where
+    equal neighbours are shared tokens. At most 65,536 pairs, as a token has 48 bits."""
+    pair = np.arange(len(a), dtype=np.uint64) << np.uint64(48)
+    both = np.concatenate([np.repeat(pair, na) | _unpack(b"".join(a)), np.repeat(pair, nb) | _unpack(b"".join(b))])
+    both.sort(kind="stable")
+    shared = both[1:][both[1:] == both[:-1]]
+    return np.bincount((shared >> np.uint64(48)).astype(np.int64), minlength=len(a))
+
+
 def verified(pairs: DataFrame, sets: DataFrame, bounds: Bounds) -> DataFrame:
     """(a, b) of ``pairs`` whose sets have at least t of their union in common, from the whole sets."""
     spark = pairs.sparkSession
@@ -353,26 +406,32 @@ def verified(pairs: DataFrame, sets: DataFrame, bounds: Bounds) -> DataFrame:
 
     def test(batches):
         for b in batches:
-            na, nb = b.column("na").to_numpy(), b.column("nb").to_numpy()
-            common = np.array([len(np.intersect1d(_unpack(x.as_py()), _unpack(y.as_py()), assume_unique=True)) for x, y in zip(b.column("sa"), b.column("sb"))], dtype=np.int64)
-            keep = pa.array(common >= bounds.t * (na + nb - common) - 1e-9)
-            yield pa.RecordBatch.from_arrays([b.column(c).filter(keep) for c in ("a", "b")], names=["a", "b"])
+            size = np.cumsum(b.column("na").to_numpy().astype(np.int64) + b.column("nb").to_numpy())
+            cut = [0, *(np.flatnonzero(np.diff(size // VERIFIED)) + 1), b.num_rows]
+            for k, z in zip(cut, cut[1:]):
+                part = b.slice(k, z - k)
+                na, nb = (part.column(c).to_numpy().astype(np.int64) for c in ("na", "nb"))
+                common = common_tokens(part.column("sa").to_pylist(), na, part.column("sb").to_pylist(), nb)
+                keep = pa.array(common >= bounds.t * (na + nb - common) - 1e-9)
+                yield pa.RecordBatch.from_arrays([part.column(c).filter(keep) for c in ("a", "b")], names=["a", "b"])
 
     return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(test, "a long, b long")
 
 
-def near_duplicates(texts: DataFrame, words: int = 5, similarity: float = 0.8, least: int = 20) -> DataFrame:
+def near_duplicates(texts: DataFrame, words: int = 5, similarity: float = 0.8, least: int = 20, stars: bool | None = None) -> DataFrame:
     """(group_id, id) of the records of ``texts`` (id, text) in groups of two or more linked, directly or
     through others, by a Jaccard similarity of at least ``similarity`` between their sets of ``words``-word
     runs. group_id: the smallest id of the group.
 
     1. Equal texts fall together to the one of smallest id by a hash; from there only that one goes on.
-    2. Stars: records that agree in their first tokens under three orders by hash are held against the one of
-       smallest id. This joins most of a large group with a number of pairs linear in its size.
+    2. Stars: the filter of step 3 with prefixes of one token. Records whose first tokens agree under three orders
+       at once, for STARS sets of orders, are held against the one of smallest id. This joins most of a large
+       group with a number of pairs linear in its size. Groups come out the same with and without stars, so they
+       are made only if more than CROWD records agree under the first three orders, or if ``stars`` is true.
     3. Prefix tokens of any order go to buckets by their hash; in a bucket, records of different
        components that share a token become candidates if sizes and parity bitmaps allow; a pair is kept if
        its shared tokens cover all orders. No pair of records that could be similar is left out, and no
-       list is capped.
+       list is capped; long lists are cut into blocks that meet in different tasks.
     4. Candidates are verified on the whole sets; components are joined.
 
     Texts of under ``least`` words, null and empty ones take no part. Repeated ids count once. Texts may have
@@ -387,18 +446,25 @@ def near_duplicates(texts: DataFrame, words: int = 5, similarity: float = 0.8, l
     sets = durable(shingle_sets(base.join(reps.select(F.col("rep").alias("id")), "id", "left_semi"), words, least), "sets")
     tokens = sets.agg(F.sum("size")).first()[0] or 0
     sketch = spark.sparkContext.broadcast(frequency_sketch(sets))
-
-    heads = durable(head_rows(sets), "heads")
-    stars = durable(_star_pairs(heads), "stars")
-    links = durable(verified(stars, sets, bounds), "links")
-    release(heads, stars)
-    comp = durable(connected_components(links), "comp")
-    known = comp.select(F.col("node").alias("id"), F.col("component").alias("comp"))
-    with_comp = sets.join(known, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    links, with_comp = None, sets.withColumn("comp", F.col("id"))
+    if stars is None:
+        stars = (head_rows(sets, 1).groupBy("head").count().agg(F.max("count")).first()[0] or 0) > CROWD
+    if stars:
+        heads = durable(head_rows(sets), "heads")
+        near = durable(_star_pairs(heads), "stars")
+        links = durable(verified(near, sets, bounds), "links")
+        release(heads, near)
+        comp = durable(connected_components(links), "comp")
+        known = comp.select(F.col("node").alias("id"), F.col("component").alias("comp"))
+        with_comp = sets.join(known, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens * 6 // (10 * BUCKET)))
     pairs = durable(candidate_pairs(with_comp, sketch, buckets, bounds), "pairs")
     more = durable(verified(pairs, sets, bounds), "more")
-    all_comp = durable(connected_components(links.unionByName(more)), "all")
+    release(pairs)
+    all_comp = durable(connected_components(links.unionByName(more) if stars else more), "all")
+    if stars:
+        release(links, comp)
+    release(more)
     members = all_comp.select(F.col("node").alias("id"), F.col("component").alias("group_id"))
     # copies of records that take part: of one text's copies all or none have enough words
     twins = copies.join(sets.select(F.col("id").alias("rep")), "rep", "left_semi")

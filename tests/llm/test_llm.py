@@ -204,8 +204,10 @@ def jaccard_groups(texts, k, t, least):
     return groups_of((a, b) for n, a in enumerate(ids) for b in ids[n + 1 :] if len(sets[a] & sets[b]) >= t * len(sets[a] | sets[b]) - 1e-12)
 
 
-@pytest.mark.parametrize(("k", "t", "seed"), [(3, 0.5, 1), (5, 0.8, 2), (2, 0.5, 3)])
-def test_near_duplicates(spark, k, t, seed):
+@pytest.mark.parametrize(("k", "t", "seed", "stars", "block"), [(3, 0.5, 1, True, 8192), (5, 0.8, 2, True, 20), (2, 0.5, 3, False, 8192), (3, 0.5, 4, False, 15), (2, 0.5, 5, None, 15)])
+def test_near_duplicates(spark, monkeypatch, k, t, seed, stars, block):
+    """With and without stars, with token lists whole and cut into blocks."""
+    monkeypatch.setattr(neardup, "LIST_BLOCK", block)
     r = random.Random(seed)
     vocab = [f"w{i}" for i in range(400)]
     texts, n = [], 0
@@ -234,10 +236,23 @@ def test_near_duplicates(spark, k, t, seed):
     add([r.choice(vocab) for _ in range(5000)])
     texts += [(2, None), (3, ""), (4, " \n"), (5, "only a few words"), (6, "Häuser! ÄPFEL, 2½ " * 12), (8, "häuser äpfel 2½ " * 12)]
     df = spark.createDataFrame(texts, "id long, text string").withColumns({"rep": F.lit(1), "comp": F.lit(2), "size": F.lit(3)}).repartition(4)
-    got = {(x.group_id, x.id) for x in neardup.near_duplicates(df, k, t, 20).collect()}
+    got = {(x.group_id, x.id) for x in neardup.near_duplicates(df, k, t, 20, stars).collect()}
     assert got == jaccard_groups(texts, k, t, 20)
 
 
+def test_a_hot_token_is_spread_over_buckets():
+    """30,000 records share the token; its blocks meet each other once, evenly over the buckets, and no pair is lost."""
+    ids = np.arange(30_000) * 20
+    h = np.full(len(ids), 12345, np.uint64)
+    at, bucket, tok, side = neardup._placed(h, ids, np.full(len(ids), 30_000), 100_003)
+    places = Counter(zip(bucket.tolist(), tok.tolist()))
+    blocks = -(-30_000 // neardup.LIST_BLOCK)
+    assert len(places) == blocks * (blocks + 1) // 2 and max(places.values()) < 2.1 * sorted(places.values())[len(places) // 2]
+    two = (tok & 1).astype(bool)
+    pairs = sum(n * (n - 1) // 2 for k, n in Counter(tok[~two].tolist()).items()) + sum(Counter(tok[two & (side == 0)].tolist())[k] * n for k, n in Counter(tok[two & (side == 1)].tolist()).items())
+    assert pairs == 30_000 * 29_999 // 2
+
+
 def test_near_duplicates_of_nothing(spark):
     df = spark.createDataFrame([], "id long, text string")
     assert neardup.near_duplicates(df, 3, 0.5, 20).count() == 0
