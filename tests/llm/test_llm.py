@@ -269,7 +269,7 @@ def shared_runs(docs, items, n=12):
     return {(a, b) for a in d for b in i if d[a] & i[b]}
 
 
-def test_leaks(spark):
+def test_leaks(spark, monkeypatch):
     r = random.Random(4)
     vocab = ["the", "of", "a", "crane", "löwe", "x1", "paradox", "mirror", "in", "guards", "日本", "notebook", "was", "slow"]
     text = lambda n: [r.choice(vocab) for _ in range(n)]
@@ -288,6 +288,9 @@ def test_leaks(spark):
     assert {(x.doc_id, x.item_id) for x in got if x.exact_words >= 12} == shared_runs(docs, items)
     assert leaks.leaked(df.limit(0), it).count() == 0
     assert leaks.leaked(df, it.limit(0)).count() == 0
+    monkeypatch.setattr(leaks, "ITEM_BLOCK", 300)
+    assert sorted(map(tuple, leaks.leaked(df, it).collect())) == sorted(map(tuple, got))
+    assert leaks.leaked(df, it.where("item_id > 89")).count() == 0
 
 
 def test_leaks_with_edits_and_in_blocks(spark, monkeypatch):
@@ -318,7 +321,18 @@ def runs_with_edits(doc, item, n, edits):
     return best
 
 
-def test_leaks_with_edits_anywhere(spark):
+def test_leaks_of_short_words(spark):
+    """The edits may leave only seven exact characters in a row."""
+    item = "a b c d e f g h i j k l"
+    docs = ["x " + item[:8] + "z" + item[9:15] + "y" + item[16:], item, "a b c", "zz " + item.replace("e", "").replace("  ", " ") + " q", " ".join(item.replace(" ", "")[::-1])]
+    got = {x.doc_id: (x.words, -x.edits) for x in leaks.leaked(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, item_text string")).collect()}
+    assert got == {k: v for k, t in enumerate(docs) if (v := runs_with_edits(t, item, 12, 2))[0]} and {0, 1, 3} <= set(got)
+
+
+@pytest.mark.parametrize("block", [4_000_000, 90])
+def test_leaks_with_edits_anywhere(spark, monkeypatch, block):
+    """Items broadcast, and in blocks by a shuffle."""
+    monkeypatch.setattr(leaks, "ITEM_BLOCK", block)
     r = random.Random(6)
     item = "after nine days the keeper has marked only sixty of the promised"
     more = item + " ropes while another still claims boredom or worse"
