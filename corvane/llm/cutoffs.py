@@ -15,9 +15,10 @@ class DyadicTree:
 
     A score s in lo..lo + 2^bits - 1 has the code s - lo. Level 0 is the root, level ``levels`` the
     leaves, each of 2^(bits - levels) codes; node k of a level covers an equal, aligned range. Each
-    batch appends its counts, so adding records never reads earlier ones, and nodes are summed when
-    read. A batch is aggregated before the shuffle to at most (sources x 2^levels) rows a task,
-    however many records one source has.
+    batch has an id and is a partition of the table: adding one never reads the others, adding it again, as a
+    retried job does, takes its old place, and nodes are summed when read. A tree opened on the same ``path`` goes
+    on where the last one stopped. A batch is aggregated before the shuffle to at most (sources x 2^levels) rows a
+    task, however many records one source has.
     """
 
     def __init__(self, spark: SparkSession, lo: int, bits: int, levels: int | None = None, path: str | None = None):
@@ -28,17 +29,25 @@ class DyadicTree:
     def leaf(self, score):
         return F.shiftright((score - F.lit(self.lo)).cast("long"), self.bits - self.levels)
 
-    def add_batch(self, records: DataFrame) -> None:
-        """``records`` (source, score); rows with a null or with a score out of range don't count."""
-        counts = self._usable(records).groupBy("source", self.leaf(F.col("score")).alias("leaf")).agg(F.count("*").alias("n"))
-        nodes = counts.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(self.levels)))).select("source", "level", F.expr(f"shiftright(leaf, {self.levels} - level)").alias("node"), "n")
-        nodes.groupBy("source", "level", "node").agg(F.sum("n").alias("n")).write.mode("append").parquet(self.path)
+    def _nodes_of(self, records: DataFrame, *keys: str) -> DataFrame:
+        counts = self._usable(records, *keys).groupBy(*keys, "source", self.leaf(F.col("score")).alias("leaf")).agg(F.count("*").alias("n"))
+        nodes = counts.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(self.levels)))).select(*keys, "source", "level", F.expr(f"shiftright(leaf, {self.levels} - level)").alias("node"), "n")
+        return nodes.groupBy(*keys, "source", "level", "node").agg(F.sum("n").alias("n"))
 
-    def _usable(self, records: DataFrame) -> DataFrame:
-        return records.select("source", "score").where(F.col("source").isNotNull() & F.col("score").between(self.lo, self.lo + (1 << self.bits) - 1))
+    def add_batch(self, records: DataFrame, batch: str) -> None:
+        """``records`` (source, score) as the batch of that id; rows with a null or with a score out of range don't
+        count."""
+        self._nodes_of(records).write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+
+    def add_batches(self, records: DataFrame) -> None:
+        """``records`` (batch, source, score): several batches in one pass, each in its place."""
+        self._nodes_of(records, "batch").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(self.path)
+
+    def _usable(self, records: DataFrame, *keys: str) -> DataFrame:
+        return records.select(*keys, "source", "score").where(F.col("source").isNotNull() & F.col("score").between(self.lo, self.lo + (1 << self.bits) - 1))
 
     def nodes(self) -> DataFrame:
-        schema = "source string, level int, node long, n long"
+        schema = "source string, level int, node long, n long, batch string"
         return self.spark.read.schema(schema).parquet(self.path).groupBy("source", "level", "node").agg(F.sum("n").alias("n"))
 
     def descend(self, targets: DataFrame) -> DataFrame:

@@ -60,9 +60,11 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_cutoffs(spark: SparkSession, d: str) -> DataFrame:
-    records = table(spark, d, "concepts").select(clean_key("source_list").alias("source"), F.col("surprise_score").alias("score")).where("score between 1 and 10")
-    tree = cutoffs.DyadicTree(spark, lo=1, bits=4)
-    tree.add_batch(records)
+    """The tree gets a batch for each year of enrichment; its leaves hold four scores each, refined in the end."""
+    year = F.coalesce(F.year("enriched_at").cast("string"), F.lit("none"))
+    records = table(spark, d, "concepts").select(year.alias("batch"), clean_key("source_list").alias("source"), F.col("surprise_score").alias("score")).where("score between 1 and 10")
+    tree = cutoffs.DyadicTree(spark, lo=1, bits=4, levels=2)
+    tree.add_batches(records)
     targets = table(spark, d, "sources").select(F.col("source_list").alias("source"), F.col("keep_percent").alias("percent"))
     return tree.cutoffs(targets, records).withColumnRenamed("source", "source_list")
 
@@ -95,4 +97,13 @@ def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_texts(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_survivors, p2_found, p2_neighbours, p3_found, p3_cutoffs, p4_found, p5_found, p5_clusters, p6_found, p6_leaks, p7_found, p7_plan, p7_mix, p8_found, p8_pieces)}
+def p8_rejoined(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, digest) of every text: of oversized ones put together again from their pieces, without what repeats."""
+    documents = table(spark, d, "documents")
+    pieces = splitting.split_texts(documents).select("doc_id", "piece", F.expr("substring(text, repeated + 1)").alias("new"))
+    whole = pieces.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", "new"))), lambda p: p["new"]), "").alias("text"))
+    rest = documents.select("doc_id", "text").where("text is not null").join(whole.select("doc_id"), "doc_id", "left_anti")
+    return whole.unionByName(rest).select("doc_id", F.md5("text").alias("digest"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_survivors, p2_found, p2_neighbours, p3_found, p3_cutoffs, p4_found, p5_found, p5_clusters, p6_found, p6_leaks, p7_found, p7_plan, p7_mix, p8_found, p8_pieces, p8_rejoined)}

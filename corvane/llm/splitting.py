@@ -89,9 +89,10 @@ def doubled_cuts(succ: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def _cut_batch(ids, texts, limit, overlap, enc, lengths):
-    """(id, piece, tokens, text) of a batch's oversized texts. All boundaries of the batch form one
+    """(id, piece, tokens, repeated, text) of a batch's oversized texts. All boundaries of the batch form one
     successor table, with offsets; pieces that count more than ``limit`` when encoded alone, as white
-    space at an edge may, are cut again with that much less room."""
+    space at an edge may, are cut again with that much less room. Where that would take over half of the room, bytes
+    are counted instead of tokens: no piece has more tokens than bytes."""
     todo = []
     for i, t in zip(ids, texts):
         tok = np.asarray(enc.encode_ordinary(t), dtype=np.int64)
@@ -121,21 +122,26 @@ def _cut_batch(ids, texts, limit, overlap, enc, lengths):
                 while a not in whole:  # inside a character: begin a little earlier, still within the limit below
                     a -= 1
                 s = raw[edge[a] : edge[cuts[k + 1]]].decode()
-                pieces.append((i, k, len(enc.encode_ordinary(s)), s))
+                again_ = len(raw[edge[a] : edge[cuts[k]]].decode())
+                pieces.append((i, k, len(enc.encode_ordinary(s)), again_, s))
             most = max(p[2] for p in pieces)
-            if most > limit and slack < limit // 2:
+            if most > limit and slack + most - limit < limit // 2:
                 again.append((i, t, raw, ends, slack + most - limit))
+            elif most > limit:
+                again.append((i, t, raw, np.arange(1, len(raw) + 1), 8))
             else:
                 yield from pieces
         todo = again
 
 
 def split_texts(documents: DataFrame, id_col: str = "doc_id", text: str = "text", limit: int = LIMIT, overlap: int = OVERLAP, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(id, piece, tokens, text): the pieces of every text of more than ``limit`` tokens, in order from 0.
+    """(id, piece, tokens, repeated, text): the pieces of every text of more than ``limit`` tokens, in order from 0;
+    repeated: the characters at the beginning that the piece before has, too.
 
     A piece has at most ``limit`` tokens, ends at the strongest boundary that fills half of its room and,
     after the first, begins with the last ``overlap`` tokens of the one before (a few more where that
-    would cut a character). Without the repeated tokens the pieces give the text byte for byte. Texts
+    would cut a character), as the whole text is encoded: encoded by themselves they may count one or two
+    tokens more or less. Without the repeated tokens the pieces give the text byte for byte. Texts
     within the limit, null and empty ones give no rows; repeated rows are each cut. A text is cut where
     it is read, without a shuffle. One of at most ``limit`` bytes can't have more tokens, as a token has a
     byte at least, and isn't encoded.
@@ -143,17 +149,17 @@ def split_texts(documents: DataFrame, id_col: str = "doc_id", text: str = "text"
     if not 0 <= overlap < limit // 2:
         raise ValueError("overlap must be under half of the limit")
     d = documents.select(F.col(id_col), F.col(text).alias("text")).where(F.octet_length("text") > limit)
-    schema = f"`{id_col}` {dict(documents.dtypes)[id_col]}, piece int, tokens int, text string"
+    schema = f"`{id_col}` {dict(documents.dtypes)[id_col]}, piece int, tokens int, repeated int, text string"
 
     def cut(batches):
         enc, lengths = encoder(vocabulary), token_bytes(vocabulary)
-        types = [None, pa.int32(), pa.int32(), pa.string()]
+        types = [None, pa.int32(), pa.int32(), pa.int32(), pa.string()]
         for b in batches:
             types[0] = b.schema.field(0).type
             for k in range(0, b.num_rows, 500):
                 part = b.slice(k, 500)
                 rows = list(_cut_batch(part.column(0).to_pylist(), part.column(1).to_pylist(), limit, overlap, enc, lengths))
-                cols = list(zip(*rows)) or [[], [], [], []]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=[id_col, "piece", "tokens", "text"])
+                cols = list(zip(*rows)) or [[]] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=[id_col, "piece", "tokens", "repeated", "text"])
 
     return d.mapInArrow(cut, schema)

@@ -17,9 +17,14 @@ m as (
 select group_id,
   first(id order by texts desc, enriched_at desc nulls last, id) survivor_id,
   coalesce(first(listed order by trust_rank nulls last), '') source_list,
-  first(id order by enriched_at desc nulls last, id) filter (surprise_score between 1 and 10) score_from
+  first(id order by enriched_at desc nulls last, id) filter (surprise_score between 1 and 10) score_from{0}
 from m group by group_id
 """
+BEST = ",\n  first({0} order by trust_rank nulls last, enriched_at desc nulls last, id) filter (regexp_matches({0}, '\\S')) {0}"
+SURVIVORS = P1.format(
+    ",\n  first(surprise_score order by enriched_at desc nulls last, id) filter (surprise_score between 1 and 10) surprise_score"
+    + "".join(BEST.format(c) for c in ("wiki_extract", "one_liner", "aha_explanation", "canonical_example"))
+)
 
 P3 = """
 with r as (
@@ -87,7 +92,9 @@ SQL = {
     "p2_found": P2.format("id concept_id, neighbour_id"),
     "p2_neighbours": P2.format("id, neighbour_id, similarity"),
     "p5_found": P5,
-    "p1_found": P1,
+    "p1_found": P1.format(""),
+    "p1_survivors": SURVIVORS,
+    "p8_rejoined": "select doc_id, md5(text) digest from documents where text is not null",
     "p3_found": P3.format(""),
     "p3_cutoffs": P3.format(", any_value(total) total"),
 }

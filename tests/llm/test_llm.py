@@ -57,14 +57,17 @@ def test_cutoffs(spark, levels):
     r = random.Random(5)
     rows = [(r.choice("abc"), r.choice([1, 2, 2, 2, 7, 40, 63])) for _ in range(400)] + [("d", 9)] * 50 + [(None, 3), ("a", None), ("a", -5), ("a", 900)]
     df = spark.createDataFrame(rows, "source string, score int")
-    tree = cutoffs.DyadicTree(spark, lo=0, bits=6, levels=levels)
-    tree.add_batch(df.limit(100))
-    tree.add_batch(df.subtract(df).limit(0))
     rest = spark.createDataFrame(rows[100:], "source string, score int")
     first = spark.createDataFrame(rows[:100], "source string, score int")
     tree = cutoffs.DyadicTree(spark, lo=0, bits=6, levels=levels)
-    for part in (first, rest, df.limit(0)):
-        tree.add_batch(part)
+    tree.add_batch(first.limit(7), "one")
+    for part, name in ((first, "one"), (rest, "two"), (rest, "two"), (df.limit(0), "none")):  # retried batches count once
+        tree.add_batch(part, name)
+    again = cutoffs.DyadicTree(spark, lo=0, bits=6, levels=levels, path=tree.path)
+    both = first.withColumn("batch", F.lit("one"))
+    again.add_batches(both)
+    assert again.nodes().where("level = 0").agg(F.sum("n")).first()[0] == 450
+    tree = again
     targets = spark.createDataFrame([("a", 30), ("b", 100), ("c", 1), ("d", 50), ("empty", 40)], "source string, percent int")
     got = {x.source: (x.cutoff, x.kept) for x in tree.cutoffs(targets, df).collect()}
     want = {}
@@ -380,7 +383,15 @@ def test_mix(spark):
     assert all(p.max_expected_uses <= p.max_uses + 1e-9 for p in plan.values())
     rep = {x.source: x for x in mixing.mix_report(docs, targets).collect()}
     assert all(rep[s].max_row_uses <= plan[s].max_uses for s in rep)
-    assert rep["big"].tokens == pytest.approx(plan["big"].expected_tokens, rel=0.05)
+    for x in ("big", "mid_size", "small"):
+        assert rep[x].tokens == pytest.approx(plan[x].expected_tokens, rel=0.01)
+    shares = {"lang": {"de": 0.5, "zz": 0.1}, "topic": {"chat": 0.6}}
+    table = mixing.cells(mixing.token_sizes(docs), targets).toPandas()
+    loose = targets.toPandas().assign(max_uses=50)
+    fit, wide = mixing.rake(table, loose, shares)
+    got = fit.assign(t=fit.uses * fit.tokens)
+    assert got.groupby("topic").t.sum()["chat"] / got.t.sum() == pytest.approx(0.6, abs=0.01) and got.groupby("lang").t.sum()["de"] / got.t.sum() == pytest.approx(0.5, abs=0.06)
+    assert not wide.short.any() and len(mixing.levels(docs, most=2)["lang"]) == 2
     assert sum(x.share for x in rep.values()) == pytest.approx(1)
     assert sorted(map(tuple, mixing.mix_uses(docs, targets).collect())) == sorted(map(tuple, mixing.mix_uses(docs.repartition(7), targets).collect()))
     empty = mixing.mix_report(docs.limit(0), targets).collect()
