@@ -48,8 +48,9 @@ def qgram_hashes(c: np.ndarray, q: int = Q) -> np.ndarray:
 class Lines:
     """Texts of words end to end after separators, with what an alignment asks of them at any position."""
 
-    def __init__(self, t: np.ndarray):
-        self.t = t
+    def __init__(self, t: np.ndarray, h: np.ndarray, q: int):
+        #: ``h``: a hash of the q characters from each position
+        self.t, self.h, self.q = t, h, q
         edge = (t == 32) | (t == 10)
         self.edge, self.sep, n = edge, np.flatnonzero(t == 10), len(t)
         before = np.concatenate([[True], edge[:-1]])
@@ -68,7 +69,7 @@ class Grams:
 
     def __init__(self, h: np.ndarray, pos: np.ndarray):
         order = np.argsort(h[pos], kind="stable")
-        self.at = pos[order]
+        self.at = pos[order].astype(np.int32)
         self.hashes, first = np.unique(h[self.at], return_index=True)
         self.first = np.append(first, len(pos))
 
@@ -82,7 +83,7 @@ class Grams:
     def expand(self, pos: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Each position with each one of its entry."""
         times = self.first[k + 1] - self.first[k]
-        p = np.repeat(pos, times)
+        p = np.repeat(pos.astype(np.int32), times)
         return p, self.at[np.repeat(self.first[k], times) + np.arange(len(p)) - np.repeat(np.cumsum(times) - times, times)]
 
 
@@ -107,7 +108,8 @@ class Items:
 
     ids: np.ndarray
     text: Lines
-    start: np.ndarray
+    #: by position of the text, the item
+    own: np.ndarray
     q: int
     #: by item: least characters of a run of the words asked for; q-grams a region must share
     least: np.ndarray
@@ -116,7 +118,9 @@ class Items:
     #: a run within the edit budget has an exact stretch of this many characters
     seed_size: int
     seeds: Grams
+    #: by the highest bits of a hash: whether some q-gram, or some seed, has them
     filter: np.ndarray
+    seed_filter: np.ndarray
 
 
 def index_items(rows: list[tuple[int, str]], words: int, edits: int) -> Items | None:
@@ -139,15 +143,17 @@ def index_items(rows: list[tuple[int, str]], words: int, edits: int) -> Items |
     q = min(Q, size)
     need = np.maximum(least - q + 1 - edits * q, 1)
     text = codes("\n" + "\n".join(texts) + "\n" * Q)
-    start = np.cumsum([1, *[len(t) + 1 for t in texts]])
+    own = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) + 1 for t in texts])
+    own = np.concatenate([own[:1], own, np.full(Q, own[-1])])[: len(text)]
     h = qgram_hashes(text, q)
     both = []
     for g, n in ((h, q), (_longer(h, q, size), size)):
         inside = np.convolve(text == 10, np.ones(n, np.int64))[n - 1 : n - 1 + len(g)] == 0  # none over a separator
         both.append(Grams(g, np.flatnonzero(inside)))
-    table = np.zeros(1 << FILTER_BITS, dtype=bool)
-    table[_slot(both[0].hashes)] = True
-    return Items(np.asarray(ids), Lines(text), start, q, least, need, both[0], size, both[1], table)
+    tables = [np.zeros(1 << FILTER_BITS, dtype=bool) for _ in both]
+    for table, grams in zip(tables, both):
+        table[_slot(grams.hashes)] = True
+    return Items(np.asarray(ids), Lines(text, h, q), own, q, least, need, both[0], size, both[1], *tables)
 
 
 def _slot(h: np.ndarray, bits: int = FILTER_BITS) -> np.ndarray:
@@ -160,7 +166,8 @@ def _ends(doc: Lines, text: Lines, x: np.ndarray, y: np.ndarray, step: int, edit
     word of both ends. Cells within e edits are, on each diagonal, all those up to the furthest (distances
     don't fall along a diagonal), so a band of 2 * edits + 1 furthest cells is the whole alignment."""
     rx, ry = doc.room(x, step), text.room(y, step)
-    none, o = np.full(len(x), -(1 << 40)), (-1 if step < 0 else 0)
+    none, q = np.full(len(x), -(1 << 40)), doc.q
+    o, far = (-1, -q) if step < 0 else (0, 0)
     last, out = {}, []
 
     def back(t, p):  # to an edge of a word
@@ -173,6 +180,12 @@ def _ends(doc: Lines, text: Lines, x: np.ndarray, y: np.ndarray, step: int, edit
             top = np.minimum(ry, rx - d)
             n = np.minimum(n, top)
             n[n < max(0, -d)] = none[0]
+            live = np.flatnonzero((n >= 0) & (n + q <= top))
+            while len(live):  # q characters at a time by their hashes, then one at a time
+                same = doc.h[x[live] + step * (n[live] + d) + far] == text.h[y[live] + step * n[live] + far]
+                live = live[same]
+                n[live] += q
+                live = live[n[live] + q <= top[live]]
             live = np.flatnonzero((n >= 0) & (n < top))
             while len(live):
                 same = doc.t[x[live] + step * (n[live] + d) + o] == text.t[y[live] + step * n[live] + o]
@@ -223,7 +236,7 @@ def _whole_words(text: Lines, other: Lines, a: np.ndarray, b: np.ndarray, oa: np
 def _mark(block: np.ndarray, item: np.ndarray, diag: np.ndarray) -> np.ndarray:
     """A slot for a stretch of the document, an item and 16 diagonals. What shares a slot by chance is looked at
     in vain, nothing is lost."""
-    key = (block * 1_000_003 + item).astype(np.uint64) * np.uint64(_ODD[0]) + (diag // 16).astype(np.uint64) * np.uint64(_ODD[1])
+    key = block.astype(np.uint64) * np.uint64(_ODD[0]) + item.astype(np.uint64) * np.uint64(_ODD[2]) + (diag >> 4).astype(np.uint64) * np.uint64(_ODD[1])
     return ((key ^ (key >> np.uint64(32))) * np.uint64(_ODD[3]) >> np.uint64(64 - MARK_BITS)).astype(np.int64)
 
 
@@ -232,36 +245,34 @@ def find(doc: np.ndarray, items: Items, words: int, edits: int):
     exact run, words in the best run with up to ``edits`` edits, its edits)."""
     q, text = items.q, items.text.t
     h = qgram_hashes(doc, q)
-    maybe = np.flatnonzero(items.filter[_slot(h)])
-    hit, at = items.grams.find(h[maybe])
-    pos = maybe[hit]
-    # no region of any item can be where too few q-grams of all items are near
-    window, need = int(items.least.max()) + edits - q + 1, int(items.need.min())
-    far = np.searchsorted(pos, pos + window, "left")
-    dense = far - np.arange(len(pos)) >= need
-    cover = np.zeros(len(pos) + 1, np.int64)
-    np.add.at(cover, np.flatnonzero(dense), 1)
-    np.add.at(cover, far[dense], -1)
-    keep = np.cumsum(cover[:-1]) > 0
-    pos, at = pos[keep], at[keep]
     # a region has an exact stretch of seed_size: only q-grams near one, of its item and diagonals, go on
     longer = _longer(h, q, items.seed_size)
-    seed = pos[pos < len(longer)]
+    seed = np.flatnonzero(items.seed_filter[_slot(longer)])
     hit, k = items.seeds.find(longer[seed])
     sp, si = items.seeds.expand(seed[hit], k)
     if not len(sp):
         return
+    window, need = int(items.least.max()) + edits - q + 1, int(items.need.min())
     block = window + q
     near = np.zeros(len(doc) // block + 3, dtype=bool)
     marked = np.zeros(1 << MARK_BITS, dtype=bool)
-    s_item = np.searchsorted(items.start, si, "right") - 1
+    s_item = items.own[si]
     for side in (-1, 0, 1):
         near[sp // block + 1 + side] = True
         for e in (-edits, edits):
             marked[_mark(sp // block + side, s_item, sp - si + e)] = True
-    some = near[pos // block + 1]
+    maybe = np.flatnonzero(np.repeat(near[1:], block)[: len(h)] & items.filter[_slot(h)])
+    hit, at = items.grams.find(h[maybe])
+    pos = maybe[hit]
+    # no region of any item can be where too few q-grams of all items are near
+    far = np.searchsorted(pos, pos + window, "left")
+    dense = far - np.arange(len(pos)) >= need
+    cover = np.zeros(len(pos) + 1, np.int64)
+    np.add.at(cover, np.flatnonzero(dense), 1)
+    np.add.at(cover, far[dense], -1)
+    some = np.cumsum(cover[:-1]) > 0
     p, i = items.grams.expand(pos[some], at[some])
-    item = np.searchsorted(items.start, i, "right") - 1
+    item = items.own[i]
     some = marked[_mark(p // block, item, p - i)]
     p, i, item = p[some], i[some], item[some]
     if not len(p):
@@ -271,7 +282,7 @@ def find(doc: np.ndarray, items: Items, words: int, edits: int):
     ok = np.zeros(len(p), dtype=bool)
     for shift in (0, edits + 1):
         band = (diag + shift) // (2 * (edits + 1))
-        order = np.argsort(item * (int(band.max() - band.min()) + 1) + band - band.min(), kind="stable")  # p ascends already
+        order = np.argsort(item.astype(np.int64) * (int(band.max()) - int(band.min()) + 1) + (band - band.min()), kind="stable")  # p ascends already
         sp, sb, si = p[order], band[order], item[order]
         new = np.concatenate([[True], (sp[1:] != sp[:-1]) | (sb[1:] != sb[:-1]) | (si[1:] != si[:-1])])
         lead = np.flatnonzero(new)  # one position counts once in a band
@@ -306,13 +317,13 @@ def find(doc: np.ndarray, items: Items, words: int, edits: int):
                 b[live] += 1
                 ib[live] += 1
     a, b, ia, ib, item = (z for z in np.unique(np.stack([a, b, ia, ib, item]), axis=1))
-    lines = Lines(doc)
+    lines = Lines(doc, h, q)
     exact = _whole_words(lines, items.text, a, b, ia, ib)
     # a run within the edits has a long stretch, from which it is found; shorter ones only tell exact words
     w, spent = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
     long = np.flatnonzero(b - a >= seed_length(items.least[item], edits))
     w[long], spent[long] = _best_run(lines, items.text, a[long], b[long], ia[long], ib[long], edits)
-    pair = item * (len(lines.sep) + 1) + np.searchsorted(lines.sep, a)
+    pair = item.astype(np.int64) * (len(lines.sep) + 1) + np.searchsorted(lines.sep, a)
     for k in np.flatnonzero(np.isin(pair, pair[(w >= words) | (exact >= words)])):
         yield int(a[k]), int(items.ids[item[k]]), int(exact[k]), int(w[k]), int(spent[k])
 
