@@ -88,50 +88,49 @@ class _Tree(HTMLParser):
             self.at.children.append(data)
 
 
+def _top_nodes(tree: _Tree):
+    """(section, element) of a page's elements outside of any list or box, in order. A second-level heading opens the
+    section of its words, other headings open none; what comes before is in section ''."""
+    root = next((n for n in tree.root.walk() if "mw-parser-output" in n.classes), None) or next(tree.root.walk({"body"}), tree.root)
+    section = ""
+    for n in root.children:
+        if isinstance(n, str):
+            continue
+        marks = [c for c in n.classes if c.startswith("mw-heading") and c[10:].isdigit()] if n.tag == "div" else []
+        if n.tag == "h2" or "mw-heading2" in marks:
+            words = n.text(" ").lower()
+            section = words.removesuffix("]").rstrip().removesuffix("edit").rstrip().removesuffix("[").strip() if words.endswith("]") else words
+        elif not marks:
+            yield section, n
+
+
 def extract_entries(html: str, skip: tuple[str, ...] = (), prefix: str = "/wiki/") -> list[tuple[str, str]]:
     """(title, anchor) of a list page's entries in page order, each title once: the first link of every list item
     and of the first cell of every row of content tables, outside the sections of SKIPPED and ``skip``."""
     tree = _Tree()
     tree.feed(html or "")
-    root = next((n for n in tree.root.walk() if "mw-parser-output" in n.classes), None)
-    if root is None:
-        root = next((n for n in tree.root.walk({"body"})), tree.root)
-    skipped = set(SKIPPED) | {s.replace("_", " ").strip().lower() for s in skip}
-    found: dict[str, str] = {}
+    closed = {*SKIPPED, *(s.replace("_", " ").strip().lower() for s in skip)}
+    is_content = lambda n: n.tag == "table" and "wikitable" in n.classes and not n.classes & NO_CONTENT
+
+    def places(n):
+        tables = [n] if is_content(n) else [t for t in n.walk({"table"}) if is_content(t)]
+        for t in tables:
+            for row in t.walk({"tr"}):
+                cells = list(row.walk({"td", "th"}))
+                if {"td"} & {c.tag for c in cells}:
+                    yield cells[0]
+        if not is_content(n):
+            yield from n.walk({"li"}, without=lambda x: x.tag == "table" or bool(x.classes & NOISE))
 
-    def take(place):
-        a = next((n for n in place.walk({"a"}) if "href" in n.attrs), None)
-        if a is not None and not a.classes & NO_LINK and (t := _title(a.attrs["href"], prefix)):
-            found.setdefault(t, a.text() or t)
-
-    def rows(table):
-        for tr in table.walk({"tr"}):
-            cells = list(tr.walk({"td", "th"}))
-            if cells and any(c.tag == "td" for c in cells):
-                take(cells[0])
-
-    content = lambda n: "wikitable" in n.classes and not n.classes & NO_CONTENT
-    section = None
-    for node in root.children:
-        if not isinstance(node, _Node):
-            continue
-        level = next((c for c in node.classes if re.fullmatch(r"mw-heading\d", c)), None) if node.tag == "div" else None
-        if level or node.tag == "h2":
-            if node.tag == "h2" or level[-1] == "2":
-                h = node if node.tag == "h2" else next(iter(node.walk({f"h{i}" for i in range(1, 7)})), None)
-                section = re.sub(r"\[\s*edit\s*\]$", "", h.text(" ") if h else "", flags=re.I).strip().lower()
-            continue
-        if section in skipped or node.tag not in SCANNED:
+    found: dict[str, str] = {}
+    for section, n in _top_nodes(tree):
+        if section in closed or n.tag not in SCANNED:
             continue
-        if node.tag == "table":
-            if content(node):
-                rows(node)
-                continue
-        for t in node.walk({"table"}):
-            if content(t):
-                rows(t)
-        for li in node.walk({"li"}, without=lambda n: n.tag == "table" or bool(n.classes & NOISE)):
-            take(li)
+        for place in places(n):
+            link = next((x for x in place.walk({"a"}) if "href" in x.attrs), None)
+            title = None if link is None or link.classes & NO_LINK else _title(link.attrs["href"], prefix)
+            if title and title not in found:
+                found[title] = link.text() or title
     return list(found.items())
 
 

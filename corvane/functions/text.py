@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
 
 import pandas as pd
@@ -78,59 +77,56 @@ def attribution(author: Column, source: Column) -> Column:
     return F.concat_ws(", ", F.nullif(author, F.lit("")), F.nullif(source, F.lit("")))
 
 
-# Wikitext and quotes
+# Wikitext and quotes, as column expressions
 
+_TEMPLATE = r"(?s)\{\{(?:(?!\{\{|\}\}).)*+\}\}"
 
-def _drop_templates(s: str) -> str:
-    out, depth, i = [], 0, 0
-    while i < len(s):
-        if s.startswith("{{", i):
-            depth, i = depth + 1, i + 2
-        elif s.startswith("}}", i) and depth:
-            depth, i = depth - 1, i + 2
-        else:
-            if not depth:
-                out.append(s[i])
-            i += 1
-    return "".join(out)
 
+def _without_templates(c: Column) -> Column:
+    """Innermost templates are removed as often as they are nested; an unclosed one stays. Texts without any aren't
+    looked at."""
+    marks = F.regexp_extract_all(c, F.lit(r"\{\{|\}\}"), F.lit(0))
+    start = F.struct(F.lit(0).alias("open"), F.lit(0).alias("most"))
 
-def clean_wikitext(s: str) -> str:
+    def step(acc, mark):
+        now = F.when(mark == "{{", acc["open"] + 1).otherwise(F.greatest(acc["open"] - 1, F.lit(0)))
+        return F.struct(now.alias("open"), F.greatest(acc["most"], now).alias("most"))
+
+    depth = F.aggregate(marks, start, step, lambda acc: acc["most"])
+    clean = F.aggregate(F.sequence(F.lit(1), F.greatest(depth, F.lit(1))), c, lambda acc, _: F.regexp_replace(acc, _TEMPLATE, ""))
+    return F.when(F.contains(c, F.lit("{{")), clean).otherwise(c)
+
+
+def clean_wikitext(c: Column) -> Column:
     """Plain text: references removed, line breaks as blanks, templates and markup removed, links as their text,
-    tags removed, white space collapsed."""
-    s = re.sub(r"<ref[^>/]*/>|<ref[^>]*>.*?</ref>", "", s, flags=re.S | re.I)
-    s = re.sub(r"<\s*br\s*/?\s*>", " ", s, flags=re.I)
-    s = _drop_templates(s)
-    s = re.sub(r"\[\[(?:[^\[\]|]*\|)*([^\[\]|]*)\]\]", r"\1", s)
-    s = re.sub(r"\[(?:https?:)?//\S+ ([^\]]*)\]", r"\1", s)
-    s = re.sub(r"'{2,}", "", s)
-    return re.sub(r"\s+", " ", re.sub(r"<[^>]+>", "", s)).strip()
-
-
-def extract_quotes(wikitext: str, most: int = 8) -> list[tuple[str, str]]:
-    """(text, attribution) of the quotes in a page: lines with one leading '*', with the '**' lines after one as
-    its attribution, else what follows a last dash. Each text once, ``most`` at most."""
-    q = "'\"“”‘’"
-    found: dict[str, str] = {}
-    current: str | None = None
-    notes: list[str] = []
-
-    def close():
-        if current is None:
-            return
-        text, by = clean_wikitext(current), " — ".join(filter(None, map(clean_wikitext, notes)))
-        if not by and (m := re.search(r"\s+[—–-]{1,2}\s+(.+)$", text)):
-            text, by = text[: m.start()].rstrip(), m[1].strip()
-        text = text.lstrip(q).rstrip(q).strip()
-        letters = sum(map(str.isalpha, text))
-        if 20 <= len(text) <= 600 and " " in text and not text.lower().startswith(META) and 2 * letters >= len(text):
-            found.setdefault(text, by)
-
-    for line in map(str.lstrip, wikitext.splitlines()):
-        if line.startswith("**"):
-            notes.append(line.lstrip("*").strip())
-            continue
-        close()
-        current, notes = (line[1:].lstrip(), []) if line.startswith("*") else (None, [])
-    close()
-    return list(found.items())[:most]
+    tags removed, white space collapsed. Null stays null."""
+    for pattern, by in ((r"(?is)<ref[^>/]*/>|<ref[^>]*>.*?</ref>", ""), (r"(?i)<\s*br\s*/?\s*>", " ")):
+        c = F.regexp_replace(c, pattern, by)
+    c = _without_templates(c)
+    for pattern, by in ((r"\[\[(?:[^\[\]|]*\|)*([^\[\]|]*)\]\]", "$1"), (r"\[(?:https?:)?//\S+ ([^\]]*)\]", "$1"), (r"'{2,}", ""), (r"<[^>]+>", ""), (r"\s+", " ")):
+        c = F.regexp_replace(c, pattern, by)
+    return F.trim(c)
+
+
+def _blocks(page: Column) -> Column:
+    """Bullets of one '*', each with the lines of several '*' right after it, as they stand."""
+    return F.regexp_extract_all(F.regexp_replace(page, r"\r\n?", "\n"), F.lit(r"(?m)^[ \t]*\*(?!\*)[^\n]*(?:\n[ \t]*\*\*[^\n]*)*"), F.lit(0))
+
+
+def quotes_of(page: Column, most: int = 8) -> Column:
+    """The quotes in a page, an array of (text, attribution): bullets that look like one, with what is under them as
+    their attribution, else what follows a first dash. Each text once, ``most`` at most. Null and empty pages
+    have none."""
+
+    def quote(block):
+        lines = F.transform(F.split(block, "\n"), lambda line: clean_wikitext(F.regexp_replace(line, r"^[ \t]*\*+", "")))
+        under = F.array_join(F.filter(F.slice(lines, 2, 10_000), lambda line: line != ""), " — ")
+        dashed = r"^(.*?\S)\s+[—–-]{1,2}\s+(\S.*)$"
+        split = (under == "") & lines[0].rlike(dashed)
+        text = F.when(split, F.regexp_extract(lines[0], dashed, 1)).otherwise(lines[0])
+        return F.struct(strip_outer_quotes(text).alias("text"), F.when(split, F.trim(F.regexp_extract(lines[0], dashed, 2))).otherwise(under).alias("attribution"))
+
+    found = F.filter(F.transform(_blocks(page), quote), lambda q: looks_like_quote(q["text"]))
+    texts = F.transform(found, lambda q: q["text"])
+    once = F.filter(found, lambda q, i: F.array_position(texts, q["text"]) == i + 1)
+    return F.coalesce(F.slice(once, 1, most), F.array().cast("array<struct<text:string,attribution:string>>"))

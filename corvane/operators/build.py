@@ -12,24 +12,72 @@ DOMAINS = """cognitive_science psychology philosophy logic mathematics physics b
 computer_science decision_theory perception ethics narrative rhetoric software_engineering game_theory history religion
 aesthetics other""".split()
 AFFECTS = "mind_bending practical unsettling wholesome melancholic existential funny sobering neutral".split()
-#: Display names; other keys are shown as they are.
-LABELS = {"bias": "Cognitive bias", "effect": "Named effect", "effects": "Named effects", "mind_bending": "Mind-bending"}
-_SAME = """fallacy paradox thought_experiment heuristic phenomenon concept principle misconception law hypothesis
-cognitive_science psychology philosophy logic mathematics physics biology economics linguistics sociology computer_science
-decision_theory perception ethics other practical unsettling wholesome melancholic existential funny sobering neutral
-cognitive_biases fallacies paradoxes thought_experiments""".split()
-
-
-def label_names() -> dict[str, str]:
-    """Display names by key: LABELS, and for the other known keys the key with its first letter large and '_' as
-    blank."""
-    return LABELS | {k: k[0].upper() + k[1:].replace("_", " ") for k in _SAME}
+#: Display names of facet values, by kind of facet; others are shown as they are.
+LABELS = {
+    "form": {
+        "bias": "Cognitive bias",
+        "fallacy": "Fallacy",
+        "paradox": "Paradox",
+        "thought_experiment": "Thought experiment",
+        "effect": "Named effect",
+        "heuristic": "Heuristic",
+        "phenomenon": "Phenomenon",
+        "concept": "Concept",
+        "principle": "Principle",
+        "misconception": "Misconception",
+        "law": "Law",
+        "hypothesis": "Hypothesis",
+    },
+    "domain": {
+        "cognitive_science": "Cognitive science",
+        "psychology": "Psychology",
+        "philosophy": "Philosophy",
+        "logic": "Logic",
+        "mathematics": "Mathematics",
+        "physics": "Physics",
+        "biology": "Biology",
+        "economics": "Economics",
+        "linguistics": "Linguistics",
+        "sociology": "Sociology",
+        "computer_science": "Computer science",
+        "decision_theory": "Decision theory",
+        "perception": "Perception",
+        "ethics": "Ethics",
+        "other": "Other",
+    },
+    "affect": {
+        "mind_bending": "Mind-bending",
+        "practical": "Practical",
+        "unsettling": "Unsettling",
+        "wholesome": "Wholesome",
+        "melancholic": "Melancholic",
+        "existential": "Existential",
+        "funny": "Funny",
+        "sobering": "Sobering",
+        "neutral": "Neutral",
+    },
+    "source": {
+        "cognitive_biases": "Cognitive biases",
+        "fallacies": "Fallacies",
+        "paradoxes": "Paradoxes",
+        "thought_experiments": "Thought experiments",
+        "effects": "Named effects",
+    },
+}
+#: The score under which a concept is dropped, and the reason given.
+LEAST_SURPRISE, LOW_SURPRISE = 4, "low_surprise"
+
+
+def label(kind: str, c):
+    """The display name of a facet value of a kind (see LABELS), or the value itself."""
+    table = F.create_map(*[F.lit(x) for kv in LABELS[kind].items() for x in kv])
+    return F.coalesce(F.try_element_at(table, c), c)
 
 
-def label(c):
-    """The display name of a facet value, or the value itself."""
-    table = F.create_map(*[F.lit(x) for kv in label_names().items() for x in kv])
-    return F.coalesce(F.try_element_at(table, c), c)
+def dropped(df: DataFrame, least: int = LEAST_SURPRISE) -> DataFrame:
+    """``df`` with dropped (0 or 1) and drop_reason by its surprise_score; a null score drops nothing."""
+    low = F.coalesce(F.col("surprise_score") < least, F.lit(False))
+    return df.withColumns({"dropped": low.cast("int"), "drop_reason": F.when(low, F.lit(LOW_SURPRISE))})
 
 
 def string_list(c):
@@ -133,20 +181,34 @@ def quotes_waterfall(quotes: DataFrame, order: tuple[str, ...] = ("wikiquote", "
 
 def verified_quotes(quotes: DataFrame, evidence: DataFrame, phrase) -> DataFrame:
     """``quotes`` (id, text) with the first evidence page (site_order, page_title, body) that holds the phrase
-    built by ``phrase``, which may end amid words of the page. Candidates meet by a word, not in a cross join: a
-    page that holds a phrase has all words inside it, so it is enough to join on the longest one. Only a phrase
-    without a word inside is compared to all pages."""
-    word = r"[\p{L}\p{N}]+"
-    words = lambda c, w=word: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(w), F.lit(0)))
-    inside = rf"(?<=[^\p{{L}}\p{{N}}]){word}(?=[^\p{{L}}\p{{N}}])"
+    built by ``phrase``, which may end amid words of the page; (id, site_order, page_title).
+
+    A page that holds a phrase has all tokens between the phrase's first and last blank as tokens of its own, so
+    candidates meet by one of them: the one in the fewest pages. Only tokens that some phrase asks for leave a page,
+    without its text; texts are brought to the candidates in the end. Phrases have three words at least; null ones
+    and null bodies match nothing."""
     p = quotes.select("id", F.lower(phrase).alias("p")).where("p is not null")
-    p = p.withColumn("w", F.array_max(F.transform(words(F.col("p"), inside), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
-    pages = evidence.select("site_order", "page_title", F.lower("body").alias("body"))
-    hit = p.join(pages.withColumn("w", F.explode(words(F.col("body")))), "w").where("contains(body, p)").select("id", "site_order", "page_title")
-    hit = hit.unionByName(p.where("w is null").join(pages, F.expr("contains(body, p)")).select("id", "site_order", "page_title"))
+    tokens = F.split("p", " ")
+    inner = p.select("id", "p", F.explode(F.array_distinct(F.slice(tokens, 2, F.greatest(F.size(tokens) - 2, F.lit(0))))).alias("w"))
+    pages = evidence.where("body is not null").select("site_order", "page_title", F.lower("body").alias("body"))
+    asked = pages.select("site_order", "page_title", F.explode(F.array_distinct(F.split("body", " "))).alias("w")).join(inner.select("w").distinct(), "w", "left_semi")
+    in_pages = asked.groupBy("w").agg(F.count("*").alias("pages"))
+    rarest = inner.join(in_pages, "w").groupBy("id", "p").agg(F.min(F.struct("pages", "w"))["w"].alias("w"))
+    met = rarest.join(asked, "w").select("id", "p", "site_order", "page_title").distinct()
+    hit = met.join(pages, ["site_order", "page_title"]).where("contains(body, p)")
     return hit.groupBy("id").agg(F.min(F.struct("site_order", "page_title")).alias("h")).select("id", "h.*")
 
 
+def checked_quotes(quotes: DataFrame, cache: DataFrame, evidence: DataFrame, phrase) -> DataFrame:
+    """(key, site_order, page_title) of each distinct text of ``quotes`` (id, text): out of ``cache`` (of the same
+    columns) where it was checked before, whether found or not, else as it is found now. Texts found nowhere have
+    nulls, and so aren't looked for again."""
+    t = quotes.where("text is not null").select(F.sha2("text", 256).alias("key"), "text").distinct()
+    new = t.join(cache.select("key"), "key", "left_anti").select(F.col("key").alias("id"), "text")
+    hits = verified_quotes(new, evidence, phrase).withColumnRenamed("id", "key")
+    return cache.select("key", "site_order", "page_title").unionByName(new.select(F.col("id").alias("key")).join(hits, "key", "left"))
+
+
 def replaced_edges(existing: DataFrame, made: DataFrame, sources: list[str]) -> DataFrame:
     """Edges (src_id, dst_id, kind, source, weight, note) after a rebuild: those of ``sources`` are dropped, then the
     made ones are added, the first by source, then weight, of each (src_id, dst_id, kind); kept ones win."""

@@ -82,10 +82,11 @@ ORDERS = {
 
 
 def sort(df: DataFrame, by: str) -> DataFrame:
-    """By surprise (high first), obscurity (low first; ``obscurity_desc`` for the other way) or title; ties
-    by id. An unknown name sorts by id."""
+    """By surprise (high first), obscurity (low first; ``obscurity_desc`` for the other way) or title, as dictionaries
+    order words whatever their case and accents (Unicode collation); ties by id. An unknown name sorts by id."""
     way, col = ORDERS.get(by, [F.asc, "id"])
-    return df.orderBy(way(col), "id") if col != "id" else df.orderBy("id")
+    key = F.collate(F.col(col), "UNICODE") if col == "title" else F.col(col)
+    return df.orderBy(way(key), "id") if col != "id" else df.orderBy("id")
 
 
 def page(df: DataFrame, by: str, offset: int, limit: int) -> DataFrame:
@@ -93,6 +94,13 @@ def page(df: DataFrame, by: str, offset: int, limit: int) -> DataFrame:
     return sort(df, by).offset(max(0, offset)).limit(max(0, limit))
 
 
+def page_with_total(df: DataFrame, by: str, offset: int, limit: int) -> DataFrame:
+    """One page in order with ``total``, how many rows there are in all, in every row. An empty page has no rows, so
+    no total; ``df.count()`` gives it."""
+    total = df.agg(F.count("*").alias("total"))
+    return page(df, by, offset, limit).crossJoin(F.broadcast(total))  # one row
+
+
 def clamp_int(v, default: int, low: int, high: int) -> int:
     """Floored and clamped; the default for null, '' and what is no finite number."""
     import math

@@ -6,9 +6,13 @@ they happened, then by when they came in, then by signal, so that late rows find
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from datetime import datetime, timezone
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+SCHEMA = "user_key string, slug string, signal string, reacted_at timestamp, received_at timestamp"
 SIGNALS = ("knew", "didnt", "mind_blown")
 
 
@@ -32,6 +36,58 @@ def replay(log: DataFrame, add: str, remove: str) -> DataFrame:
     return gone.join(first, ["user_key", "slug"], "left").select("user_key", "slug", "created_at", F.col("created_at").isNotNull().alias("present"))
 
 
+class ReactionLog:
+    """Writes to the append-only log in a folder, which may lie on any file system Spark can reach. A state is what
+    the log replays to, so writes from several places need no lock: adding again changes nothing, and of several
+    additions at once the first time counts."""
+
+    PAIRS = {"favorite": "unfavorite", "dismissed": "undismissed"}
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def read(self) -> DataFrame:
+        try:
+            return self.spark.read.schema(SCHEMA).parquet(self.folder)
+        except AnalysisException:  # nothing written yet
+            return self.spark.createDataFrame([], SCHEMA)
+
+    def _append(self, user: str, slug: str, signal: str, at) -> None:
+        now = datetime.now(timezone.utc) if at is None else at
+        self.spark.createDataFrame([(user, slug, signal, now, now)], SCHEMA).coalesce(1).write.mode("append").parquet(self.folder)
+
+    def _of(self, user: str, slug: str, kind: str):
+        own = self.read().where((F.coalesce("user_key", F.lit("")) == user) & (F.col("slug") == slug))
+        return replay(own, kind, self.PAIRS[kind]).where("present").first()
+
+    def add(self, user: str, slug: str, kind: str = "favorite", at=None):
+        """When the slug was added; it stays at the first time if it is there already."""
+        if self._of(user, slug, kind) is None:
+            self._append(user, slug, kind, at)
+        return self._of(user, slug, kind).created_at
+
+    def remove(self, user: str, slug: str, kind: str = "favorite", at=None) -> bool:
+        """Whether it was there."""
+        if self._of(user, slug, kind) is None:
+            return False
+        self._append(user, slug, self.PAIRS[kind], at)
+        return True
+
+    def contains(self, user: str, slug: str, kind: str = "favorite") -> bool:
+        return self._of(user, slug, kind) is not None
+
+    def signal(self, user: str, slug: str, signal: str | None, at=None) -> None:
+        """Sets the user's signal on a slug; None clears it."""
+        if signal is not None and signal not in SIGNALS:
+            raise ValueError(f"unknown signal {signal!r}")
+        self._append(user, slug, signal or "clear", at)
+
+    def list(self, user: str, kind: str = "favorite") -> DataFrame:
+        """(slug, created_at), newest first."""
+        own = self.read().where(F.coalesce("user_key", F.lit("")) == user)
+        return replay(own, kind, self.PAIRS[kind]).where("present").select("slug", "created_at").orderBy(F.desc("created_at"), "slug")
+
+
 def favorites(log: DataFrame) -> DataFrame:
     return replay(log, "favorite", "unfavorite").where("present").drop("present")
 

@@ -1,12 +1,13 @@
 """Exact vector retrieval: a stated set of query vectors against all rows, scored in Arrow blocks.
 
-Query vectors are few and held by the driver (at most BLOCK at a time); the rows stay where they are read.
-Each task keeps its own best per query, so what is shuffled doesn't grow with the rows.
+Up to BLOCK query vectors are broadcast and the rows stay where they are read. More of them are cut into blocks, as the
+rows are, and each two blocks meet in a task of a shuffle, so neither the driver nor a task holds more for more
+queries. Each task keeps its own best per query.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +17,10 @@ from pyspark.sql import functions as F
 from corvane.functions.vectors import parse, unit
 from corvane.operators.facets import Filters, apply
 
-#: Query vectors sent to the tasks at once.
+#: Query vectors that are broadcast, and held by a task, at most.
 BLOCK = 4096
+#: Rows that meet a block of queries in one task, about.
+ROWS = 200_000
 #: Rows held against them at once; at most 8,192.
 STEP = 1024
 
@@ -50,49 +53,84 @@ def top_k(vectors: DataFrame, q: np.ndarray, dim: int, k: int) -> DataFrame:
     return scores(vectors, q[None, :], dim).select("id", F.col("s")[0].alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
-def _blocks(queries: DataFrame, dim: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _against(queries: DataFrame, vectors: DataFrame, dim: int, score) -> DataFrame:
+    """(src, dst, score) rows made by ``score``(query ids, query vectors, batches of (ids, vectors)) in each task."""
+    spark, schema = vectors.sparkSession, "src long, dst long, score double"
+
+    def out(qid, q, batches):
+        for src, dst, s in score(qid, q, batches):
+            yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst), pa.array(s)], names=["src", "dst", "score"])
+
     n = queries.count()
-    blocks = max(1, -(-n // BLOCK))
-    for b in range(blocks):
-        t = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).select("id", "embedding").toArrow()
-        if t.num_rows:
-            ids, x = parse(t.column("id"), t.column("embedding"), dim)
-            yield ids, unit(x)
+    if n <= BLOCK:
+        t = queries.select("id", "embedding").toArrow()  # at most BLOCK rows
+        qid, q = parse(t.column("id"), t.column("embedding"), dim) if n else (np.zeros(0, np.int64), np.zeros((0, dim)))
+        sent = spark.sparkContext.broadcast((qid, unit(q)))
+
+        def scan(batches):
+            if len(sent.value[0]):
+                yield from out(*sent.value, (parse(b.column(0), b.column(1), dim) for b in batches))
+
+        return vectors.select("id", "embedding").mapInArrow(scan, schema)
+
+    a = -(-n // BLOCK)
+    b = max(-(-vectors.count() // ROWS), -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // a))
+    block = lambda k: F.pmod(F.xxhash64("id"), F.lit(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    left = queries.select(block(a).alias("a"), every(b).alias("b"), F.lit(0).alias("role"), "id", "embedding")
+    right = vectors.select(every(a).alias("a"), block(b).alias("b"), F.lit(1).alias("role"), "id", "embedding")
+    both = left.unionByName(right).select((F.col("a") * b + F.col("b")).alias("task"), "role", "id", "embedding")
+
+    def meet(batches):
+        ids, rows, rest = [], [], iter(batches)
+        held: list = []
+        for batch in rest:  # queries come first
+            role = batch.column(1).to_numpy()
+            k = int(np.searchsorted(role, 1))
+            i, x = parse(batch.column(2).slice(0, k), batch.column(3).slice(0, k), dim)
+            ids.append(i)
+            rows.append(x)
+            if k < len(role):
+                held.append(batch.slice(k))
+                break
+
+        def others():
+            for batch in chain(held, rest):
+                yield parse(batch.column(2), batch.column(3), dim)
+
+        if ids and held:
+            yield from out(np.concatenate(ids), unit(np.concatenate(rows)), others())
+
+    return both.repartitionById(a * b, F.col("task")).sortWithinPartitions("task", "role").mapInArrow(meet, schema)
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, dim: int, k: int, keep_self: bool = False) -> DataFrame:
     """(src, dst, score): the k rows of ``vectors`` most similar to each of ``queries``, exactly; ties to the
-    smaller id; a row isn't its own neighbour unless ``keep_self``. Needs no more than k rows to exist."""
-    out = None
-    for qid, q in _blocks(queries, dim):
-
-        def run(batches, qid=qid, q=q):
-            best_s, best_i = np.full((len(qid), 0), -9.0), np.zeros((len(qid), 0), np.int64)
-            for b in batches:
-                ids, x = parse(b.column(0), b.column(1), dim)
-                order = np.argsort(ids, kind="stable")
-                ids, x = ids[order], x[order]
-                for a in range(0, len(ids), STEP):
-                    i = np.broadcast_to(ids[a : a + STEP], (len(qid), len(ids[a : a + STEP])))
-                    s = np.round(q @ unit(x[a : a + STEP]).T, 6)
-                    if not keep_self:
-                        s[qid[:, None] == i] = -9.0
-                    if s.shape[1] > k:  # the k best by similarity, then by id, as one number
-                        key = (np.rint(s * 1e6).astype(np.int64) << 13) - np.arange(s.shape[1])
-                        top = np.argpartition(-key, k - 1, axis=1)[:, :k]
-                        s, i = np.take_along_axis(s, top, 1), np.take_along_axis(i, top, 1)
-                    best_s, best_i = np.concatenate([best_s, s], axis=1), np.concatenate([best_i, i], axis=1)
-                    order = np.lexsort((best_i, -best_s), axis=1)[:, :k]
-                    best_s, best_i = np.take_along_axis(best_s, order, 1), np.take_along_axis(best_i, order, 1)
-            r, c = np.nonzero(best_s > -9.0)
-            yield pa.RecordBatch.from_arrays([pa.array(qid[r]), pa.array(best_i[r, c]), pa.array(best_s[r, c])], names=["src", "dst", "score"])
-
-        got = vectors.select("id", "embedding").mapInArrow(run, "src long, dst long, score double")
-        out = got if out is None else out.unionByName(got)
-    if out is None:
-        return vectors.sparkSession.createDataFrame([], "src long, dst long, score double")
+    smaller id; a row isn't its own neighbour unless ``keep_self``. Needs no more than k rows to exist. Rows with a
+    null, NaN or infinite number and all-zero ones take no part on either side."""
+
+    def best(qid, q, batches):
+        best_s, best_i = np.full((len(qid), 0), -9.0), np.zeros((len(qid), 0), np.int64)
+        for ids, x in batches:
+            order = np.argsort(ids, kind="stable")
+            ids, x = ids[order], x[order]
+            for a in range(0, len(ids), STEP):
+                i = np.broadcast_to(ids[a : a + STEP], (len(qid), len(ids[a : a + STEP])))
+                s = np.round(q @ unit(x[a : a + STEP]).T, 6)
+                if not keep_self:
+                    s[qid[:, None] == i] = -9.0
+                if s.shape[1] > k:  # the k best by similarity, then by id, as one number
+                    key = (np.rint(s * 1e6).astype(np.int64) << 13) - np.arange(s.shape[1])
+                    top = np.argpartition(-key, k - 1, axis=1)[:, :k]
+                    s, i = np.take_along_axis(s, top, 1), np.take_along_axis(i, top, 1)
+                best_s, best_i = np.concatenate([best_s, s], axis=1), np.concatenate([best_i, i], axis=1)
+                order = np.lexsort((best_i, -best_s), axis=1)[:, :k]
+                best_s, best_i = np.take_along_axis(best_s, order, 1), np.take_along_axis(best_i, order, 1)
+        r, c = np.nonzero(best_s > -9.0)
+        yield qid[r], best_i[r, c], best_s[r, c]
+
     w = Window.partitionBy("src").orderBy(F.desc("score"), "dst")
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return _against(queries, vectors, dim, best).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def knn_edges(queries: DataFrame, vectors: DataFrame, dim: int, k: int = 8) -> DataFrame:
@@ -103,19 +141,22 @@ def knn_edges(queries: DataFrame, vectors: DataFrame, dim: int, k: int = 8) -> D
 def similar_pairs(queries: DataFrame, vectors: DataFrame, dim: int, least: float) -> DataFrame:
     """(src, dst, weight): all pairs of one of ``queries`` and another row that are at least ``least`` similar, each
     once, src having the smaller id."""
-    out = vectors.sparkSession.createDataFrame([], "src long, dst long, weight double")
-    for qid, q in _blocks(queries, dim):
 
-        def run(batches, qid=qid, q=q):
-            for b in batches:
-                ids, x = parse(b.column(0), b.column(1), dim)
-                for a in range(0, len(ids), STEP):
-                    i, s = ids[a : a + STEP], np.round(q @ unit(x[a : a + STEP]).T, 6)
-                    r, c = np.nonzero((s >= least) & (qid[:, None] != i))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(qid[r], i[c])), pa.array(np.maximum(qid[r], i[c])), pa.array(s[r, c])], names=["src", "dst", "weight"])
+    def pairs(qid, q, batches):
+        for ids, x in batches:
+            for a in range(0, len(ids), STEP):
+                i, s = ids[a : a + STEP], np.round(q @ unit(x[a : a + STEP]).T, 6)
+                r, c = np.nonzero((s >= least) & (qid[:, None] != i))
+                yield np.minimum(qid[r], i[c]), np.maximum(qid[r], i[c]), s[r, c]
 
-        out = out.unionByName(vectors.select("id", "embedding").mapInArrow(run, "src long, dst long, weight double"))
-    return out.groupBy("src", "dst").agg(F.max("weight").alias("weight"))
+    return _against(queries, vectors, dim, pairs).groupBy("src", "dst").agg(F.max("score").alias("weight"))
+
+
+def duplicates(edges: DataFrame, least: float = 0.92) -> DataFrame:
+    """(src, dst, weight, note) of those ``edges`` of nearest rows that are at least ``least`` similar and point to the
+    larger id."""
+    e = edges.where((F.col("src") < F.col("dst")) & (F.col("weight") >= least)).select("src", "dst", "weight")
+    return e.withColumn("note", F.concat(F.lit("cosine="), F.format_string("%.3f", "weight")))
 
 
 def dedup_pairs(queries: DataFrame, vectors: DataFrame, dim: int, least: float = 0.92, k: int = 8, mode: str = "topk") -> DataFrame:
@@ -123,11 +164,7 @@ def dedup_pairs(queries: DataFrame, vectors: DataFrame, dim: int, least: float =
     has the larger id; in mode "all_pairs" all such pairs with a row of ``queries``, whatever their ranks."""
     if mode not in ("topk", "all_pairs"):
         raise ValueError(mode)
-    if mode == "all_pairs":
-        e = similar_pairs(queries, vectors, dim, least)
-    else:
-        e = knn_edges(queries, vectors, dim, k).where((F.col("src") < F.col("dst")) & (F.col("weight") >= least))
-    return e.withColumn("note", F.concat(F.lit("cosine="), F.format_string("%.3f", "weight")))
+    return duplicates(similar_pairs(queries, vectors, dim, least) if mode == "all_pairs" else knn_edges(queries, vectors, dim, k), least)
 
 
 def resolve_phrases(phrases: DataFrame, vectors: DataFrame, dim: int, least: float = 0.72) -> DataFrame:

@@ -1,7 +1,7 @@
 """One object over a folder of tables, with the bounds and defaults of the query surface.
 
 Numbers are floored and clamped to their bounds. Unknown slugs raise ``NotFound``, missing or bad arguments
-``BadRequest``. Every method returns a DataFrame.
+``BadRequest``. Every method but ``react`` returns a DataFrame.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from corvane.operators import cluster, facets, graph, reactions, sampling, textsearch, vectors
 from corvane.operators.facets import Filters, clamp_int
 from corvane.plans import views
+from corvane.sources import sinks
 from corvane.sources.providers import Embedder
 from corvane.sources.tables import table
 
@@ -64,7 +65,7 @@ class Corpus:
 
     def search(self, q: str, k=None, filters: Filters | None = None) -> DataFrame:
         hits = textsearch.search(self.kept, q)
-        return facets.apply(facets.slim(self.kept), filters or Filters()).join(hits, "id").orderBy(F.desc("score"), "id").limit(clamp_int(k, 15, 1, 80))
+        return facets.slim(facets.apply(self.kept, filters or Filters())).join(hits, "id").orderBy(F.desc("score"), "id").limit(clamp_int(k, 15, 1, 80))
 
     def semantic(self, q, k=None, filters: Filters | None = None, mmr: bool = False, lam=None) -> DataFrame:
         """``q``: a text, if there is an embedder, or a vector. With ``mmr`` the best max(8k, 80) are ranked for
@@ -86,12 +87,16 @@ class Corpus:
     def filter(self, filters: Filters, by: str = "surprise", k=None, offset=None) -> DataFrame:
         return facets.slim(facets.page(facets.apply(self.kept, filters), by, clamp_int(offset, 0, 0, 10_000), clamp_int(k, 40, 1, 200)))
 
+    def filter_with_total(self, filters: Filters, by: str = "surprise", k=None, offset=None) -> DataFrame:
+        """As ``filter``, with how many concepts there are in all as ``total``."""
+        return facets.page_with_total(facets.slim(facets.apply(self.kept, filters)), by, clamp_int(offset, 0, 0, 10_000), clamp_int(k, 40, 1, 200))
+
     def facets(self) -> DataFrame:
         return facets.counts(self.kept, ["form", "source", "obscurity", "surprise"], ["domain", "affect"])
 
     def neighbors(self, slug: str, kind: str = "semantic_near", k=None, filters: Filters | None = None) -> DataFrame:
         e = self.edges.where((F.col("src") == self._id(slug)) & (F.col("kind") == (kind if kind in graph.KINDS else "semantic_near")))
-        hits = facets.apply(facets.slim(self.kept), filters or Filters()).join(e.select(F.col("dst").alias("id"), "weight"), "id")
+        hits = facets.slim(facets.apply(self.kept, filters or Filters())).join(e.select(F.col("dst").alias("id"), "weight"), "id")
         return hits.orderBy(F.desc("weight"), "id").limit(clamp_int(k, 10, 1, 50))
 
     def bridge(self, a: str, b: str, k=None) -> DataFrame:
@@ -122,7 +127,9 @@ class Corpus:
             if len(q):
                 near = vectors.top_k(self.vectors, q[0], self.dim, clamp_int(anchor_pool, 200, 10, 1000) + 1).where(F.col("id") != seed_id).select("id")
                 pool = pool.join(F.broadcast(near), "id", "left_semi")  # at most 1,001 ids
-        return facets.slim(sampling.weighted_sample(pool, clamp_int(k, 10, 1, 100), surprise_temp, obscurity_temp, seed))
+        total = pool.agg(F.count("*").alias("total"))
+        picked = facets.slim(sampling.weighted_sample(pool, clamp_int(k, 10, 1, 100), surprise_temp, obscurity_temp, seed))
+        return picked.crossJoin(F.broadcast(total))  # one row: how many could be drawn
 
     def explain(self, a: str, b: str) -> DataFrame:
         x, y = self._ids([a, b])
@@ -142,14 +149,61 @@ class Corpus:
         c = self.clusters_.select(F.col("id").alias("cluster"), "size", "top_terms")
         return c.join(reps, "cluster", "left").orderBy(F.desc("size"), "cluster")
 
-    def cluster_members(self, assigned: DataFrame, cluster_id: int, filters: Filters | None = None, by: str = "surprise", k=None, offset=None) -> DataFrame:
-        """Of ``assigned`` (id, cluster)."""
-        own = facets.apply(self.kept, filters or Filters()).join(assigned.where(F.col("cluster") == cluster_id).select("id"), "id", "left_semi")
-        return facets.slim(facets.page(own, by, clamp_int(offset, 0, 0, 10_000), clamp_int(k, 50, 1, 500)))
+    def _cluster(self, cluster_id: int) -> DataFrame:
+        c = self.clusters_.where(F.col("id") == cluster_id)
+        if c.isEmpty():
+            raise NotFound(f"no cluster {cluster_id}")
+        return c
+
+    def cluster(self, cluster_id: int) -> DataFrame:
+        """One row (cluster, size, top_terms, representatives)."""
+        self._cluster(cluster_id)
+        return self.clusters().where(F.col("cluster") == cluster_id)
+
+    def cluster_members(self, cluster_id: int, assigned: DataFrame | None = None, filters: Filters | None = None, by: str = "surprise", k=None, offset=None) -> DataFrame:
+        """A page of a cluster's members, with ``total``: those of ``assigned`` (id, cluster), as a build of clusters
+        gives it, or the representatives of the stored cluster."""
+        own = self._cluster(cluster_id) if assigned is None else assigned
+        own = cluster.given_members(own) if assigned is None else own.where(F.col("cluster") == cluster_id)
+        own = facets.slim(facets.apply(self.kept, filters or Filters())).join(own.select("id"), "id", "left_semi")
+        return facets.page_with_total(own, by, clamp_int(offset, 0, 0, 1_000_000), clamp_int(k, 50, 1, 500))
+
+    def concept_cluster(self, slug: str, assigned: DataFrame | None = None) -> DataFrame:
+        """The cluster of a concept as ``cluster`` gives it, no rows if it is in none. By ``assigned`` (id, cluster), or
+        by the stored representatives."""
+        own = cluster.given_members(self.clusters_) if assigned is None else assigned
+        r = own.where(F.col("id") == self._id(slug)).agg(F.min("cluster")).first()[0]
+        return self.clusters().where(F.col("cluster") == (-1 if r is None else r))
+
+    def page(self, slug: str) -> DataFrame:
+        """What a concept's page shows of its edges: prerequisites and related concepts by kind."""
+        hits = graph.concept_page(self.edges, self._id(slug)).withColumnRenamed("other", "id")
+        return hits.join(self.kept.select("id", "slug", "title"), "id")
 
     def quotes(self, slug: str) -> DataFrame:
         return views.quotes_once(self.quotes_).where(F.col("concept_id") == self._id(slug)).orderBy("rank", "id")
 
+    def dismissed(self, user: str) -> DataFrame:
+        """The user's dismissed concepts, newest first: short forms and ``dismissed_at``."""
+        own = reactions.replay(self.log, "dismissed", "undismissed").where("present").where(F.col("user_key") == user)
+        shown = facets.slim(self.kept).join(own.select("slug", F.col("created_at").alias("dismissed_at")), "slug")
+        return shown.select(*facets.SLIM, "dismissed_at").orderBy(F.desc("dismissed_at"), "id")
+
+    def react(self, log: reactions.ReactionLog, user: str, slug: str, kind: str, on: bool = True):
+        """Adds or removes a favorite or dismissed concept: when it was added, or whether it was there."""
+        if kind not in log.PAIRS:
+            raise BadRequest(f"unknown kind {kind!r}")
+        if not on:
+            return log.remove(user, slug, kind)
+        self._id(slug)
+        return log.add(user, slug, kind)
+
+    def advice(self, folder: str, k=None) -> DataFrame:
+        """The log of advice, newest first, with the picks that exist: (id, ts, situation, framing, slug, why, title)."""
+        log = sinks.read_log(self.spark, folder).limit(clamp_int(k, 20, 1, 200))
+        picks = log.select("id", "ts", "situation", "framing", F.posexplode("picks").alias("place", "p")).select("id", "ts", "situation", "framing", "place", "p.slug", "p.why")
+        return picks.join(self.kept.select("slug", "title"), "slug").orderBy(F.desc("ts"), "id", "place").drop("place")
+
     def favorites(self, user: str, k=None) -> DataFrame:
         """The user's favorites, newest first, then up to k similar concepts: (part, id, slug, at, score)."""
         own = reactions.favorites(self.log).where(F.col("user_key") == user).join(self.kept.select("id", "slug"), "slug")

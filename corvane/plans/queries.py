@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,9 @@ from corvane.functions.exprs import clean_key
 from corvane.operators import build, cluster, facets, graph, reactions, sampling, textsearch, vectors
 from corvane.operators.facets import Filters
 from corvane.plans import views
+from corvane.plans.engine import Corpus
+from corvane.sources import providers, sinks
+from corvane.sources.durable import checkpoint_root
 from corvane.sources.tables import table
 
 MODEL, DIM = "notion-embed-2", 128
@@ -133,9 +137,28 @@ def dedup_pairs(spark, d):
 
 @query
 def prereq_resolve(spark, d):
+    """Prerequisite phrases of the concepts in the query set, by an offline embedder of titles and phrases."""
+    t, e = T(spark, d), providers.HashEmbedder(64)
+    titles = providers.embed(t.kept.where("trim(title) <> ''").select("id", F.col("title").alias("text")), e)
+    raw = t.concepts.where("id % 20 = 0").join(t.kept.select("id"), "id", "left_semi").select("id", F.explode(build.string_list(F.col("prerequisites_raw"))).alias("phrase"))
+    raw = raw.select(F.col("id").alias("owner"), F.trim("phrase").alias("phrase")).where("phrase <> ''").distinct()
+    vec = providers.embed(raw.select("phrase").distinct().select(F.xxhash64("phrase").alias("id"), F.col("phrase").alias("text")), e).withColumnRenamed("id", "h")
+    phrases = raw.withColumn("h", F.xxhash64("phrase")).join(vec, "h").select(F.xxhash64("owner", "phrase").alias("id"), "owner", "phrase", "embedding")
+    return vectors.resolve_phrases(phrases, titles, 64, 0.5)
+
+
+@query
+def matrix_round_trip(spark, d):
+    """Vectors written as a packed matrix and read again: their first number."""
     t = T(spark, d)
-    phrases = _every_20th(t).join(t.kept.select("id", F.col("title").alias("phrase")), "id").select("id", F.col("id").alias("owner"), "phrase", "embedding")
-    return vectors.resolve_phrases(phrases, t.vectors, DIM)
+    path = f"{checkpoint_root(spark)}/matrix-{uuid.uuid4().hex}"
+    sinks.write_matrix(t.vectors.where(valid_vector(F.col("embedding"))), path)
+    return sinks.read_matrix(spark, path).select("id", F.round(F.col("embedding")[0].cast("double"), 4).alias("first"))
+
+
+def valid_vector(c):
+    """All numbers finite, one not zero."""
+    return F.forall(c, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(c, lambda x: x != 0)
 
 
 # Facets
@@ -162,6 +185,41 @@ def filter_title_page(spark, d):
     return facets.page(facets.apply(T(spark, d).kept, Filters(form="law")), "title", 10, 25).select("id", "title")
 
 
+@query
+def filter_totals(spark, d):
+    """The second page, the least obscure last, with the number of all."""
+    return flat(facets.page_with_total(facets.slim(facets.apply(T(spark, d).kept, Filters(surprise_min=4))), "obscurity_desc", 20, 20), "domain", "affect")
+
+
+@query
+def surface_filter(spark, d):
+    return flat(Corpus(spark, d, MODEL, DIM).filter_with_total(Filters(domain="logic"), "title", 12, 3), "domain", "affect")
+
+
+@query
+def surface_dismissed(spark, d):
+    """What the user with the most dismissed concepts has dismissed."""
+    t = T(spark, d)
+    n = reactions.replay(t.log, "dismissed", "undismissed").where("present").join(t.kept.select("slug"), "slug").groupBy("user_key").count()
+    top = n.orderBy(F.desc("count"), "user_key").first()
+    return Corpus(spark, d, MODEL, DIM).dismissed(top.user_key if top else "").select("id", "slug", "dismissed_at")
+
+
+@query
+def json_round_trip(spark, d):
+    """Short forms written as JSON and read again."""
+    path, slim = f"{checkpoint_root(spark)}/json-{uuid.uuid4().hex}", facets.slim(T(spark, d).kept)
+    sinks.write_json(slim, path)
+    return flat(sinks.read_json(spark, path, slim.schema), "domain", "affect")
+
+
+@query
+def low_surprise(spark, d):
+    """What the drop rule makes of each enriched concept."""
+    c = T(spark, d).concepts.where("enriched_at is not null").select("id", "surprise_score")
+    return build.dropped(c).select("id", "dropped", "drop_reason")
+
+
 @query
 def filter_multiselect(spark, d):
     k = facets.multi_select(T(spark, d).kept, "the", domain=["biology", "logic", "ethics"], form=["law", "game", "effect", "bias"], affect=[])
@@ -233,7 +291,7 @@ def adjacency(spark, d):
 def shortest_path(spark, d):
     t = T(spark, d)
     ends = graph.adjacency(t.edges).agg(F.min("a").alias("a"), F.max("b").alias("b")).first()
-    return graph.shortest_path(t.edges, ends.a, ends.b, 3)
+    return graph.shortest_path(t.edges, ends.a, ends.b, 6)
 
 
 def _pair(t: T):
@@ -274,6 +332,14 @@ def nested_edges(spark, d):
     return n.select("src", F.explode("kinds").alias("kind", "l")).select("src", "kind", F.posexplode("l").alias("place", "e")).select("src", "kind", "place", F.col("e.id").alias("dst"), F.col("e.w").alias("weight"))
 
 
+@query
+def replaced_edges(spark, d):
+    """Edges after a rebuild of one source, out of the links that another one has turned round."""
+    e = T(spark, d).t("edges").where("src_id is not null and dst_id is not null and kind is not null")
+    made = e.where("source is not null").select(F.col("dst_id").alias("src_id"), F.col("src_id").alias("dst_id"), "kind", F.lit("semantic-knn").alias("source"), F.lit(0.5).alias("weight"), F.lit(None).cast("string").alias("note"))
+    return build.replaced_edges(e, made, ["semantic-knn"]).groupBy("src_id", "dst_id", "kind", "source").agg(F.count("*").alias("n"))
+
+
 # Clusters
 
 
@@ -286,11 +352,15 @@ def cluster_list(spark, d):
 
 @query
 def cluster_members(spark, d):
-    """The second page of the largest source list, read as a cluster, by surprise."""
+    """The members of the largest stored cluster by surprise, with their number."""
     t = T(spark, d)
-    key = clean_key("source")
-    top = t.kept.groupBy(key.alias("k")).count().where("k is not null").orderBy(F.desc("count"), "k").first()
-    return facets.page(t.kept.where(key == (top.k if top else "")), "surprise", 10, 50).select("id", "slug", "surprise")
+    top = cluster.given_members(t.t("clusters")).join(t.kept.select("id"), "id", "left_semi").groupBy("cluster").count().orderBy(F.desc("count"), "cluster").first()
+    return Corpus(spark, d, MODEL, DIM).cluster_members(top.cluster if top else 0, k=4, offset=1).select("id", "slug", "surprise", "total")
+
+
+@query
+def cluster_sizes(spark, d):
+    return cluster.size_stats(T(spark, d).t("clusters"))
 
 
 @query
@@ -307,8 +377,20 @@ def top_terms(spark, d):
 
 @query
 def cluster_table(spark, d):
-    k = T(spark, d).kept.select("id", clean_key("source").alias("cluster"), F.col("surprise").alias("score")).where("cluster is not null")
-    return flat(cluster.cluster_table(k), "representatives")
+    """Every vector in the stored cluster it is closest to: sizes and representatives."""
+    t = T(spark, d)
+    ids, means = cluster.given_centers(t.t("clusters"), t.vectors, DIM)
+    assigned = cluster.assign(t.vectors, means, DIM)
+    names = F.array(*[F.lit(i).cast("long") for i in ids or [0]])
+    return flat(cluster.cluster_table(assigned.withColumn("cluster", names[F.col("cluster")])), "representatives")
+
+
+@query
+def kmeans_rounds(spark, d):
+    """Two rounds from the first eight vectors as centres."""
+    t = T(spark, d)
+    _, q = t.seeds(8)
+    return cluster.kmeans(t.vectors, DIM, iters=2, centers=q)[0]
 
 
 @query
@@ -383,6 +465,12 @@ def reaction_history(spark, d):
     return reactions.history(t.log, t.kept)
 
 
+@query
+def signals_round_trip(spark, d):
+    """Signals exported as JSON, one object a user, and imported again."""
+    return sinks.import_signals(sinks.export_signals(reactions.signals(T(spark, d).log)))
+
+
 # Quotes
 
 
@@ -403,6 +491,11 @@ def concepts_lacking_quotes(spark, d):
     return build.lacking(t.kept.select("id", "slug"), t.t("quotes"))
 
 
+@query
+def attributions(spark, d):
+    return T(spark, d).t("quotes").select("id", text.attribution(F.col("attribution"), F.col("source")).alias("line"))
+
+
 @query
 def quote_checks(spark, d):
     q = T(spark, d).t("quotes").where("text is not null")
@@ -457,39 +550,42 @@ def link_titles(spark, d):
 
 @query
 def link_extract(spark, d):
-    """Entries of pages put together from the concepts: one list item and one skipped section each."""
+    """Entries of pages put together from the concepts: a list item with a nested one, a table and a skipped section."""
     c = T(spark, d).concepts.where("wiki_url is not null")
-    html = F.concat(F.lit('<div class="mw-parser-output"><h2>Entries</h2><ul><li><a href="'), F.replace("wiki_url", F.lit('"'), F.lit("%22")), F.lit('">x</a></li></ul><h2>See also</h2><ul><li><a href="https://wiki.example/page/Nothing">y</a></li></ul></div>'))
-    return extract.entries(c.select("id", html.alias("html")), prefix="https://wiki.example/page/").select("id", "position", "title", "anchor")
+    base = "https://wiki.example/page/"
+    html = F.concat(
+        F.lit('<div class="mw-parser-output"><h2>Entries</h2><ul><li><a href="'), F.replace("wiki_url", F.lit('"'), F.lit("%22")),
+        F.lit(f'">x</a><ul><li><b><a href="{base}Nested_'), F.col("id").cast("string"), F.lit('">n</a></b></li></ul></li></ul><div class="mw-heading mw-heading3"><h3>Table</h3></div>'),
+        F.lit(f'<table class="wikitable"><tr><th>Name</th><th>Of</th></tr><tr><td><a href="{base}Row_'), F.col("id").cast("string"),
+        F.lit(f'#part">r</a></td><td><a href="{base}Other">o</a></td></tr></table><div class="mw-heading mw-heading2"><h2>See also[edit]</h2></div><ul><li><a href="{base}Nothing">y</a></li></ul></div>'),
+    )
+    return extract.entries(c.select("id", html.alias("html")), prefix=base).select("id", "position", "title", "anchor")
 
 
 @query
 def clean_texts(spark, d):
     """Extracts as plain text, markup removed."""
-    clean = F.pandas_udf(lambda s: s.map(text.clean_wikitext), "string")
-    return T(spark, d).concepts.where("wiki_extract is not null").select("id", clean("wiki_extract").alias("text"))
+    return T(spark, d).concepts.where("wiki_extract is not null").select("id", text.clean_wikitext(F.col("wiki_extract")).alias("text"))
 
 
 @query
 def wikitext_quotes(spark, d):
-    """Quotes out of pages put together from the quotes: a bullet and its attribution each."""
-    import pyarrow as pa
-
-    q = T(spark, d).t("quotes").where("text is not null")
-    page = q.select("id", F.concat(F.lit("== Quotes ==\n* "), F.regexp_replace("text", r"[\r\n]+", " "), F.lit("\n** "), F.coalesce("attribution", F.lit("")), F.lit("\n")).alias("page"))
-
-    def run(batches):
-        for b in batches:
-            rows = [(i, *x) for i, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for x in text.extract_quotes(p)]
-            cols = list(zip(*rows)) or [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], names=["id", "text", "attribution"])
-
-    return page.mapInArrow(run, "id long, text string, attribution string")
+    """Quotes out of pages put together from the quotes of a concept: bullets, some with attributions."""
+    q = T(spark, d).t("quotes").where("text is not null and concept_id is not null")
+    line = F.concat(F.lit("* "), F.regexp_replace("text", r"[\r\n]+", " "), F.when(F.col("attribution").rlike(r"\S"), F.concat(F.lit("\n** "), "attribution")).otherwise(""))
+    page = q.groupBy("concept_id").agg(F.array_sort(F.collect_list(F.struct("id", line.alias("line")))).alias("l"))
+    page = page.select("concept_id", F.concat(F.lit("== Quotes ==\n"), F.array_join(F.transform("l", lambda x: x["line"]), "\n")).alias("page"))
+    return page.select("concept_id", F.posexplode(text.quotes_of(F.col("page"))).alias("place", "q")).select("concept_id", "place", "q.text", "q.attribution")
 
 
 @query
 def facet_labels(spark, d):
-    return T(spark, d).kept.select(F.col("form").alias("value")).distinct().select("value", build.label(F.col("value")).alias("label"))
+    k, out = T(spark, d).kept, None
+    values = {"form": F.array("form"), "domain": F.col("domain"), "affect": F.col("affect"), "source": F.array(clean_key("source"))}
+    for kind, v in values.items():
+        one = k.select(F.explode(v).alias("value")).where("value is not null").distinct().select(F.lit(kind).alias("kind"), "value", build.label(kind, F.col("value")).alias("label"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query

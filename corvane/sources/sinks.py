@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import json
-from pathlib import Path
-
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def write_json(df: DataFrame, path: str) -> None:
@@ -15,20 +14,25 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def read_json(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
     """A JSON table of a known schema; unreadable lines are dropped."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
 def write_matrix(vectors: DataFrame, folder: str) -> None:
-    """Packed float32 rows as (id, v: binary) in parallel: each row carries its id, so no order has to hold."""
-    from corvane.functions.vectors import unit
+    """Packed float32 unit rows as (id, v: binary) in parallel: each row carries its id, so no order has to hold. A null
+    vector stays null."""
 
     def run(batches):
-        import pyarrow as pa
-
         for b in batches:
-            rows = [unit(np.asarray([v], np.float32))[0].astype("<f4").tobytes() if v is not None else None for v in b.column(1).to_pylist()]
+            e = b.column(1)
+            size = e.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            x = e.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            own = np.repeat(np.arange(len(e)), size)
+            norm = np.sqrt(np.bincount(own, x * x, minlength=len(e)))
+            raw = (x / np.where(norm > 0, norm, 1)[own]).astype("<f4").tobytes()
+            cut = np.concatenate([[0], np.cumsum(4 * size)])
+            rows = [raw[i:j] if ok else None for i, j, ok in zip(cut, cut[1:], e.is_valid().to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary())], names=["id", "v"])
 
     vectors.select("id", "embedding").mapInArrow(run, "id long, v binary").write.mode("overwrite").parquet(folder)
@@ -38,11 +42,12 @@ def read_matrix(spark: SparkSession, folder: str) -> DataFrame:
     """(id, embedding) of a packed matrix."""
 
     def run(batches):
-        import pyarrow as pa
-
         for b in batches:
-            rows = [np.frombuffer(v, "<f4").tolist() if v is not None else None for v in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(pa.float32()))], names=["id", "embedding"])
+            v = b.column(1)
+            size = [0 if r is None else len(r) // 4 for r in v.to_pylist()]
+            values = pa.array(np.frombuffer(b"".join(r for r in v.to_pylist() if r is not None), "<f4"), pa.float32())
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), values, mask=v.is_null())
+            yield pa.RecordBatch.from_arrays([b.column(0), lists], names=["id", "embedding"])
 
     return spark.read.parquet(folder).select("id", "v").mapInArrow(run, "id long, embedding array<float>")
 
@@ -52,16 +57,18 @@ def unpack_floats(raw: bytes, ids: list[int], dim: int) -> list[tuple[int, list[
     return list(zip(ids, np.frombuffer(raw, "<f4").reshape(-1, dim).tolist())) if ids else []
 
 
-def append_log(path: str, row: dict) -> None:
-    """One line of a log of JSON lines on the driver's file system."""
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    with open(path, "a", encoding="utf-8") as f:
-        f.write(json.dumps(row, ensure_ascii=False) + "\n")
+LOG = "id string, ts long, situation string, model string, framing string, picks array<struct<slug:string,why:string>>"
+
+
+def append_log(spark: SparkSession, folder: str, row: dict, schema: str = LOG) -> None:
+    """One entry of a log, a folder of JSON lines on any file system Spark can reach."""
+    names = [f.name for f in StructType.fromDDL(schema)]
+    spark.createDataFrame([tuple(row.get(n) for n in names)], schema).coalesce(1).write.mode("append").json(folder)
 
 
-def read_log(spark: SparkSession, path: str, schema: str = "id string, ts long, situation string, model string, framing string, picks array<struct<slug:string,why:string>>") -> DataFrame:
+def read_log(spark: SparkSession, folder: str, schema: str = LOG) -> DataFrame:
     """A log newest first; broken lines are skipped."""
-    return read_json(spark, path, schema).where("ts is not null").orderBy(F.desc("ts"))
+    return read_json(spark, folder, schema).where("ts is not null").orderBy(F.desc("ts"))
 
 
 def export_signals(signals: DataFrame) -> DataFrame:

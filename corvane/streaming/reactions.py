@@ -8,11 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from corvane.operators.reactions import SIGNALS
+from corvane.operators.reactions import SCHEMA, SIGNALS
 from corvane.sources.durable import checkpoint_root
 
-SCHEMA = "user_key string, slug string, signal string, reacted_at timestamp, received_at timestamp"
-
 
 def read(spark: SparkSession, folder: str, schema: str = SCHEMA, files_per_trigger: int = 16) -> DataFrame:
     """The parquet files of a folder as they come in."""

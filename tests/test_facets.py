@@ -1,6 +1,6 @@
 import pytest
 
-from corvane.operators import facets
+from corvane.operators import build, facets
 from corvane.operators.facets import Filters
 from corvane.plans import views
 
@@ -72,3 +72,15 @@ def test_extra_columns_with_clashing_names(concepts):
 
     c = concepts([{"id": 1, "slug": "a", "form": "law"}]).withColumns({"source": F.lit("?"), "surprise": F.lit(0), "facet": F.lit(1), "n": F.lit(2)})
     assert facets.counts(views.kept(c), ["form", "surprise"], []).count() == 2
+
+
+def test_titles_sort_as_in_a_dictionary(spark):
+    df = spark.createDataFrame([(1, "Zoo"), (2, "apple"), (3, "Äpfel"), (4, "Banana"), (5, "banana"), (6, None)], "id long, title string")
+    assert [r.id for r in facets.sort(df, "title").collect()] == [6, 3, 2, 5, 4, 1]
+    assert [(r.id, r.total) for r in facets.page_with_total(df, "title", 1, 2).collect()] == [(3, 6), (2, 6)]
+
+
+def test_labels_by_kind(spark):
+    df = spark.createDataFrame([("effect",), ("effects",), ("new_one",), (None,)], "v string")
+    both = [df.select(build.label(k, df.v).alias("x")).collect() for k in ("form", "source")]
+    assert [[r.x for r in b] for b in both] == [["Named effect", "effects", "new_one", None], ["effect", "Named effects", "new_one", None]]

@@ -1,3 +1,4 @@
+from corvane.operators import build
 from corvane.plans import pipeline, views
 from corvane.sources.providers import FolderPages, HashEmbedder
 
@@ -52,3 +53,22 @@ def test_embed_edges_clusters_quotes_export(spark, concepts, tmp_path):
     pipeline.export(c, with_id, q, str(tmp_path), 16)
     assert spark.read.json(str(tmp_path / "concepts")).count() == views.kept(c).count() == 5
     assert spark.read.parquet(str(tmp_path / "embeddings")).count() == 5
+
+
+def test_suggested_quotes_are_verified_once(spark, concepts):
+    c = concepts([{"id": i, "slug": f"s{i}", "title": f"t{i}"} for i in (1, 2, 3)])
+    have = spark.createDataFrame([(3, "q", None, "wikiquote", 0)], "concept_id long, text string, attribution string, source string, rank int")
+    good, bad = "The crowd remembers what the ferryman forgets at dusk", "Nobody has ever written this sentence down anywhere"
+    s = spark.createDataFrame([(1, 1, good, "A", "B"), (1, 0, bad, "A", None), (1, 2, good, "X", ""), (2, 0, "too short", "A", "B"), (3, 0, good, "A", "B"), (2, 1, None, None, None)], "concept_id long, place int, text string, author string, work string")
+    e = spark.createDataFrame([(1, "P", f"He said: {good}."), (0, "N", None)], "site_order int, page_title string, body string")
+    none = spark.createDataFrame([], "key string, site_order int, page_title string")
+    got, cache = pipeline.suggested_quotes(have, c, s, e, none)
+    assert sorted(tuple(r) for r in got.where("source = 'llm_verified'").collect()) == [(1, good, "A, B", "llm_verified", 0)]
+    assert {r.page_title for r in cache.collect()} == {"P", None}
+    again, same = pipeline.suggested_quotes(have, c, s, e.limit(0), cache)  # nothing is looked for a second time
+    assert again.count() == got.count() and same.count() == 2
+
+
+def test_drop_rule(spark):
+    df = spark.createDataFrame([(1, 3), (2, 4), (3, None)], "id long, surprise_score int")
+    assert [(r.dropped, r.drop_reason) for r in build.dropped(df).orderBy("id").collect()] == [(1, "low_surprise"), (0, None), (0, None)]

@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 
 from corvane.operators import reactions
-from corvane.sources import providers, sinks
+from corvane.sources import providers, seeds, sinks
 from corvane.streaming import reactions as streaming
 
 
@@ -61,15 +61,82 @@ def test_matrix_and_log_go_round(spark, tmp_path):
     v = spark.createDataFrame([(2, [3.0, 4.0]), (1, None)], "id long, embedding array<float>")
     sinks.write_matrix(v, str(tmp_path / "m"))
     assert {r.id: r.embedding for r in sinks.read_matrix(spark, str(tmp_path / "m")).collect()} == {2: pytest.approx([0.6, 0.8]), 1: None}
-    p = str(tmp_path / "log.jsonl")
+    p = str(tmp_path / "log")
     for t in (1, 3, 2):
-        sinks.append_log(p, {"id": str(t), "ts": t})
-    with open(p, "a") as f:
-        f.write("{broken\n")
+        sinks.append_log(spark, p, {"id": str(t), "ts": t, "picks": [("a", "b")]})
+    (tmp_path / "log" / "part-9.json").write_text("{broken\n")
     assert [r.ts for r in sinks.read_log(spark, p).collect()] == [3, 2, 1]
     assert sinks.unpack_floats(b"\x00\x00\x80\x3f" * 4, [5, 6], 2) == [(5, [1.0, 1.0]), (6, [1.0, 1.0])]
 
 
+def test_writes(spark, tmp_path):
+    """Adding again keeps the first time; removing tells whether it was there; the two kinds don't mix."""
+    log = reactions.ReactionLog(spark, str(tmp_path / "writes"))
+    assert log.list("u").count() == 0 and not log.remove("u", "a")
+    first = log.add("u", "a", at=at(1))
+    assert log.add("u", "a", at=at(2)) == first and log.contains("u", "a") and not log.contains("v", "a") and not log.contains("u", "a", "dismissed")
+    log.add("u", "b", at=at(3))
+    assert [r.slug for r in log.list("u").collect()] == ["b", "a"]
+    assert log.remove("u", "a", at=at(4)) and not log.remove("u", "a", at=at(5)) and not log.contains("u", "a")
+    assert log.add("u", "a", at=at(6)) > first and [r.slug for r in log.list("u").collect()] == ["a", "b"]
+    log.signal("u", "a", "knew", at(7))
+    log.signal("u", "b", "didnt", at(7))
+    log.signal("u", "b", None, at(8))
+    assert [(r.slug, r.signal) for r in reactions.signals(log.read()).collect()] == [("a", "knew")]
+    with pytest.raises(ValueError):
+        log.signal("u", "a", "favorite")
+
+
+def test_polite_calls():
+    waits, now, tries = [], [0.0], []
+
+    def sleep(s):
+        waits.append(round(s, 3))
+        now[0] += s
+
+    def flaky(x):
+        tries.append(x)
+        if len(tries) < 3:
+            raise OSError("down")
+        return x
+
+    p = providers.Polite("test", sleep=sleep, clock=lambda: now[0])
+    assert p(flaky, 5) == 5 and waits == [1.0, 2.0]
+    assert p(flaky, 6) == 6 and waits[2:] == [0.1]
+
+    def down(_):
+        raise OSError("down")
+
+    with pytest.raises(OSError):
+        p(down, 1)
+    assert waits[3:] == [0.1, 1.0, 2.0, 4.0]
+    with pytest.raises(LookupError):
+        p({}.__getitem__, 1)
+
+
+def test_summaries_follow_aliases(spark):
+    def provider():
+        class Wiki:  # in a function, so that it is sent by value
+            def summaries(self, titles):
+                assert len(titles) <= 2
+                if "down" in titles:
+                    raise OSError("down")
+                return {"normalized": [(t, t.capitalize()) for t in titles if t == "a"], "redirects": [("A", "B"), ("B", "C")] if "a" in titles else [], "pages": [(t, 1, "x", "u") for t in (["C"] if "a" in titles else []) + [t for t in titles if t == "D"]]}
+
+        return Wiki()
+
+    t = spark.createDataFrame([("a",), ("D",), ("gone",), (None,), ("D",)], "title string").coalesce(1)
+    got = {(r.title, r.page_title) for r in providers.fetch_summaries(t, provider(), 2).collect()}
+    assert got == {("a", "C"), ("D", "D")}
+    quick = providers.Polite(spacing=0, wait=0)
+    assert providers.fetch_summaries(spark.createDataFrame([("down",)], "title string"), provider(), 2, quick).count() == 0
+
+
+def test_seed_pages(spark):
+    assert seeds.seed_pages(spark).count() == 11 and seeds.seed_pages(spark).select("source_list").distinct().count() == 11
+    assert [tuple(r) for r in seeds.curated(spark, {"x": ["T", " "], "y": []}).collect()] == [("x", 11, "T")]
+
+
 def test_providers(spark):
     t = spark.createDataFrame([(1, "a b"), (2, None)], "id long, text string")
     assert providers.embed(t, providers.HashEmbedder(8)).count() == 2

@@ -28,17 +28,24 @@ def test_phrase(spark):
 
 
 @pytest.mark.parametrize(("raw", "want"), [
-    ("a<ref>x</ref> b", "a b"), ("a<br/>b", "a b"), ("[[X|y]] and [[Z]]", "y and Z"), ("'''bold''' ''it''", "bold it"), ("{{t|{{u}}}}rest", "rest"), ("<i>q</i>  r", "q r"), ("", ""),
+    ("a<ref>x</ref> b", "a b"), ("a<br/>b", "a b"), ("[[X|y]] and [[Z]]", "y and Z"), ("'''bold''' ''it''", "bold it"), ("{{t|{{u}}}}rest", "rest"), ("<i>q</i>  r", "q r"), ("", ""), (None, None),
+    ("x {{a|{b}|{{c}} {{d|{{e}}}}}} y", "x y"), ("a {{open b", "a {{open b"), ("a }} b {{c}}", "a }} b"), ("[//x.example/y name] z", "name z"), ("a<ref name=k/> b", "a b"),
 ])
-def test_clean(raw, want):
-    assert text.clean_wikitext(raw) == want
+def test_clean(spark, raw, want):
+    assert col(spark, [raw], text.clean_wikitext) == [want]
 
 
-def test_quotes():
-    page = "== Q ==\n* ''It is a long enough first quote.''\n** [[A B]]\n** ''Book''\n* Short\n* See also: something else entirely\n* A second quote with a dash here — C. Author\n* \"It is a long enough first quote.\"\n"
-    assert text.extract_quotes(page) == [("It is a long enough first quote.", "A B — Book"), ("A second quote with a dash here", "C. Author")]
-    assert text.extract_quotes(page, 1) == [("It is a long enough first quote.", "A B — Book")]
-    assert text.extract_quotes("") == []
+def test_quotes(spark):
+    page = "== Q ==\n* ''It is a long enough first quote.''\n** [[A B]]\r\n** ''Book''\n* Short\n* See also: something else entirely\n*** stray\n* A second quote with a dash here — C. Author\n* \"It is a long enough first quote.\"\n"
+    two = [("It is a long enough first quote.", "A B — Book"), ("A second quote with a dash here", "C. Author")]
+    got = col(spark, [page, "", None, "no bullets at all", "text\n  * Indented, and long enough to count - By - Me"], text.quotes_of)
+    assert [[tuple(q) for q in x] for x in got] == [two, [], [], [], [("Indented, and long enough to count", "By - Me")]]
+    assert [tuple(q) for q in col(spark, [page], lambda c: text.quotes_of(c, 1))[0]] == two[:1]
+
+
+def test_attribution(spark):
+    df = spark.createDataFrame([("A", "B"), ("", "B"), ("A", None), (None, "")], "a string, s string")
+    assert [r.x for r in df.select(text.attribution(F.col("a"), F.col("s")).alias("x")).collect()] == ["A, B", "B", "A", ""]
 
 
 def test_looks_like_quote(spark):

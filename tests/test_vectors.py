@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from corvane.operators import vectors as V
-from corvane.operators.cluster import assign, kmeans
+from corvane.operators.cluster import assign, given_centers, kmeans, valid_rows
 from corvane.operators.facets import Filters
 from corvane.plans import views
 
@@ -33,7 +33,11 @@ def test_top_k_skips_malformed_vectors(vec):
     assert ids(V.top_k(vec, E1, 2, 9)) == [1, 2, 4, 3, 5]
 
 
-def test_nearest_matches_brute_force(spark):
+@pytest.mark.parametrize("block", [4096, 20])
+def test_nearest_matches_brute_force(spark, monkeypatch, block):
+    """Queries broadcast, and in blocks by a shuffle."""
+    monkeypatch.setattr(V, "BLOCK", block)
+    monkeypatch.setattr(V, "ROWS", 30)
     r = np.random.default_rng(1)
     x = r.standard_normal((90, 6)).astype(np.float32)
     x[40:44] = x[3]  # ties
@@ -115,8 +119,25 @@ def test_kmeans_survives_more_clusters_than_rows_and_no_rows(spark):
     assert assign(df, np.eye(2), 2).where("cluster = 0").count() == 5
 
 
-def test_all_pairs_beyond_the_top_k(spark):
+def test_kmeans_from_given_centres_and_without_malformed_rows(spark):
+    x = [[1.0, 0.1], [1.0, -0.1], [0.1, 1.0], [-0.2, 1.0], [float("nan"), 1.0], [0.0, 0.0]]
+    df = spark.createDataFrame(list(enumerate(x)) + [(9, None), (10, [1.0])], "id long, embedding array<float>")
+    assert valid_rows(df, 2) == 4
+    got, c = kmeans(df, 2, centers=np.array([[2.0, 1.0], [1.0, 2.0]]))
+    assert {r.id: r.cluster for r in got.collect()} == {0: 0, 1: 0, 2: 1, 3: 1}
+    assert np.allclose(c[0], [1, 0]) and c.shape == (2, 2)
+    same, _ = kmeans(df, 2, centers=np.array([[2.0, 1.0], [1.0, 2.0]]), iters=0)
+    assert same.count() == 4
+    table = spark.createDataFrame([(7, [0, 1, None, 99]), (3, []), (5, [2])], "id long, representatives array<long>")
+    ids, means = given_centers(table, df, 2)
+    assert ids == [5, 7] and np.allclose(means[1], [1, 0])
+    assert given_centers(table.limit(0), df, 2)[0] == []
+
+
+@pytest.mark.parametrize("block", [4096, 5])
+def test_all_pairs_beyond_the_top_k(spark, monkeypatch, block):
     """12 near-copies: a row has more of them than k."""
+    monkeypatch.setattr(V, "BLOCK", block)
     x = np.eye(8)[0] + 0.02 * np.random.default_rng(2).normal(size=(12, 8))
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(50, np.eye(8)[1].tolist())]
     df = spark.createDataFrame(rows, "id long, embedding array<float>").repartition(3)
