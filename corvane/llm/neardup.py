@@ -438,12 +438,15 @@ def near_duplicates(texts: DataFrame, words: int = 5, similarity: float = 0.8, l
     any length. Other columns are ignored. An empty table gives no rows.
     """
     spark, bounds = texts.sparkSession, Bounds(similarity)
-    base = texts.select(F.col("id").cast("long").alias("id"), words_text(F.col("text")).alias("t")).where(F.col("id").isNotNull() & (F.length("t") > 0))
-    hashed = base.select("id", F.xxhash64("t").alias("k1"), F.xxhash64("t", F.lit(1)).alias("k2"))
+    words_of = texts.select(F.col("id").cast("long").alias("id"), words_text(F.col("text")).alias("t")).where(F.col("id").isNotNull() & (F.length("t") > 0))
+    # texts are read and cut into words once
+    base = durable(words_of.select("id", "t", F.xxhash64("t").alias("k1"), F.xxhash64("t", F.lit(1)).alias("k2")), "words")
+    hashed = base.select("id", "k1", "k2")
     reps = hashed.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
     reps = durable(reps, "reps")
-    copies = _twins(hashed, reps.where("n > 1"))
+    copies = durable(_twins(hashed, reps.where("n > 1")), "copies")
     sets = durable(shingle_sets(base.join(reps.select(F.col("rep").alias("id")), "id", "left_semi"), words, least), "sets")
+    release(base, reps)
     tokens = sets.agg(F.sum("size")).first()[0] or 0
     sketch = spark.sparkContext.broadcast(frequency_sketch(sets))
     links, with_comp = None, sets.withColumn("comp", F.col("id"))
