@@ -12,14 +12,16 @@ from corvane.sources.durable import durable, release
 HEAVY = 64
 
 
-def _with_min(ends: DataFrame, count: int) -> DataFrame:
-    """Join every (u, v) with u's least neighbour or u itself. Heavy nodes, at most HEAVY by the
-    pigeonhole principle, are joined by broadcast, so that a hub is spread over all tasks."""
-    mins = durable(ends.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), "mins")
-    heavy = F.broadcast(mins.where(F.col("n") > max(count // HEAVY, 1000)).select(F.col("u").alias("hu"), F.col("m").alias("hm")))
+def _with_min(ends: DataFrame, count: int) -> tuple[DataFrame, DataFrame]:
+    """Every (u, v) with u's least neighbour or u itself as m, and (u, m). Heavy nodes, at most HEAVY by the
+    pigeonhole principle, are joined by broadcast, so that a hub is spread over all tasks. The minima are one
+    aggregation with the same columns at each use, so its shuffle is made once."""
+    mins = ends.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+    many = max(count // HEAVY, 1000)
+    heavy = F.broadcast(mins.where(F.col("n") > many).select(F.col("u").alias("hu"), F.col("m").alias("hm"), F.col("n").alias("hn")))
     marked = ends.join(heavy, F.col("u") == F.col("hu"), "left")
-    light = marked.where("hu is null").select("u", "v").join(mins.select("u", "m"), "u")
-    return marked.where("hu is not null").select("u", "v", F.col("hm").alias("m")).unionByName(light), mins
+    light = marked.where("hu is null").select("u", "v").join(mins, "u").where(F.col("n") <= many).select("u", "v", "m")
+    return marked.where("hn > 0").select("u", "v", F.col("hm").alias("m")).unionByName(light), mins.where("n > 0").select("u", "m")
 
 
 def _progress(edges: DataFrame) -> tuple[int, int]:
@@ -76,12 +78,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 60, finish: int = 0
         if n <= finish:
             return _finish(cur)
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large, m1 = _with_min(both, 2 * n)
+        large, _ = _with_min(both, 2 * n)
         step = durable(large.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
         # small star: every edge already points from the larger to the smaller end
         small, m2 = _with_min(step, n)
         nxt = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(m2.select("u", F.col("m").alias("v")))
         nxt = durable(nxt.where("u <> v").distinct(), "cc")
-        release(cur, step, m1, m2)
+        release(cur, step)
         cur = nxt
     raise RuntimeError(f"no convergence after {max_rounds} rounds")

@@ -34,20 +34,28 @@ def shortest_path(edges: DataFrame, start: int, goal: int, max_hops: int = 6, ki
 
     Each layer relaxes the frontier over the adjacency and keeps one path per node, unless an earlier
     layer reached the node as cheaply, so a layer has at most one row a node and the work is linear in the
-    edges for each hop. Layers are durable tables, so none is computed twice.
+    edges for each hop. Once the goal is reached, only paths that are cheaper so far go on. Layers are durable tables,
+    so none is computed twice.
     """
     spark = edges.sparkSession
     full = durable(adjacency(edges, kinds), "adjacency")
     adj = full.withColumn("step", F.greatest(F.lit(LEAST_COST), 1 - F.col("weight"))).select("a", "b", "step")
     layer = spark.range(1).select(F.lit(start).cast("long").alias("node"), F.lit(0.0).alias("cost"), F.array(F.lit(start).cast("long")).alias("path"))
     done = layer
+    reached = None
     for _ in range(max_hops if start != goal else 0):
-        new = layer.join(adj, F.col("node") == F.col("a")).where(~F.array_contains("path", F.col("b"))).select(F.col("b").alias("node"), (F.col("cost") + F.col("step")).alias("cost"), F.concat("path", F.array("b")).alias("path"))
-        new = new.groupBy("node").agg(F.min(F.struct("cost", "path")).alias("m")).select("node", "m.*")
-        seen = done.groupBy("node").agg(F.min("cost").alias("known"))
-        layer = durable(new.join(seen, "node", "left").where("known is null or cost < known").drop("known"), "layer")
-        if layer.isEmpty():
+        going = layer if reached is None else layer.where((F.col("cost") < reached) & (F.col("node") != goal))
+        new = going.join(adj, F.col("node") == F.col("a")).where(~F.array_contains("path", F.col("b"))).select(F.col("b").alias("node"), F.struct((F.col("cost") + F.col("step")).alias("cost"), F.concat("path", F.array("b")).alias("path")).alias("m"))
+        if reached is not None:
+            new = new.where(F.col("m.cost") <= reached)
+        # the new paths and what is known meet in one aggregation
+        both = new.withColumn("known", F.lit(None).cast("double")).unionByName(done.select("node", F.lit(None).cast("struct<cost:double,path:array<bigint>>").alias("m"), F.col("cost").alias("known")))
+        best = both.groupBy("node").agg(F.min("m").alias("m"), F.min("known").alias("known"))
+        layer = durable(best.where("m is not null and (known is null or m.cost < known)").select("node", "m.*"), "layer")
+        n, at_goal = layer.agg(F.count("*"), F.min(F.when(F.col("node") == goal, F.col("cost")))).first()
+        if not n:
             break
+        reached = at_goal if reached is None or (at_goal is not None and at_goal < reached) else reached
         done = done.unionByName(layer)
     best = done.where(F.col("node") == goal).orderBy("cost", "path").limit(1)
     steps = best.select(F.posexplode("path").alias("step", "node"), "path", "cost")
