@@ -233,8 +233,8 @@ def fit(vectors: DataFrame, dim: int, n: int | None = None, seed: int = 7) -> Br
         stay = np.flatnonzero(~open_)
         place = np.concatenate([stay, g])  # new ones take the place of the old, so that similar ones stay together
         order = np.argsort(place, kind="stable")
-        # a centroid that came out alone stands for one dense cluster and is not fitted again
-        again = (rows[g] * w > most) & (np.bincount(g, minlength=len(c))[g] > 1)
+        # a fan was too small for its rows: what it gave is fitted again, unless it came out alone, as one dense cluster
+        again = (rows[g] > most) & (rows[g] * w >= 2 * SAMPLE_PER_LIST) & (np.bincount(g, minlength=len(c))[g] > 1)
         c, rows, open_ = np.concatenate([c[stay], new])[order], np.concatenate([rows[stay], rows[g] * w])[order], np.concatenate([np.zeros(len(stay), bool), again])[order]
     release(sample)
     c, _ = merged(c, rows) if len(c) else (np.eye(1, dim, dtype=np.float32), None)

@@ -125,7 +125,16 @@ def test_exact_neighbours(vectors, monkeypatch):
     np.fill_diagonal(s, -9)
     want = {(int(ids[i]), int(ids[j])) for i in range(len(ids)) for j in np.lexsort((ids, -s[i]))[:5]}
     assert {(r.id, r.neighbour_id) for r in neighbours.nearest(vectors, 24, 5, neighbours.EXACT).collect()} == want
-    assert 4 < len(lists.fit(vectors, 24).value) <= 2 * len(ids) ** 0.5
+    assert 8 < len(lists.fit(vectors, 24).value) <= 1.5 * 2 * len(ids) ** 0.5
+
+
+def test_lists_grow_with_the_root_of_the_rows(spark, monkeypatch):
+    """Random rows form no clusters that merge, so all lists asked for come out, past the first fan."""
+    monkeypatch.setattr(lists, "FAN", 32)
+    x = np.random.default_rng(4).standard_normal((8000, 48)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], V).repartition(4)
+    c = lists.fit(df, 48).value
+    assert 1.2 * 2 * 8000**0.5 > len(c) > 0.8 * 2 * 8000**0.5 > lists.FAN and np.allclose(np.linalg.norm(c, axis=1), 1, atol=1e-5)
 
 
 def test_neighbours_of_few_and_none(spark):
