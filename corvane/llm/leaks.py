@@ -16,7 +16,7 @@ Q, WORDS, EDITS = 8, 12, 2
 #: the documents in a shuffle.
 ITEM_BLOCK = 4_000_000
 #: Characters of documents taken at once.
-TEXT_BLOCK = 1_500_000
+TEXT_BLOCK = 3_000_000
 FILTER_BITS = MARK_BITS = 22
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 
@@ -52,12 +52,12 @@ class Lines:
         #: ``h``: a hash of the q characters from each position
         self.t, self.h, self.q = t, h, q
         edge = (t == 32) | (t == 10)
-        self.edge, self.sep, n = edge, np.flatnonzero(t == 10), len(t)
+        self.edge, self.sep, at = edge, np.flatnonzero(t == 10), np.arange(len(t), dtype=np.int32)
         before = np.concatenate([[True], edge[:-1]])
-        self.blanks = np.concatenate([[0], np.cumsum(t == 32)])
+        self.blanks = np.concatenate([np.zeros(1, np.int32), np.cumsum(t == 32, dtype=np.int32)])
         #: the last end of a word not after, and the first begin of one not before, a position
-        self.end = np.maximum.accumulate(np.where(edge & ~before, np.arange(n), -1))
-        self.begin = np.minimum.accumulate(np.where(~edge & before, np.arange(n), n)[::-1])[::-1]
+        self.end = np.maximum.accumulate(np.where(edge & ~before, at, np.int32(-1)))
+        self.begin = np.minimum.accumulate(np.where(~edge & before, at, np.int32(len(t)))[::-1])[::-1]
 
     def room(self, p: np.ndarray, step: int) -> np.ndarray:
         """Characters from position p to the separator in a direction."""
@@ -233,11 +233,11 @@ def _whole_words(text: Lines, other: Lines, a: np.ndarray, b: np.ndarray, oa: np
     return np.maximum(0, inner + 1 - np.where(first | ~left, 1, 0) - np.where(last | ~right, 1, 0))
 
 
-def _mark(block: np.ndarray, item: np.ndarray, diag: np.ndarray) -> np.ndarray:
-    """A slot for a stretch of the document, an item and 16 diagonals. What shares a slot by chance is looked at
-    in vain, nothing is lost."""
-    key = block.astype(np.uint64) * np.uint64(_ODD[0]) + item.astype(np.uint64) * np.uint64(_ODD[2]) + (diag >> 4).astype(np.uint64) * np.uint64(_ODD[1])
-    return ((key ^ (key >> np.uint64(32))) * np.uint64(_ODD[3]) >> np.uint64(64 - MARK_BITS)).astype(np.int64)
+def _mark(item: np.ndarray, band: np.ndarray) -> np.ndarray:
+    """A slot for an item and a band of diagonals. A diagonal of an item lies in one place of the documents, so position
+    needs no slot of its own. What shares a slot by chance is looked at in vain, nothing is lost."""
+    key = item.astype(np.uint32) * np.uint32(0x9E3779B1) + band.astype(np.uint32) * np.uint32(0x85EBCA77)
+    return ((key ^ (key >> np.uint32(15))) * np.uint32(0xC2B2AE3D) >> np.uint32(32 - MARK_BITS)).astype(np.int32)
 
 
 def find(doc: np.ndarray, items: Items, words: int, edits: int):
@@ -259,8 +259,8 @@ def find(doc: np.ndarray, items: Items, words: int, edits: int):
     s_item = items.own[si]
     for side in (-1, 0, 1):
         near[sp // block + 1 + side] = True
-        for e in (-edits, edits):
-            marked[_mark(sp // block + side, s_item, sp - si + e)] = True
+    for e in (-edits, edits):
+        marked[_mark(s_item, (sp - si + e) >> 4)] = True
     maybe = np.flatnonzero(np.repeat(near[1:], block)[: len(h)] & items.filter[_slot(h)])
     hit, at = items.grams.find(h[maybe])
     pos = maybe[hit]
@@ -273,12 +273,17 @@ def find(doc: np.ndarray, items: Items, words: int, edits: int):
     some = np.cumsum(cover[:-1]) > 0
     p, i = items.grams.expand(pos[some], at[some])
     item = items.own[i]
-    some = marked[_mark(p // block, item, p - i)]
-    p, i, item = p[some], i[some], item[some]
+    diag = p - i
+    some = np.flatnonzero(marked[_mark(item, diag >> 4)])
+    p, i, item, diag = p[some], i[some], item[some], diag[some]
+    # overlapping bands, each 2 * (edits + 1) diagonals wide: a region's q-grams all lie in one, which has enough of them
+    some = np.zeros(len(p), dtype=bool)
+    for shift in (0, edits + 1):
+        slot = _mark(item, (diag + shift) // (2 * (edits + 1)))
+        some |= np.bincount(slot, minlength=1 << MARK_BITS)[slot] >= items.need[item]
+    p, i, item, diag = p[some], i[some], item[some], diag[some]
     if not len(p):
         return
-    diag = p - i
-    # overlapping bands, each 2 * (edits + 1) diagonals wide: a region's q-grams all lie in one
     ok = np.zeros(len(p), dtype=bool)
     for shift in (0, edits + 1):
         band = (diag + shift) // (2 * (edits + 1))
