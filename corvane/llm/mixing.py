@@ -105,6 +105,7 @@ def rake(table: pd.DataFrame, targets: pd.DataFrame, margins: dict[str, dict[str
 
 
 def _fitted(documents: DataFrame, targets: DataFrame, vocabulary: str, margins, keep: bool = False):
+    targets = targets.where("source is not null").fillna({"target_share": 0.0, "max_uses": 0})
     sizes = token_sizes(documents, vocabulary=vocabulary)
     if keep:
         sizes = durable(sizes, "sizes")

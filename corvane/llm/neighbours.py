@@ -105,7 +105,7 @@ def scan(x: np.ndarray, norms: list[np.ndarray], edges: list[int], cand: np.ndar
                 s = dot[i, j]
             else:
                 i, j = pairs
-            ok = q[i] != c[j]
+            ok = q[i] != c[j]  # rows, so a repeated id is a row of its own
             best.add(q[i][ok], c[j][ok], s[ok])
 
 
@@ -147,11 +147,13 @@ def nearest(vectors: DataFrame, dim: int, k: int = 5, probing: Probing = PROBING
     embedding of ``dim`` floats), by cosine rounded to 6 decimals, ties to the smaller id.
 
     Every row is indexed and is a query; the loss comes only from lists not probed and candidates wrongly
-    abandoned; with ``probing=EXACT`` there is none, at the cost of all pairs. Copies of a vector beyond k + 1 are told by a hash, so a group of copies of any size costs what
-    k + 1 rows cost. Rows with a null, NaN or infinite number and all-zero ones take no part; copies of a vector
-    are neighbours like any other; with under k + 1 rows there are fewer neighbours; an empty table gives
-    no rows. ``id`` has to be unique and not null. Other columns are ignored.
+    abandoned; with ``probing=EXACT`` there is none, at the cost of all pairs. Copies of a vector beyond k + 1 are
+    told by a hash, so a group of copies of any size costs what k + 1 rows cost. Rows with a null, NaN or infinite
+    number, all-zero ones and those without an id take no part; copies of a vector are neighbours like any other;
+    a row that repeats an id is a neighbour of the other, so ids should be unique; with under k + 1 rows there
+    are fewer neighbours; an empty table gives no rows. Other columns are ignored.
     """
+    vectors = vectors.select("id", "embedding").where("id is not null")
     # one hash tells whether any vector can have so many copies, at the price of eight bytes a row
     once = vectors.select(F.xxhash64("embedding").alias("k")).groupBy("k").agg(F.count("*").alias("n"))
     n, most = once.agg(F.sum("n"), F.max("n")).first()

@@ -117,19 +117,22 @@ def pivot_clusters(vectors: DataFrame, dim: int, threshold: float = THRESHOLD, r
     pivots; a pivot absorbs its similar rows, one similar to several going to the first in hash order.
     No two pivots of a round are similar, so rounds are few: their number grows with the logarithm of
     the rows. Then every row is reassigned to the closest pivot of all. A row with no similar one is its
-    own cluster. Rows with a null, NaN or infinite number and all-zero ones take no part; an empty table
-    gives no rows; ids have to be unique.
+    own cluster. Rows with a null, NaN or infinite number, all-zero ones and those without an id take no part; an
+    empty table gives no rows; ids have to be unique. Other columns are ignored.
     """
+    vectors = vectors.select("id", "embedding").where("id is not null")
     centroids = lists.fit(vectors, dim)
-    left, done, first = vectors, None, None
+    left, done, first, made = vectors, None, None, []
     while True:
         around = durable(neighbourhoods(left, lists.plan(left, None, centroids, dim, Covering(threshold)), threshold), "around")
         first = first or around
         pivots = around.where("id = pivot").select("pivot")
         direct = join_skewed(around.select("id", "pivot"), pivots, "pivot", "left_semi").select("id", "pivot")
         direct = durable(direct, "direct")
+        made += [direct] if around is first else [direct, around]
         done = direct if done is None else done.unionByName(direct)
         rest = durable(around.select("id").join(direct, "id", "left_anti"), "rest")
+        made.append(rest)
         if rest.isEmpty():
             break
         others = left.join(rest, "id", "left_semi")
@@ -137,14 +140,17 @@ def pivot_clusters(vectors: DataFrame, dim: int, threshold: float = THRESHOLD, r
         absorbed = durable(_to_pivots(others, chosen, centroids, dim, threshold, closest=False), "absorbed")
         done = done.unionByName(absorbed)
         still = durable(rest.join(absorbed, "id", "left_anti"), "left")
+        made += [absorbed, still]
         if still.isEmpty():
             break
         left = vectors.join(still, "id", "left_semi")
     done = durable(done, "pivots")
-    release(rest)
+    release(*made)
     if reassign:
+        first_done = done
         pivots = vectors.join(done.select(F.col("pivot").alias("id")).distinct(), "id", "left_semi")
         done = durable(_to_pivots(vectors, pivots, centroids, dim, threshold, closest=True), "members")
+        release(first_done)
     return done, first
 
 

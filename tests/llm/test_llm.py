@@ -142,6 +142,9 @@ def test_neighbours_of_few_and_none(spark):
     assert neighbours.nearest(few, 2, 5).count() == 6
     assert neighbours.nearest(few.limit(0), 2, 5).count() == 0
     assert neighbours.nearest(few.limit(1), 2, 5).count() == 0
+    odd = few.unionByName(spark.createDataFrame([(None, [1.0, 0.0]), (2, [1.0, 0.1])], V)).withColumns({"part": F.lit(1), "v": F.lit("x"), "k": F.lit(2)})
+    assert {r.id for r in neighbours.nearest(odd, 2, 2).collect()} == {1, 2, 3}
+    assert {r.id for r in simclusters.pivot_clusters(odd.dropDuplicates(["id"]), 2)[0].collect()} == {1, 2, 3}
 
 
 def test_pivot_clusters(vectors):
@@ -403,6 +406,8 @@ def test_mix(spark):
     assert not wide.short.any() and len(mixing.levels(docs, most=2)["lang"]) == 2
     assert sum(x.share for x in rep.values()) == pytest.approx(1)
     assert sorted(map(tuple, mixing.mix_uses(docs, targets).collect())) == sorted(map(tuple, mixing.mix_uses(docs.repartition(7), targets).collect()))
+    holes = targets.unionByName(spark.createDataFrame([(None, 0.5, 1), ("void", None, None)], targets.schema))
+    assert {x.source: x.short for x in mixing.mix_plan(docs, holes).collect()} == {s: p.short for s, p in plan.items()} | {"void": False}
     empty = mixing.mix_report(docs.limit(0), targets).collect()
     assert len(empty) == 4 and all(x.tokens == 0 and x.share == 0 for x in empty)
 
