@@ -21,6 +21,8 @@ BOUNDARIES = (
     (2, re.compile(r"[.!?;][\"')\]]*\s+|[。！？]")),
     (1, re.compile(r"\s(?=\S)")),
 )
+#: A blank at which the vocabulary's split pattern begins a word, see ``_count``.
+BLANK = re.compile(r"[A-Za-z0-9] (?=[A-Za-z])")
 #: A weaker boundary is taken over a stronger one only if that one would leave a piece under this part
 #: of the room.
 LEAST_FILL = 0.5
@@ -88,6 +90,22 @@ def doubled_cuts(succ: np.ndarray, first: np.ndarray) -> np.ndarray:
         reached, jump = new, nxt
 
 
+def _count(text: str, a: int, z: int, own: np.ndarray, char_bytes: np.ndarray | None, enc) -> int:
+    """Tokens of text[a:z] encoded by itself. ``own``: byte offset after each token of the whole text.
+
+    The vocabulary's split pattern has a word begin at a blank between two letters or digits whatever comes before, and
+    words are encoded one by one. So between the first and the last such blank of the part its tokens are those of
+    the whole text, and only its two ends are encoded."""
+    first = BLANK.search(text, a, z)
+    if first is None:
+        return len(enc.encode_ordinary(text[a:z]))
+    x = y = first.start() + 1
+    for m in BLANK.finditer(text, max(x, z - 300), z):
+        y = m.start() + 1
+    inner = np.searchsorted(own, (x, y) if char_bytes is None else char_bytes[[x, y]], side="right")
+    return len(enc.encode_ordinary(text[a:x])) + int(inner[1] - inner[0]) + len(enc.encode_ordinary(text[y:z]))
+
+
 def _cut_batch(ids, texts, limit, overlap, enc, lengths):
     """(id, piece, tokens, repeated, text) of a batch's oversized texts. All boundaries of the batch form one
     successor table, with offsets; pieces that count more than ``limit`` when encoded alone, as white
@@ -97,22 +115,23 @@ def _cut_batch(ids, texts, limit, overlap, enc, lengths):
     for i, t in zip(ids, texts):
         tok = np.asarray(enc.encode_ordinary(t), dtype=np.int64)
         if len(tok) > limit:
-            todo.append((i, t, t.encode(), np.cumsum(lengths[tok]), 0))
+            own = np.cumsum(lengths[tok])
+            todo.append((i, t, t.encode(), own, 0, own))
     while todo:
         tables, starts, base = [], [], 0
-        for i, t, raw, ends, slack in todo:
+        for _, t, raw, ends, slack, _ in todo:
             chars = None
             if len(raw) != len(t):
                 b = np.frombuffer(raw, dtype=np.uint8)
                 chars = np.concatenate([np.flatnonzero((b & 0xC0) != 0x80), [len(raw)]])
             pos, strength = boundaries(t, ends, chars)
             succ = successors(pos, strength, limit - slack, overlap) + base
-            tables.append((pos, succ))
+            tables.append((pos, succ, chars))
             starts.append(base)
             base += len(pos)
-        marked = doubled_cuts(np.concatenate([s for _, s in tables]), np.asarray(starts))
+        marked = doubled_cuts(np.concatenate([s for _, s, _ in tables]), np.asarray(starts))
         again = []
-        for (i, t, raw, ends, slack), (pos, _), base in zip(todo, tables, starts):
+        for (i, t, raw, ends, slack, own), (pos, _, chars), base in zip(todo, tables, starts):
             cuts = pos[marked[base : base + len(pos)]]
             edge = np.concatenate([[0], ends])
             whole = set(pos.tolist())
@@ -121,14 +140,14 @@ def _cut_batch(ids, texts, limit, overlap, enc, lengths):
                 a = max(0, int(cuts[k]) - overlap) if k else 0
                 while a not in whole:  # inside a character: begin a little earlier, still within the limit below
                     a -= 1
-                s = raw[edge[a] : edge[cuts[k + 1]]].decode()
-                again_ = len(raw[edge[a] : edge[cuts[k]]].decode())
-                pieces.append((i, k, len(enc.encode_ordinary(s)), again_, s))
+                at = np.array([edge[a], edge[cuts[k]], edge[cuts[k + 1]]])
+                x, y, z = (at if chars is None else np.searchsorted(chars, at)).tolist()
+                pieces.append((i, k, _count(t, x, z, own, chars, enc), y - x, t[x:z]))
             most = max(p[2] for p in pieces)
             if most > limit and slack + most - limit < limit // 2:
-                again.append((i, t, raw, ends, slack + most - limit))
+                again.append((i, t, raw, ends, slack + most - limit, own))
             elif most > limit:
-                again.append((i, t, raw, np.arange(1, len(raw) + 1), 8))
+                again.append((i, t, raw, np.arange(1, len(raw) + 1), 8, own))
             else:
                 yield from pieces
         todo = again
