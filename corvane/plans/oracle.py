@@ -109,6 +109,20 @@ def _layers(n: int) -> str:
     return ",\n".join(out) + ",\nbest as (select m.c c, m.p p from (" + " union all ".join(f"from l{k}" for k in range(n + 1)) + ") where n = (select b from ends) order by m.c, m.p limit 1)"
 
 
+def _mmr(picks: int) -> str:
+    """The greedy picks as got (rank, id, mmr, relevance)."""
+    return f"""{SEEDS},
+pool as materialized (select u.id, u.e, list_dot_product(u.e, s.e) r, row_number() over (order by round(list_dot_product(u.e, s.e), 6) desc, u.id) o from u, seed s where s.n = 1 qualify o <= 80),
+sim as materialized (select a.o i, b.o j, list_dot_product(a.e, b.e) s from pool a, pool b),
+pick(k, picks, best) as (
+  select 0, []::bigint[], {{'v': 0.0::double, 'o': 0::bigint}}
+  union all
+  select k + 1, list_append(picks, -b.o), {{'v': b.v, 'o': -b.o}} from (
+    select k, picks, max({{'v': 0.5 * r - 0.5 * greatest(0, coalesce(near, 0)), 'o': -o}}) b from (
+      select k, picks, pool.o, pool.r, max(s) near from pick join pool on not list_contains(picks, pool.o) left join sim on i = pool.o and list_contains(picks, j) where k < {picks} group by all) group by k, picks)),
+got as (select k::int rank, pool.id, round(best.v, 6) mmr, round(pool.r, 6) relevance from pick join pool on pool.o = best.o where k > 0)"""
+
+
 def _quoted(words: list[str]) -> str:
     return ", ".join(f"'{w}'" for w in words)
 
@@ -261,16 +275,8 @@ s as (select concept_id, id, by_, trim(regexp_replace(regexp_replace(t, '^[''"
 f as (select * from s where length(x) between 20 and 600 and contains(x, ' ') and not regexp_matches(lower(x), '^(see also|main article|external links|further reading)') and length(regexp_replace(x, '[^\p{{L}}]', '', 'g')) >= length(x) * 0.5
   qualify row_number() over (partition by concept_id, x order by id) = 1)
 select concept_id, (row_number() over (partition by concept_id order by id) - 1)::int place, x as "text", by_ attribution from f qualify place < 8""",
-    "semantic_mmr": f"""with recursive {SEEDS},
-pool as materialized (select u.id, u.e, list_dot_product(u.e, s.e) r, row_number() over (order by round(list_dot_product(u.e, s.e), 6) desc, u.id) o from u, seed s where s.n = 1 qualify o <= 80),
-sim as materialized (select a.o i, b.o j, list_dot_product(a.e, b.e) s from pool a, pool b),
-pick(k, picks, best) as (
-  select 0, []::bigint[], {{'v': 0.0::double, 'o': 0::bigint}}
-  union all
-  select k + 1, list_append(picks, -b.o), {{'v': b.v, 'o': -b.o}} from (
-    select k, picks, max({{'v': 0.5 * r - 0.5 * greatest(0, coalesce(near, 0)), 'o': -o}}) b from (
-      select k, picks, pool.o, pool.r, max(s) near from pick join pool on not list_contains(picks, pool.o) left join sim on i = pool.o and list_contains(picks, j) where k < 10 group by all) group by k, picks))
-select k::int rank, pool.id, round(best.v, 6) mmr, round(pool.r, 6) relevance from pick join pool on pool.o = best.o where k > 0""",
+    "semantic_mmr": f"with recursive {_mmr(10)} select * from got",
+    "surface_mmr": f"with recursive {_mmr(20)} select * from got where id in (select id from kept where surprise >= 6) order by rank limit 5",
     "kmeans_rounds": f"""with {SEEDS}, c0 as (select n - 1 c, e from seed where n <= 8),""" + "".join(f"""
 a{k} as (select u.id, u.e, c, list_dot_product(u.e, c{k}.e) s from u, c{k} qualify row_number() over (partition by u.id order by list_dot_product(u.e, c{k}.e) desc, c) = 1),
 s{k} as (select c, i, sum(v) v from (select c, unnest(e) v, generate_subscripts(e, 1) i from a{k}) group by 1, 2),

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +14,7 @@ from corvane.operators.facets import Filters
 from corvane.plans import views
 from corvane.plans.engine import Corpus
 from corvane.sources import providers, sinks
-from corvane.sources.durable import checkpoint_root
+from corvane.sources.durable import scratch
 from corvane.sources.tables import table
 
 MODEL, DIM = "notion-embed-2", 128
@@ -151,7 +150,7 @@ def prereq_resolve(spark, d):
 def matrix_round_trip(spark, d):
     """Vectors written as a packed matrix and read again: their first number."""
     t = T(spark, d)
-    path = f"{checkpoint_root(spark)}/matrix-{uuid.uuid4().hex}"
+    path = scratch(spark, "matrix")
     sinks.write_matrix(t.vectors.where(valid_vector(F.col("embedding"))), path)
     return sinks.read_matrix(spark, path).select("id", F.round(F.col("embedding")[0].cast("double"), 4).alias("first"))
 
@@ -196,6 +195,13 @@ def surface_filter(spark, d):
     return flat(Corpus(spark, d, MODEL, DIM).filter_with_total(Filters(domain="logic"), "title", 12, 3), "domain", "affect")
 
 
+@query
+def surface_mmr(spark, d):
+    """Diverse hits that pass a filter, which comes last."""
+    _, q = T(spark, d).seeds(1)
+    return Corpus(spark, d, MODEL, DIM).semantic(q[0], 5, Filters(surprise_min=6), mmr=True).select("rank", "id", "mmr", "relevance")
+
+
 @query
 def surface_dismissed(spark, d):
     """What the user with the most dismissed concepts has dismissed."""
@@ -208,7 +214,7 @@ def surface_dismissed(spark, d):
 @query
 def json_round_trip(spark, d):
     """Short forms written as JSON and read again."""
-    path, slim = f"{checkpoint_root(spark)}/json-{uuid.uuid4().hex}", facets.slim(T(spark, d).kept)
+    path, slim = scratch(spark, "json"), facets.slim(T(spark, d).kept)
     sinks.write_json(slim, path)
     return flat(sinks.read_json(spark, path, slim.schema), "domain", "affect")
 

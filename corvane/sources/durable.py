@@ -33,12 +33,18 @@ def checkpoint_root(spark: SparkSession) -> str:
     return _own_dirs[app]
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder; what is written there is removed at exit."""
+    path = f"{checkpoint_root(spark)}/corvane-{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def durable(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` to the shared folder and return a read of it. Removed by ``release`` or at exit."""
     spark = df.sparkSession
-    path = f"{checkpoint_root(spark)}/corvane-{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
-    _written.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._corvane_path = path
     return out

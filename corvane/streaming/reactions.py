@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from corvane.operators.reactions import SCHEMA, SIGNALS
-from corvane.sources.durable import checkpoint_root
+from corvane.sources.durable import scratch
 
 
 def read(spark: SparkSession, folder: str, schema: str = SCHEMA, files_per_trigger: int = 16) -> DataFrame:
@@ -38,6 +36,6 @@ def latest_signals(stream: DataFrame) -> DataFrame:
 
 def run_to_table(df: DataFrame, name: str, mode: str) -> StreamingQuery:
     """Runs what is there to the end into an in-memory table; for tests and small views."""
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{checkpoint_root(df.sparkSession)}/stream-{name}-{uuid.uuid4().hex}").trigger(availableNow=True).start()
+    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", scratch(df.sparkSession, f"stream-{name}")).trigger(availableNow=True).start()
     q.awaitTermination()
     return q
