@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvane.sources.durable import checkpoint_root
+from corvane.sources.durable import scratch
 
 
 class DyadicTree:
@@ -24,7 +22,7 @@ class DyadicTree:
     def __init__(self, spark: SparkSession, lo: int, bits: int, levels: int | None = None, path: str | None = None):
         self.spark, self.lo, self.bits = spark, lo, bits
         self.levels = bits if levels is None else min(levels, bits)
-        self.path = path or f"{checkpoint_root(spark)}/corvane-tree-{uuid.uuid4().hex}"
+        self.path = path or scratch(spark, "tree")
 
     def leaf(self, score):
         return F.shiftright((score - F.lit(self.lo)).cast("long"), self.bits - self.levels)
