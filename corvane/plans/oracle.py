@@ -218,7 +218,7 @@ select id, (first(site_order order by site_order, page_title)) site_order, first
   and coalesce(len(try_cast(prerequisites_raw as json)::varchar[]), 0) <= 5, false) valid from concepts""",
     "to_embed": "select id from concepts where dropped = 0 and enriched_at is not null and (embedding is null or embedding_model is distinct from 'notion-embed-2')",
     "to_enrich": "select id from concepts where enriched_at is null",
-    "advisor_replies": f"with {KEPT} select 'About ' || slug framing, slug, 'w' why, title from kept where slug is not null",
+    "advisor_replies": f"with {KEPT} select case when id % 3 = 0 then 'About' || chr(10) || slug end framing, slug, 'w' why, title from kept where slug is not null and id % 3 <> 1",
     "insert_new_quotes": "with h as (select concept_id, text, min(id) id from quotes where source = 'wikiquote' and concept_id is not null and text is not null group by 1, 2), n as (select concept_id, text, min(id) id from quotes where source = 'llm_verified' and concept_id is not null and text is not null group by 1, 2) select * from h union all select n.* from n anti join h using (concept_id, text)",
     "updated_concepts": "with r as (select distinct unnest(representatives) id from clusters) select id, case when id in (select id from r where id is not null) then coalesce(upper(title), title) else title end title, form from concepts",
     "latest_cache": "select slug \"key\", max(reacted_at) created_at, first(signal order by reacted_at desc, signal desc) \"value\" from reactions where slug is not null and reacted_at is not null and signal is not null group by 1",

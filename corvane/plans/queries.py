@@ -596,9 +596,13 @@ def facet_labels(spark, d):
 
 @query
 def advisor_replies(spark, d):
-    """Picks parsed out of replies put together from the concepts, joined to those that exist."""
+    """Picks parsed out of replies put together from the concepts, joined to those that exist: whole replies, ones with
+    broken picks, and ones without framing, by turns."""
     t = T(spark, d)
-    reply = F.concat(F.lit("<framing> About "), F.col("slug"), F.lit(' </framing><picks>[{"slug": "'), F.col("slug"), F.lit('", "why": "w"}, {"slug": "no-such", "why": "x"}]</picks>'))
+    picks = F.concat(F.lit('<picks> [{"slug": "'), F.col("slug"), F.lit('", "why": "w"},\n {"slug": "no-such", "why": "x"}] </picks> bye'))
+    framing = F.concat(F.lit("Well. <framing> About\n"), F.col("slug"), F.lit(" </framing>"))
+    turn = F.pmod("id", F.lit(3))
+    reply = F.when(turn == 0, F.concat(framing, picks)).when(turn == 1, F.concat(framing, F.lit('<picks>[{"slug": </picks>'))).otherwise(picks)
     framing, picks = build.parse_final(reply)
     r = t.kept.select(framing.alias("framing"), F.explode(picks).alias("p")).select("framing", F.col("p.slug").alias("slug"), F.col("p.why").alias("why"))
     return r.join(t.kept.select("slug", "title"), "slug")

@@ -50,7 +50,9 @@ def test_embed_edges_clusters_quotes_export(spark, concepts, tmp_path):
     q = pipeline.quotes(none, c, FolderPages(wikitext={"crowd law": "* A quote of sufficient length.\n** By Me", "crowd rule": "* Another quote of some length."}))
     assert {(r.concept_id, r.text) for r in q.collect()} == {(2, "t"), (1, "A quote of sufficient length.")}
     with_id = made.selectExpr("row_number() over (order by src_id, dst_id, kind) as id", "*")
-    pipeline.export(c, with_id, q, str(tmp_path), 16)
+    pipeline.export(c, with_id, q, str(tmp_path), 16, table, assigned)
+    assert spark.read.json(str(tmp_path / "embeddings_meta")).select("rows", "dim", "model").first() == (5, 16, "m")
+    assert spark.read.json(str(tmp_path / "clusters")).count() == table.count() and spark.read.json(str(tmp_path / "assignments")).count() == 5
     assert spark.read.json(str(tmp_path / "concepts")).count() == views.kept(c).count() == 5
     assert spark.read.parquet(str(tmp_path / "embeddings")).count() == 5
 
