@@ -278,7 +278,8 @@ def plan(candidates: DataFrame, queries: DataFrame | None, centroids: Broadcast,
     if queries is not None:
         c = c.unionByName(queries.select("id", "embedding").mapInArrow(counts(False, True), schema))
     got = c.groupBy("list").agg(F.sum("n").alias("n"), F.sum("q").alias("q")).toPandas().set_index("list").reindex(range(k)).fillna(0)
-    n, q = got.n.to_numpy(np.int64), got.q.to_numpy(np.int64)
+    n, q = got.n.to_numpy(np.int64), got.q.to_numpy(np.int64).copy()
+    q[n == 0] = 0  # no query goes where no candidate is
     blocks, splits = np.maximum(1, -(-n // BLOCK)), np.maximum(1, -(-q // SPLIT))
     first = np.concatenate([[0], np.cumsum(blocks * splits)[:-1]])
     rows = n / blocks + q / splits
@@ -328,7 +329,7 @@ def route(vectors: DataFrame, index: Index, candidates: bool, queries: bool) ->
             r, u = _expand(np.arange(len(ids)), home, (h % index.blocks[home].astype(np.uint64)).astype(np.int64), index, True)
             row, unt, role = [r], [u], [np.zeros(len(r), np.int8)]
         if queries:
-            r, lst = np.nonzero(index.probing(sim, index.rows))
+            r, lst = np.nonzero(index.probing(sim, index.rows) & (index.rows > 0))
             r, u = _expand(r, lst, (h[r] % index.splits[lst].astype(np.uint64)).astype(np.int64), index, False)
             row, unt, role = [*row, r], [*unt, u], [*role, np.ones(len(r), np.int8)]
         row, unt, role = map(np.concatenate, (row, unt, role))
