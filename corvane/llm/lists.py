@@ -186,16 +186,25 @@ class Index:
     parts: int
 
 
-def fit(vectors: DataFrame, dim: int, n: int | None = None, seed: int = 7) -> Broadcast:
-    """Broadcast centroids for the ``n`` rows of ``vectors`` (id, embedding), fitted on rows chosen by a hash of id;
-    similar ones lie near each other. One centroid of no meaning if there are no rows."""
+def lists_for(n: int, dim: int) -> int:
+    return int(max(1, min(2 * n**0.5, CENTROID_BYTES // (4 * dim))))
+
+
+def sample(vectors: DataFrame, dim: int, n: int, seed: int = 7) -> DataFrame:
+    """About SAMPLE_PER_LIST rows a list of the ``n`` rows of ``vectors``, chosen by a hash of id; a durable table."""
+    mod = 1 << 40
+    keep = int(mod * min(1.0, SAMPLE_PER_LIST * lists_for(n, dim) / max(n, 1)))
+    return durable(vectors.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(mod)) < keep).select("id", "embedding"), "sample")
+
+
+def fit(vectors: DataFrame, dim: int, n: int | None = None, some: DataFrame | None = None, seed: int = 7) -> Broadcast:
+    """Broadcast centroids for the ``n`` rows of ``vectors`` (id, embedding), fitted on their ``sample`` or on ``some``,
+    one made before, which is dropped; similar ones lie near each other. One centroid of no meaning if there are no
+    rows."""
     spark = vectors.sparkSession
     n = vectors.count() if n is None else n
-    lists = int(max(1, min(2 * n**0.5, CENTROID_BYTES // (4 * dim))))
-    mod, most = 1 << 40, FAN * SAMPLE_PER_LIST
-    keep = int(mod * min(1.0, SAMPLE_PER_LIST * lists / max(n, 1)))
-    chosen = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(mod))
-    sample = durable(vectors.where(chosen < keep).select("id", "embedding"), "sample")
+    lists, most = lists_for(n, dim), FAN * SAMPLE_PER_LIST
+    some = sample(vectors, dim, n, seed) if some is None else some
     # by centroid: its vector, the sample rows it stands for, and whether these are to be fitted apart
     c, rows, open_ = np.eye(1, dim, dtype=np.float32), np.array([float(SAMPLE_PER_LIST * lists)]), np.array([True])
     while open_.any():
@@ -225,7 +234,7 @@ def fit(vectors: DataFrame, dim: int, n: int | None = None, seed: int = 7) -> Br
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(new), k, np.int32)), pa.array(w / w.sum()), pa.array([z.tobytes() for z in new], pa.binary())], names=["g", "w", "v"])
 
         tasks = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), int(open_.sum())))
-        drawn = sample.mapInArrow(own, "g int, id long, v binary").repartition(tasks, "g")
+        drawn = some.mapInArrow(own, "g int, id long, v binary").repartition(tasks, "g")
         t = drawn.mapInArrow(split, "g int, w double, v binary").toArrow()
         at.unpersist()
         g, w = t.column("g").to_numpy(), t.column("w").to_numpy()
@@ -236,7 +245,7 @@ def fit(vectors: DataFrame, dim: int, n: int | None = None, seed: int = 7) -> Br
         # a fan was too small for its rows: what it gave is fitted again, unless it came out alone, as one dense cluster
         again = (rows[g] > most) & (rows[g] * w >= 2 * SAMPLE_PER_LIST) & (np.bincount(g, minlength=len(c))[g] > 1)
         c, rows, open_ = np.concatenate([c[stay], new])[order], np.concatenate([rows[stay], rows[g] * w])[order], np.concatenate([np.zeros(len(stay), bool), again])[order]
-    release(sample)
+    release(some)
     c, _ = merged(c, rows) if len(c) else (np.eye(1, dim, dtype=np.float32), None)
     return spark.sparkContext.broadcast(c)
 

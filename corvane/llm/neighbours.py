@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from corvane.llm import lists
 from corvane.llm.lists import Probing
 from corvane.operators.skew import join_skewed
-from corvane.sources.durable import durable
+from corvane.sources.durable import durable, release
 
 #: Lists probed: within 0.2 of the nearest centroid, 32 at most, but as many as hold 16 rows. This is where
 #: accuracy is given up; measured recall: see the README.
@@ -25,6 +25,8 @@ COLUMN_BLOCKS = (0.125, 0.25, 0.5, 1.0)
 #: dimensions, is over (1 + EPSILON / sqrt(d)) times the distance to beat.
 EPSILON = 2.1
 QUERY_TILE, CANDIDATE_TILE, SPARE, SPARSE = 256, 4096, 8, 0.05
+#: Copies in the sample by which a vector counts as hot.
+CROWD = 8
 NONE = -(1 << 62)  # no candidate yet; can be negated, unlike the least long
 
 
@@ -147,20 +149,24 @@ def nearest(vectors: DataFrame, dim: int, k: int = 5, probing: Probing = PROBING
     embedding of ``dim`` floats), by cosine rounded to 6 decimals, ties to the smaller id.
 
     Every row is indexed and is a query; the loss comes only from lists not probed and candidates wrongly
-    abandoned; with ``probing=EXACT`` there is none, at the cost of all pairs. Copies of a vector beyond k + 1 are
-    told by a hash, so a group of copies of any size costs what k + 1 rows cost. Rows with a null, NaN or infinite
+    abandoned; with ``probing=EXACT`` there is none, at the cost of all pairs. Vectors with many copies are found
+    in a sample; of their copies, told by hashes, those beyond k + 1 take the neighbours of the first, so a hot group
+    of copies costs what k + 1 rows cost. Smaller groups of copies are searched like other rows. Rows with a null, NaN or infinite
     number, all-zero ones and those without an id take no part; copies of a vector are neighbours like any other;
     a row that repeats an id is a neighbour of the other, so ids should be unique; with under k + 1 rows there
     are fewer neighbours; an empty table gives no rows. Other columns are ignored.
     """
     vectors = vectors.select("id", "embedding").where("id is not null")
-    # one hash tells whether any vector can have so many copies, at the price of eight bytes a row
-    once = vectors.select(F.xxhash64("embedding").alias("k")).groupBy("k").agg(F.count("*").alias("n"))
-    n, most = once.agg(F.sum("n"), F.max("n")).first()
-    if (most or 0) <= k + 1:
-        return _nearest(vectors, n or 0, dim, k, probing)
-    # a second one tells the copies from what only shares the first
-    keyed = vectors.select("id", F.concat_ws("_", F.xxhash64("embedding"), F.xxhash64("embedding", F.lit(1))).alias("k"))
+    n = vectors.count()
+    some = lists.sample(vectors, dim, n)
+    # a vector with many copies has several in the sample; of how many rows, the sample's size tells
+    hot = durable(some.groupBy(F.xxhash64("embedding").alias("h")).count().where(F.col("count") >= CROWD).select("h"), "hot")
+    if hot.isEmpty():
+        return _nearest(vectors, n, some, dim, k, probing)
+    release(some)
+    # a second hash tells the copies from what only shares the first
+    keyed = vectors.withColumn("h", F.xxhash64("embedding")).join(F.broadcast(hot), "h", "left_semi")  # a part of the sample
+    keyed = keyed.select("id", F.concat_ws("_", "h", F.xxhash64("embedding", F.lit(1))).alias("k"))
     big = durable(keyed.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("first")).where(F.col("n") > k + 1), "copies")
     # of more copies than can be anyone's neighbours only those of smallest id go on; the rest have the
     # neighbours of the first one, and the first one
@@ -168,7 +174,7 @@ def nearest(vectors: DataFrame, dim: int, k: int = 5, probing: Probing = PROBING
     by_id = Window.partitionBy("k").orderBy("id")
     stay = durable(copies.withColumn("r", F.row_number().over(by_id)).where(F.col("r") <= k + 1).select("id"), "stay")
     rest = durable(copies.join(stay, "id", "left_anti").select("id", "k"), "rest")
-    found = durable(_nearest(vectors.join(rest, "id", "left_anti"), None, dim, k, probing), "found")
+    found = durable(_nearest(vectors.join(rest, "id", "left_anti"), None, None, dim, k, probing), "found")
     own = big.select("k", F.col("first").alias("id"))
     entry = lambda s, i: F.struct((-s).alias("s"), i.alias("i"))
     near = found.join(own, "id").select("k", entry(F.col("similarity"), F.col("neighbour_id")).alias("e"))
@@ -178,10 +184,10 @@ def nearest(vectors: DataFrame, dim: int, k: int = 5, probing: Probing = PROBING
     return found.unionByName(more.select("id", F.col("e.i").alias("neighbour_id"), (-F.col("e.s")).alias("similarity")))
 
 
-def _nearest(vectors: DataFrame, n: int | None, dim: int, k: int, probing: Probing) -> DataFrame:
+def _nearest(vectors: DataFrame, n: int | None, some: DataFrame | None, dim: int, k: int, probing: Probing) -> DataFrame:
     epsilon = np.inf if probing == EXACT else EPSILON
     probing = replace(probing, least=max(probing.least, k + SPARE + 1))
-    index = lists.plan(vectors, None, lists.fit(vectors, dim, n), dim, probing)
+    index = lists.plan(vectors, None, lists.fit(vectors, dim, n, some), dim, probing)
 
     def run(batches):
         part = lists.read_part(batches, dim)
