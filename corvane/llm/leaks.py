@@ -438,8 +438,8 @@ def leaked(documents: DataFrame, items: DataFrame, words: int = WORDS, edits: in
     """(doc_id, item_id, exact_words, words, edits): documents that hold at least ``words`` consecutive words
     of an item, exactly or with up to ``edits`` character edits (inserted, deleted or changed).
 
-    exact_words: the longest run of words in common; words and edits: of the longest stretch within the
-    edit budget, in words of the item. Every character of every text is looked at. Null and empty texts and items of
+    exact_words: the longest run of words in common, if it has at least ``words``, else of those near the match; words
+    and edits: of the longest stretch within the edit budget, in words of the item. Every character of every text is looked at. Null and empty texts and items of
     under ``words`` words match nothing; equal items are each reported; repeated rows of a document count once.
     Items of at most ITEM_BLOCK characters are broadcast and only matches are shuffled; more of them are taken in
     blocks by a hash of their id, which the documents that hold a piece of any item meet in a shuffle. Either

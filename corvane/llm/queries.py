@@ -70,11 +70,14 @@ def p3_cutoffs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return p6_leaks(spark, d).where(F.col("exact_words") >= leaks.WORDS).select("doc_id", "item_id")
+    return p6_leaks(spark, d).where("verbatim").select("doc_id", "item_id")
 
 
 def p6_leaks(spark: SparkSession, d: str) -> DataFrame:
-    return leaks.leaked(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    """With the words of the longest run within the edits, its edits, and whether as many words as asked for are the
+    same."""
+    found = leaks.leaked(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return found.select("doc_id", "item_id", "words", "edits", (F.col("exact_words") >= leaks.WORDS).alias("verbatim"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:

@@ -72,6 +72,40 @@ dg as (select doc_id, array_to_string(w[k:k + 11], ' ') g from d, unnest(range(1
 select distinct doc_id, item_id from dg join ig using (g)
 """
 
+CLOSE = "case when abs(length({0}) - length({1})) <= 2 then levenshtein({0}, {1}) else 9 end"
+# every window of twelve item words that has six words in runs of three in common is held against the document's words
+# there by edit distance, then made as long as the edits allow
+P6_EDITED = f"""
+with
+i as (select item_id, {NORMAL.format("item_text")} w from eval_items),
+d as (select doc_id, {NORMAL.format("text")} w from documents),
+ig as (select item_id, k, array_to_string(w[k:k + 2], ' ') g from i, unnest(range(1, len(w) - 1)) t(k) where len(w) >= 12),
+dg as (select doc_id, j, array_to_string(w[j:j + 2], ' ') g from d, unnest(range(1, len(w) - 1)) t(j) where len(w) >= 10),
+h as materialized (select doc_id, item_id, k, j - k s from dg join ig using (g)),
+-- words of an item in a run of three in common, and where a window of twelve has six of them
+cov as materialized (select distinct doc_id, item_id, k + o w, s from h, unnest([0, 1, 2]) t(o)),
+near as materialized (
+  select a.doc_id, a.item_id, a.w, a.s from cov a join cov b on a.doc_id = b.doc_id and a.item_id = b.item_id and b.w between a.w and a.w + 11 and abs(a.s - b.s) <= 4
+  group by all having count(distinct b.w) >= 6),
+-- starts: windows of twelve item words within two edits of whole words of the document
+st as (select distinct doc_id, item_id, w - f a, w - f + s + e b from near, unnest(range(0, 12)) t(f), unnest(range(-4, 5)) u(e)),
+st2 as materialized (
+  select doc_id, item_id, a, b from st join cov using (doc_id, item_id) where cov.w between a and a + 11 and abs(cov.s - b + a) <= 2 group by all having count(distinct cov.w) >= 6),
+s12 as materialized (
+  select distinct doc_id, item_id, a, b from st2 join i using (item_id) join d using (doc_id), unnest(range(9, 14)) t(m)
+  where a >= 1 and b >= 1 and a + 11 <= len(i.w) and b + m <= len(d.w)
+    and {CLOSE.format("array_to_string(i.w[a:a + 11], ' ')", "array_to_string(d.w[b:b + m], ' ')")} <= 2),
+runs as materialized (
+  select doc_id, item_id, n, min({CLOSE.format("array_to_string(i.w[a:a + n - 1], ' ')", "array_to_string(d.w[b:b + n - 1 + e], ' ')")}) v
+  from s12 join i using (item_id) join d using (doc_id), unnest(range(12, len(i.w) - a + 2)) t(n), unnest(range(-2, 3)) u(e)
+  where b + n - 1 + e <= len(d.w) group by all),
+best as materialized (select doc_id, item_id, max((n, -v)) m from runs where v <= 2 group by all),
+-- the longest run of words in common: each three in common joined to the next ones on its diagonal
+isl as (select doc_id, item_id, s, k - row_number() over (partition by doc_id, item_id, s order by k) g from (select distinct doc_id, item_id, s, k from h)),
+ex as (select doc_id, item_id, max(n) + 2 exact from (select doc_id, item_id, s, g, count(*) n from isl group by all) group by all)
+select doc_id, item_id, m[1]::int words, (-m[2])::int edits, exact >= 12 verbatim from best join ex using (doc_id, item_id)
+"""
+
 P4 = """
 with recursive
 t as (
@@ -89,6 +123,7 @@ select least(a, min(b)) group_id, a concept_id from r group by a
 SQL = {
     "p4_found": P4,
     "p6_found": P6,
+    "p6_leaks": P6_EDITED,
     "p2_found": P2.format("id concept_id, neighbour_id"),
     "p2_neighbours": P2.format("id, neighbour_id, similarity"),
     "p5_found": P5,
