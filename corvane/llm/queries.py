@@ -51,7 +51,7 @@ def p5_clusters(spark: SparkSession, d: str) -> DataFrame:
     members, _ = simclusters.pivot_clusters(vectors, DIM)
     texts = concepts.select("id", F.concat_ws(" ", "title", "one_liner").alias("text")).join(members, "id").select(F.col("pivot").alias("cluster"), "id", "text")
     terms = cluster.top_terms(texts).groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda t: t["term"]).alias("top_terms"))
-    found = simclusters.describe(members, vectors, DIM).where(F.col("size") >= 12)
+    found = simclusters.describe(members, vectors, DIM, least=12)
     return found.join(terms.withColumnRenamed("cluster", "pivot"), "pivot", "left").drop("pivot")
 
 

@@ -180,9 +180,10 @@ def _own_hashes(members: DataFrame) -> DataFrame:
     return members.select("id").mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
-def describe(members: DataFrame, vectors: DataFrame, dim: int, typical: int = 6) -> DataFrame:
-    """(cluster_id, size, medoid, representatives) of each cluster: its smallest id, its rows, the row most
-    similar to the mean of its unit rows, and the ``typical`` most similar ones, ties to the smaller id.
+def describe(members: DataFrame, vectors: DataFrame, dim: int, typical: int = 6, least: int = 1) -> DataFrame:
+    """(cluster_id, size, medoid, representatives) of each cluster of ``least`` rows or more: its smallest id, its
+    rows, the row most similar to the mean of its unit rows, and the ``typical`` most similar ones, ties to the
+    smaller id.
 
     Means are summed by cluster in each task before the shuffle; members are then scored against their
     mean, joined as by ``join_skewed``, and the best are kept in each task first."""
@@ -202,6 +203,9 @@ def describe(members: DataFrame, vectors: DataFrame, dim: int, typical: int = 6)
                 a[2] = a[2] + t
         yield pa.RecordBatch.from_arrays([pa.array(list(acc), pa.int64()), pa.array([a[0] for a in acc.values()], pa.int64()), pa.array([a[1] for a in acc.values()], pa.int64()), pa.array([a[2].tolist() for a in acc.values()], pa.list_(pa.float64()))], names=names)
 
+    if least > 1:  # rows left to themselves are many and need no means
+        big = members.groupBy("pivot").count().where(F.col("count") >= least).select("pivot")
+        members = durable(join_skewed(members, big, "pivot", "left_semi").select("id", "pivot"), "big")
     own = vectors.join(members, "id").select("pivot", "id", "embedding")
     parts = own.mapInArrow(sums, "pivot long, n long, least long, total array<double>")
     each = parts.select("pivot", "n", "least", F.posexplode("total").alias("d", "t")).groupBy("pivot", "d").agg(F.sum("t").alias("t"), F.sum("n").alias("n"), F.min("least").alias("least"))

@@ -168,6 +168,7 @@ def test_pivot_clusters(vectors):
     d = {r.cluster_id: r for r in simclusters.describe(members, vectors, 24).collect()}
     sizes = Counter(pivot.values())
     assert sorted(r["size"] for r in d.values()) == sorted(sizes.values())
+    assert sorted(map(tuple, simclusters.describe(members, vectors, 24, least=12).collect())) == sorted(tuple(r) for r in d.values() if r["size"] >= 12)
     assert all(len(r.representatives) == min(6, r["size"]) and r.medoid == r.representatives[0] for r in d.values())
 
 
