@@ -134,6 +134,12 @@ def test_build_steps(spark, concepts):
     assert build.update_by_id(old, new.limit(0)).count() == 2
 
 
+def test_what_is_to_be_enriched(spark):
+    df = spark.createDataFrame([(3, None), (1, None), (2, "2026-01-01")], "id long, enriched_at string")
+    todo = lambda **k: [r.id for r in build.to_enrich(df, **k).orderBy("id").collect()]
+    assert todo() == [1, 3] and todo(limit=1) == [1] and todo(force=True) == [1, 2, 3] and todo(force=True, limit=2) == [1, 2] and todo(limit=0) == []
+
+
 def test_aliases(spark):
     t = spark.createDataFrame([("a b",), ("c",), ("gone",)], "title string")
     norm = spark.createDataFrame([("a b", "A b")], "from string, to string")
