@@ -10,12 +10,14 @@ the rows of one dense cluster have no finer structure that a search could use.
 Work is planned in units: a block of at most BLOCK candidates of one list against at most SPLIT of the
 queries that probe it, so a list with a third of all rows becomes many units. Units are packed into
 parts, similar lists together; a vector is sent once to each part that needs it. A part is one task and
-holds at most BLOCK + SPLIT vectors, or PART of several small units.
+holds at most BLOCK + SPLIT vectors, or PART of several small units. Where the vectors to be sent are many times
+the rows, as a row probes more lists the more there are, parts are dealt with in several passes, none of which sends
+over PASS times the rows; so what lies on disk at a time is in proportion to the rows.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,8 @@ from corvane.sources.durable import durable, release
 SAMPLE_PER_LIST, FAN, MERGE, ROUNDS = 32, 128, 0.85, 4
 CENTROID_BYTES = 1 << 28
 BLOCK, SPLIT, PART = 16384, 65536, 50000
+#: Vectors sent in a pass: so many times the rows, but not under PASS_LEAST. Rows by which probes are counted.
+PASS, PASS_LEAST, COUNTED = 2, 1 << 18, 100_000
 #: Similarities of rows to centroids held at once by a task.
 TILE = 4_000_000
 
@@ -39,7 +43,9 @@ def model_vectors(concepts: DataFrame, model: str, dim: int) -> DataFrame:
 
 
 def parse(ids: pa.Array, vectors: pa.ListArray, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """ids and finite, non-zero float32 rows of an Arrow batch."""
+    """ids and finite, non-zero float32 rows of an Arrow batch; vectors are lists of numbers or their bytes."""
+    if pa.types.is_binary(vectors.type):
+        return ids.to_numpy(), _floats(vectors, dim)
     x = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False).reshape(-1, dim)
     i = ids.to_numpy(zero_copy_only=False)
     ok = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
@@ -139,19 +145,21 @@ class Probing:
 
 @dataclass
 class Covering:
-    """Finds every row at least ``threshold`` similar. A row within ``tight`` of its nearest centroid is in that
-    one's list, any other in one more list of loose rows, after the others. A row similar to a member of a
-    list is, by the triangle inequality of angles, within arccos threshold + arccos tight of its centroid,
-    so a row probes all such lists. The loose list is probed by loose rows, and by all if ``everyone``; else
-    who counts has to count a loose query for its tight candidates, too."""
+    """Finds every row at least ``threshold`` similar, of rows that ``place`` has put into lists. A row within
+    ``tight`` of its nearest centroid is in that one's list, any other in one more list of loose rows, after the
+    others. A row similar to a member of a list is, by the triangle inequality of angles, within arccos threshold +
+    arccos of the list's least similar member of its centroid, so a row probes all such lists; of two lists only the
+    rows of the one of fewer rows probe the other, and those of the loose list all others, and so do the rows of one of
+    two blocks of a list, so who counts has to count a query from another of the ``cells`` for its candidates, too. The
+    loose list is probed by loose rows. With ``everyone``,
+    which is for queries that aren't the candidates, all rows probe all lists in reach and the loose one."""
 
     threshold: float
     everyone: bool = False
     tight: float = 0.9
-
-    def __post_init__(self):
-        widest = np.arccos(self.threshold) + np.arccos(self.tight)
-        self.floor = float(np.cos(min(widest, np.pi))) - 1e-4  # more than single precision is off
+    #: by list, the loose one last: the similarity to its centroid from which it is probed, and its place by rows
+    floors: np.ndarray | None = None
+    rank: np.ndarray | None = None
 
     def lists(self, k: int) -> int:
         return k + 1
@@ -159,9 +167,70 @@ class Covering:
     def home(self, sim: np.ndarray) -> np.ndarray:
         return np.where(sim.max(axis=1) >= self.tight, sim.argmax(axis=1), sim.shape[1])
 
-    def __call__(self, sim: np.ndarray, n: np.ndarray | None = None) -> np.ndarray:
-        loose = (self.home(sim) == sim.shape[1]) | self.everyone
-        return np.concatenate([sim >= self.floor, loose[:, None]], axis=1)
+    def fitted(self, n: np.ndarray, least: np.ndarray) -> Covering:
+        """For lists of ``n`` rows, the least similar of which are ``least`` similar to the centroid."""
+        # more than single precision is off, there and here
+        widest = np.arccos(self.threshold) + np.arccos(np.clip(least.astype(np.float64) - 1e-5, -1, 1))
+        rank = np.empty(len(n), np.int64)
+        rank[np.argsort(n, kind="stable")] = np.arange(len(n))
+        rank[-1] = -1
+        return replace(self, floors=np.cos(np.minimum(widest, np.pi)) - 1e-4, rank=rank)
+
+    def probes(self, x: np.ndarray, home: np.ndarray, centroids: np.ndarray, lists: np.ndarray):
+        """(rows, lists, which of the rows probe which of the lists), some rows at a time, of unit rows ``x`` with
+        their own lists and of ``lists``, ascending."""
+        near = lists[lists < len(centroids)]
+        near = near[np.argsort(self.rank[near], kind="stable")]
+        c, at = centroids[near], self.rank[near]
+        own = np.where(self.everyone, -1, self.rank[home])
+        order, a = np.argsort(own, kind="stable"), 0
+        while a < len(x) and len(near):
+            begin = int(np.searchsorted(at, own[order[a]]))  # lists of fewer rows aren't probed
+            rows = order[a : a + max(1, min(2048, TILE // max(1, len(near) - begin)))]
+            mask = x[rows] @ c[begin:].T >= self.floors[near[begin:]]
+            mask &= own[rows][:, None] <= at[begin:]
+            yield rows, near[begin:], mask
+            a += len(rows)
+        if len(lists) and lists[-1] == len(centroids):
+            rows = np.arange(len(x)) if self.everyone else np.flatnonzero(home == len(centroids))
+            yield rows, lists[-1:], np.ones((len(rows), 1), dtype=bool)
+
+
+def place(vectors: DataFrame, centroids: Broadcast, dim: int, covering: Covering) -> tuple[Broadcast, DataFrame, list[DataFrame]]:
+    """(centroids, rows, what to release in the end). Rows: (id, v, home, near) of the usable ``vectors``, each with its
+    list for ``covering`` and its similarity to that one's centroid; durable, as a row's list must be the same in all
+    that follows. If more than a block of them are loose, which are rows of groups too small for the sample, further
+    centroids are fitted on these alone, eight times as many for their number."""
+    first = _placed(vectors.select("id", "embedding"), centroids, dim, covering, 0)
+    c = centroids.value
+    loose = first.where(F.col("home") == len(c)).select("id", F.col("v").alias("embedding"))
+    n = loose.count()
+    if n <= BLOCK:
+        return centroids, first, [first]
+    more = fit(loose, dim, n, many=8).value
+    both = vectors.sparkSession.sparkContext.broadcast(np.concatenate([c, more]))
+    second = _placed(loose, vectors.sparkSession.sparkContext.broadcast(more), dim, covering, len(c))
+    return both, first.where(F.col("home") < len(c)).unionByName(second), [first, second]
+
+
+def _placed(vectors: DataFrame, centroids: Broadcast, dim: int, covering: Covering, begin: int) -> DataFrame:
+    def run(batches):
+        for b in batches:
+            ids, x = parse(b.column(0), b.column(1), dim)
+            for a, sim in tiles(unit(x), centroids.value):
+                here = slice(a, a + len(sim))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[here]), _binary(x[here]), pa.array((begin + covering.home(sim)).astype(np.int32)), pa.array(sim.max(axis=1).astype(np.float32))], names=["id", "v", "home", "near"])
+
+    return durable(vectors.mapInArrow(run, "id long, v binary, home int, near float"), "placed")
+
+
+def _binary(x: np.ndarray) -> pa.Array:
+    offsets = np.arange(len(x) + 1, dtype=np.int32) * (4 * x.shape[1])
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.ascontiguousarray(x).tobytes())])
+
+
+def _floats(v, dim: int) -> np.ndarray:
+    return np.frombuffer(b"".join(v.to_pylist()), dtype=np.float32).reshape(-1, dim)
 
 
 def tiles(x: np.ndarray, centroids: np.ndarray):
@@ -184,27 +253,29 @@ class Index:
     first: np.ndarray
     part: np.ndarray
     parts: int
+    #: stretches of parts, each dealt with in one go
+    passes: list[tuple[int, int]]
 
 
-def lists_for(n: int, dim: int) -> int:
-    return int(max(1, min(2 * n**0.5, CENTROID_BYTES // (4 * dim))))
+def lists_for(n: int, dim: int, many: int = 1) -> int:
+    return int(max(1, min(2 * many * n**0.5, CENTROID_BYTES // (4 * dim))))
 
 
-def sample(vectors: DataFrame, dim: int, n: int, seed: int = 7) -> DataFrame:
+def sample(vectors: DataFrame, dim: int, n: int, seed: int = 7, many: int = 1) -> DataFrame:
     """About SAMPLE_PER_LIST rows a list of the ``n`` rows of ``vectors``, chosen by a hash of id; a durable table."""
     mod = 1 << 40
-    keep = int(mod * min(1.0, SAMPLE_PER_LIST * lists_for(n, dim) / max(n, 1)))
+    keep = int(mod * min(1.0, SAMPLE_PER_LIST * lists_for(n, dim, many) / max(n, 1)))
     return durable(vectors.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(mod)) < keep).select("id", "embedding"), "sample")
 
 
-def fit(vectors: DataFrame, dim: int, n: int | None = None, some: DataFrame | None = None, seed: int = 7) -> Broadcast:
+def fit(vectors: DataFrame, dim: int, n: int | None = None, some: DataFrame | None = None, seed: int = 7, many: int = 1) -> Broadcast:
     """Broadcast centroids for the ``n`` rows of ``vectors`` (id, embedding), fitted on their ``sample`` or on ``some``,
-    one made before, which is dropped; similar ones lie near each other. One centroid of no meaning if there are no
+    one made before, which is dropped; similar ones lie near each other. ``many`` times as many as usual. One centroid of no meaning if there are no
     rows."""
     spark = vectors.sparkSession
     n = vectors.count() if n is None else n
-    lists, most = lists_for(n, dim), FAN * SAMPLE_PER_LIST
-    some = sample(vectors, dim, n, seed) if some is None else some
+    lists, most = lists_for(n, dim, many), FAN * SAMPLE_PER_LIST
+    some = sample(vectors, dim, n, seed, many) if some is None else some
     # by centroid: its vector, the sample rows it stands for, and whether these are to be fitted apart
     c, rows, open_ = np.eye(1, dim, dtype=np.float32), np.array([float(SAMPLE_PER_LIST * lists)]), np.array([True])
     while open_.any():
@@ -266,7 +337,7 @@ def _walk(centroids: np.ndarray, step: int = 2048) -> list[int]:
 
 def plan(candidates: DataFrame, queries: DataFrame | None, centroids: Broadcast, dim: int, probing: Probing | Covering) -> Index:
     """Counts candidates and probes by list (one row a list comes back) and packs the units.
-    ``queries`` None: the candidates are the queries."""
+    ``queries`` None: the candidates are the queries. For a ``Covering`` both are rows that ``place`` has put into lists."""
     k = probing.lists(len(centroids.value))
 
     def counts(as_candidates: bool, as_queries: bool):
@@ -283,29 +354,58 @@ def plan(candidates: DataFrame, queries: DataFrame | None, centroids: Broadcast,
         return run
 
     schema = "list long, n long, q long"
-    c = candidates.select("id", "embedding").mapInArrow(counts(True, queries is None), schema)
-    if queries is not None:
-        c = c.unionByName(queries.select("id", "embedding").mapInArrow(counts(False, True), schema))
-    got = c.groupBy("list").agg(F.sum("n").alias("n"), F.sum("q").alias("q")).toPandas().set_index("list").reindex(range(k)).fillna(0)
-    n, q = got.n.to_numpy(np.int64), got.q.to_numpy(np.int64).copy()
+    if isinstance(probing, Covering):
+        by = candidates.groupBy("home").agg(F.count("*").alias("n"), F.min("near").alias("least")).toPandas().set_index("home").reindex(range(k))
+        n = by.n.fillna(0).to_numpy(np.int64)
+        probing, lists = probing.fitted(n, by.least.fillna(1).to_numpy()), np.flatnonzero(n)
+        rows = int(n.sum()) if queries is None else queries.count()
+        step = max(1, min(16, rows // COUNTED))  # the plan needs no exact numbers
+
+        def probes(batches):
+            q = np.zeros(k, np.int64)
+            for b in batches:
+                for _, which, mask in probing.probes(unit(_floats(b.column(0), dim)), b.column(1).to_numpy(), centroids.value, lists):
+                    q[which] += mask.sum(axis=0)
+            some = np.flatnonzero(q)
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(some * 0), pa.array(q[some])], names=["list", "n", "q"])
+
+        some = (candidates if queries is None else queries).where(F.pmod(F.xxhash64("id"), F.lit(step)) == 0).select("v", "home")
+        got = some.mapInArrow(probes, schema).groupBy("list").agg(F.sum("q").alias("q")).toPandas().set_index("list").reindex(range(k)).fillna(0)
+        q = got.q.to_numpy(np.int64) * step
+    else:
+        c = candidates.select("id", "embedding").mapInArrow(counts(True, queries is None), schema)
+        if queries is not None:
+            c = c.unionByName(queries.select("id", "embedding").mapInArrow(counts(False, True), schema))
+        got = c.groupBy("list").agg(F.sum("n").alias("n"), F.sum("q").alias("q")).toPandas().set_index("list").reindex(range(k)).fillna(0)
+        n, q, rows = got.n.to_numpy(np.int64), got.q.to_numpy(np.int64).copy(), None
     q[n == 0] = 0  # no query goes where no candidate is
     blocks, splits = np.maximum(1, -(-n // BLOCK)), np.maximum(1, -(-q // SPLIT))
     first = np.concatenate([[0], np.cumsum(blocks * splits)[:-1]])
-    rows = n / blocks + q / splits
-    cost = (n / blocks) * (q / splits) + 50 * rows
+    goes = np.ones(k)  # the part of its list's blocks that a query goes to
+    if isinstance(probing, Covering) and not probing.everyone:
+        goes[-1] = (blocks[-1] + 1) / (2 * blocks[-1])
+    held = n / blocks + goes * q / splits
+    cost = (n / blocks) * (goes * q / splits) + 50 * held
     order = _walk(centroids.value)
     order.extend(range(len(order), k))
     conf = candidates.sparkSession.conf
-    want = max(int(conf.get("spark.sql.shuffle.partitions")), int(rows.dot(blocks * splits) // 20000))
+    want = max(int(conf.get("spark.sql.shuffle.partitions")), int(held.dot(blocks * splits) // 20000))
     share = cost.dot(blocks * splits) / want
     part, p, cost_now, rows_now = np.zeros(int((blocks * splits).sum()), np.int64), 0, 0.0, 0.0
+    most = None if rows is None else max(PASS * max(rows, int(n.sum())), PASS_LEAST)
+    begin, sent, passes = 0, 0.0, []
     for lst in order:
         for u in range(first[lst], first[lst] + blocks[lst] * splits[lst]):
-            if rows_now and (cost_now + cost[lst] > 1.2 * share or rows_now + rows[lst] > PART):
+            if rows_now and (cost_now + cost[lst] > 1.2 * share or rows_now + held[lst] > PART):
+                sent += rows_now
                 p, cost_now, rows_now = p + 1, 0.0, 0.0
+                if most and sent + held[lst] > most:
+                    passes.append((begin, p))
+                    begin, sent = p, 0.0
             part[u] = p
-            cost_now, rows_now = cost_now + cost[lst], rows_now + rows[lst]
-    return Index(centroids, dim, probing, n, blocks, splits, first, part, p + 1)
+            cost_now, rows_now = cost_now + cost[lst], rows_now + held[lst]
+    passes.append((begin, p + 1))
+    return Index(centroids, dim, probing, n, blocks, splits, first, part, p + 1, passes)
 
 
 def _expand(rows: np.ndarray, lists: np.ndarray, fixed: np.ndarray, index: Index, by_block: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -319,29 +419,60 @@ def _expand(rows: np.ndarray, lists: np.ndarray, fixed: np.ndarray, index: Index
 
 
 def route(vectors: DataFrame, index: Index, candidates: bool, queries: bool) -> DataFrame:
-    """(part, id, v, loose, as_candidate, as_query): each vector once for each part, with the units in which
-    it is a candidate and those in which it is a query. Partitioned by part."""
-    schema = "part int, id long, v binary, loose boolean, as_candidate array<int>, as_query array<int>"
+    """What ``sent`` gives, partitioned by part."""
+    return sent(vectors, index, candidates, queries).repartitionById(index.parts, F.col("part"))
+
+
+def sent(vectors: DataFrame, index: Index, candidates: bool, queries: bool, within: tuple[int, int] | None = None) -> DataFrame:
+    """(part, id, v, home, as_candidate, as_query): each vector once for each part, with the units in which
+    it is a candidate and those in which it is a query. ``within``: of the parts of this stretch, numbered from 0."""
+    schema = "part int, id long, v binary, home int, as_candidate array<int>, as_query array<int>"
+    lo, hi = within or (0, index.parts)
+    here = (index.part >= lo) & (index.part < hi)
+    # lists with rows of which a unit lies in the stretch
+    lists = np.flatnonzero((np.add.reduceat(here, index.first) > 0) & (index.rows > 0))
 
     def run(batches):
         for b in batches:
             ids, x = parse(b.column(0), b.column(1), index.dim)
             for a, sim in tiles(unit(x), index.centroids.value):
-                yield from send(ids[a : a + len(sim)], x[a : a + len(sim)], sim)
+                r, lst = np.nonzero(index.probing(sim, index.rows) & (index.rows > 0)) if queries else (None, None)
+                yield from send(ids[a : a + len(sim)], x[a : a + len(sim)], index.probing.home(sim), r, lst)
 
-    def send(ids, x, sim):
+    def run_placed(batches):
+        for b in batches:
+            ids, x, home = b.column(0).to_numpy(), _floats(b.column(1), index.dim), b.column(2).to_numpy()
+            if not queries:
+                yield from send(ids, x, home, None, None)
+                continue
+            r, lst = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for rows, which, mask in index.probing.probes(unit(x), home, index.centroids.value, lists):
+                i, j = np.nonzero(mask)
+                r, lst = [*r, rows[i]], [*lst, which[j]]
+            yield from send(ids, x, home, np.concatenate(r), np.concatenate(lst))
+
+    def send(ids, x, home, r, lst):
         h = mix64(ids, 1) >> np.uint64(1)
-        home = index.probing.home(sim)
-        loose = home == sim.shape[1]
         row, unt, role = [], [], []
-        if candidates:
-            r, u = _expand(np.arange(len(ids)), home, (h % index.blocks[home].astype(np.uint64)).astype(np.int64), index, True)
-            row, unt, role = [r], [u], [np.zeros(len(r), np.int8)]
         if queries:
-            r, lst = np.nonzero(index.probing(sim, index.rows) & (index.rows > 0))
             r, u = _expand(r, lst, (h[r] % index.splits[lst].astype(np.uint64)).astype(np.int64), index, False)
-            row, unt, role = [*row, r], [*unt, u], [*role, np.ones(len(r), np.int8)]
+            if isinstance(index.probing, Covering) and not index.probing.everyone:
+                # of two blocks of its own list the rows of one go to the other
+                lst = np.searchsorted(index.first, u, "right") - 1
+                m, block, own = index.blocks[lst], (u - index.first[lst]) // index.splits[lst], (h[r] % index.blocks[home[r]].astype(np.uint64)).astype(np.int64)
+                ahead = 2 * ((block - own) % m)
+                keep = (lst != home[r]) | (ahead < m) | ((ahead == m) & (own < block))
+                r, u = r[keep], u[keep]
+            row, unt, role = [r], [u], [np.ones(len(r), np.int8)]
+        if candidates:
+            r, u = _expand(np.arange(len(ids)), home, (h % index.blocks[home].astype(np.uint64)).astype(np.int64), index, True)
+            row, unt, role = [*row, r], [*unt, u], [*role, np.zeros(len(r), np.int8)]
         row, unt, role = map(np.concatenate, (row, unt, role))
+        if within:
+            keep = here[unt]
+            row, unt, role = row[keep], unt[keep], role[keep]
+        if not len(row):
+            return
         part = index.part[unt]
         order = np.lexsort((unt, role, part, row))
         row, unt, role, part = row[order], unt[order].astype(np.int32), role[order], part[order]
@@ -353,13 +484,19 @@ def route(vectors: DataFrame, index: Index, candidates: bool, queries: bool) ->
             at = role == k
             offsets = np.concatenate([[0], np.cumsum(np.bincount(group[at], minlength=len(start)))]).astype(np.int32)
             both.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(unt[at])))
-        width = 4 * index.dim
         for k in range(0, len(start), 8192):
             s = start[k : k + 8192]
-            v = pa.Array.from_buffers(pa.binary(), len(s), [None, pa.py_buffer((np.arange(len(s) + 1, dtype=np.int32) * width).tobytes()), pa.py_buffer(x[row[s]].tobytes())])
-            yield pa.RecordBatch.from_arrays([pa.array(part[s].astype(np.int32)), pa.array(ids[row[s]]), v, pa.array(loose[row[s]]), *[z.slice(k, len(s)) for z in both]], names=["part", "id", "v", "loose", "as_candidate", "as_query"])
+            yield pa.RecordBatch.from_arrays([pa.array((part[s] - lo).astype(np.int32)), pa.array(ids[row[s]]), _binary(x[row[s]]), pa.array(home[row[s]].astype(np.int32)), *[z.slice(k, len(s)) for z in both]], names=["part", "id", "v", "home", "as_candidate", "as_query"])
+
+    if isinstance(index.probing, Covering):
+        return vectors.select("id", "v", "home").mapInArrow(run_placed, schema)
+    return vectors.select("id", "embedding").mapInArrow(run, schema)
+
 
-    return vectors.select("id", "embedding").mapInArrow(run, schema).repartitionById(index.parts, F.col("part"))
+def cells(ids: np.ndarray, home: np.ndarray, index: Index) -> np.ndarray:
+    """The block of its list that each row is a candidate in, by a number that no other block has."""
+    own = ((mix64(ids, 1) >> np.uint64(1)) % index.blocks[home].astype(np.uint64)).astype(np.int64)
+    return (np.cumsum(index.blocks) - index.blocks)[home] + own
 
 
 @dataclass
@@ -368,8 +505,8 @@ class Part:
 
     ids: np.ndarray
     x: np.ndarray
-    #: which rows are in no centroid's list (see Covering)
-    loose: np.ndarray
+    #: the list that each row is in
+    home: np.ndarray
     #: by unit: rows that are its candidates, rows that are its queries
     units: list[tuple[np.ndarray, np.ndarray]]
 
@@ -380,7 +517,7 @@ def read_part(batches, dim: int) -> Part | None:
         return None
     t = pa.Table.from_batches(got)
     ids = t.column("id").to_numpy()
-    x = np.frombuffer(b"".join(t.column("v").to_pylist()), dtype=np.float32).reshape(-1, dim)
+    x = _floats(t.column("v"), dim)
     both = []
     for name in ("as_candidate", "as_query"):
         a = t.column(name).combine_chunks()
@@ -392,4 +529,4 @@ def read_part(batches, dim: int) -> Part | None:
     (cr, cu), (qr, qu) = both
     for u in np.intersect1d(cu, qu):
         units.append((cr[np.searchsorted(cu, u) : np.searchsorted(cu, u, "right")], qr[np.searchsorted(qu, u) : np.searchsorted(qu, u, "right")]))
-    return Part(ids, x, t.column("loose").to_numpy(), units)
+    return Part(ids, x, t.column("home").to_numpy(), units)

@@ -30,25 +30,39 @@ def _rank(ids: np.ndarray) -> np.ndarray:
 
 def _tiles(x64, x, cand, quer, threshold):
     """(query rows, candidate rows, similarities, similar or not) of a unit, tile by tile. Similarities
-    too near the threshold for single precision are computed again in double."""
+    too near the threshold for single precision are computed again in double. Tiles without a similar pair are left out."""
     for a in range(0, len(quer), QUERY_TILE):
         q = quer[a : a + QUERY_TILE]
         for b in range(0, len(cand), CANDIDATE_TILE):
             c = cand[b : b + CANDIDATE_TILE]
             s = x[q] @ x[c].T
-            hit = s >= threshold
-            i, j = np.nonzero(np.abs(s - threshold) < NEAR)
+            if s.max(initial=-2) < threshold - NEAR:
+                continue
+            hit = s >= threshold - NEAR
+            i, j = np.divmod(np.flatnonzero(hit & (s < threshold + NEAR)), len(c))
             if len(i):
                 hit[i, j] = np.einsum("ij,ij->i", x64(q[i]), x64(c[j])) >= threshold
             yield q, c, s, hit
 
 
+def _passes(index: lists.Index, made: list[DataFrame], rows) -> DataFrame:
+    """All that ``rows`` gives for the stretches of parts of ``index``. Of several each is written, and its shuffle
+    dropped, before the next begins; the tables are added to ``made``."""
+    if len(index.passes) == 1:
+        return rows(index.passes[0])
+    out = None
+    for within in index.passes:
+        made.append(durable(rows(within), "pass", drop_shuffles=True))
+        out = made[-1] if out is None else out.unionByName(made[-1])
+    return out
+
+
 def neighbourhoods(vectors: DataFrame, index: lists.Index, threshold: float) -> DataFrame:
     """(id, n, pivot, pivot_rank, h0..h4): of each row's closed neighbourhood its size, its member first in
     hash order and the sum of its members' hashes. Links are summed where they are found and never
     leave the task, so a cluster of m rows costs m rows of output, not m * m. ``index`` is planned by a
-    ``Covering`` of the threshold, so no link is missed: loose rows probe the lists of tight ones, not the
-    reverse, and such a link counts for both ends."""
+    ``Covering`` of the threshold, so no link is missed: of two lists, or two blocks of one, the rows of one probe the other, not the
+    reverse, and such a link counts for both ends. ``vectors``: as placed. A durable table."""
     names = ["id", "n", "pivot", "pivot_rank", *[f"h{p}" for p in range(PIECES)]]
 
     def run(batches):
@@ -56,13 +70,17 @@ def neighbourhoods(vectors: DataFrame, index: lists.Index, threshold: float) ->
         if part is None:
             return
         x, ranks, pieces = lists.unit(part.x), _rank(part.ids), _pieces(part.ids)
+        cell = lists.cells(part.ids, part.home, index)
         ones = np.concatenate([np.ones((len(x), 1), np.float32), pieces], axis=1)
         sums, best = np.zeros((len(x), 1 + PIECES), np.int64), np.full(len(x), -1)
 
         def add(rows, others, hit):
-            sums[rows] += (hit.astype(np.float32) @ ones[others]).astype(np.int64)
             some = hit.any(axis=1)
-            first, own = others[hit[some].argmax(axis=1)], rows[some]
+            if not some.any():
+                return
+            rows, hit = rows[some], hit[some]
+            sums[rows] += (hit.astype(np.float32) @ ones[others]).astype(np.int64)
+            first, own = others[hit.argmax(axis=1)], rows
             better = (best[own] < 0) | (ranks[first] < ranks[best[own]])
             best[own[better]] = first[better]
 
@@ -70,23 +88,29 @@ def neighbourhoods(vectors: DataFrame, index: lists.Index, threshold: float) ->
             cand, quer = (r[np.argsort(ranks[r], kind="stable")] for r in (cand, quer))
             for q, c, _, hit in _tiles(lambda r: lists.unit64(part.x[r]), x, cand, quer, threshold):
                 add(q, c, hit)
-                back = part.loose[q]
-                if back.any() and not part.loose[c[0]]:
+                back = cell[q] != cell[c[0]]
+                if back.any():
                     add(c, q[back], hit[back].T)
         got = np.flatnonzero(best >= 0)
         cols = [part.ids[got], sums[got, 0], part.ids[best[got]], ranks[best[got]], *sums[got, 1:].T]
         yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], names=names)
 
-    rows = lists.route(vectors, index, True, True).mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    def rows(within):
+        return lists.sent(vectors, index, True, True, within).repartitionById(within[1] - within[0], F.col("part")).mapInArrow(run, ", ".join(f"{n} long" for n in names))
+
+    made: list[DataFrame] = []
     best = F.min(F.struct("pivot_rank", "pivot"))
-    return rows.groupBy("id").agg(F.sum("n").alias("n"), best["pivot"].alias("pivot"), best["pivot_rank"].alias("pivot_rank"), *[F.sum(f"h{p}").alias(f"h{p}") for p in range(PIECES)])
+    around = _passes(index, made, rows).groupBy("id").agg(F.sum("n").alias("n"), best["pivot"].alias("pivot"), best["pivot_rank"].alias("pivot_rank"), *[F.sum(f"h{p}").alias(f"h{p}") for p in range(PIECES)])
+    around = durable(around, "around", drop_shuffles=True)
+    release(*made)
+    return around
 
 
 def _to_pivots(vectors: DataFrame, pivots: DataFrame, centroids, dim: int, threshold: float, closest: bool) -> DataFrame:
     """(id, pivot): each of ``vectors`` with the similar one of ``pivots`` that is closest, or first in hash
-    order; rows without a similar pivot are left out."""
-    index = lists.plan(pivots, vectors, centroids, dim, Covering(threshold, everyone=True))
-    both = lists.route(pivots, index, True, False).unionByName(lists.route(vectors, index, False, True)).repartitionById(index.parts, F.col("part"))
+    order; rows without a similar pivot are left out. Both as placed. A durable table."""
+    # pivots are fewer, so they go to the lists of the others
+    index = lists.plan(vectors, pivots, centroids, dim, Covering(threshold, everyone=True))
 
     def run(batches):
         part = lists.read_part(batches, dim)
@@ -94,9 +118,9 @@ def _to_pivots(vectors: DataFrame, pivots: DataFrame, centroids, dim: int, thres
             return
         x, ranks = lists.unit(part.x), _rank(part.ids)
         score, best = np.full(len(x), -np.inf), np.full(len(x), -1)
-        for cand, quer in part.units:
-            cand = cand[np.argsort(ranks[cand], kind="stable")]
-            for q, c, s, hit in _tiles(lambda r: lists.unit64(part.x[r]), x, cand, quer, threshold):
+        for row, piv in part.units:
+            piv = piv[np.argsort(ranks[piv], kind="stable")]
+            for q, c, s, hit in _tiles(lambda r: lists.unit64(part.x[r]), x, piv, row, threshold):
                 some = hit.any(axis=1)
                 s, hit, own = s[some], hit[some], q[some]
                 j = np.where(hit, np.round(s, 6), -2).argmax(axis=1) if closest else hit.argmax(axis=1)
@@ -106,8 +130,15 @@ def _to_pivots(vectors: DataFrame, pivots: DataFrame, centroids, dim: int, thres
         got = np.flatnonzero(best >= 0)
         yield pa.RecordBatch.from_arrays([pa.array(part.ids[got]), pa.array(score[got]), pa.array(ranks[best[got]]), pa.array(part.ids[best[got]])], names=["id", "score", "pivot_rank", "pivot"])
 
-    rows = both.mapInArrow(run, "id long, score double, pivot_rank long, pivot long")
-    return rows.groupBy("id").agg(F.max(F.struct("score", -F.col("pivot_rank"), "pivot"))["pivot"].alias("pivot"))
+    def rows(within):
+        both = lists.sent(vectors, index, True, False, within).unionByName(lists.sent(pivots, index, False, True, within))
+        return both.repartitionById(within[1] - within[0], F.col("part")).mapInArrow(run, "id long, score double, pivot_rank long, pivot long")
+
+    made: list[DataFrame] = []
+    found = _passes(index, made, rows).groupBy("id").agg(F.max(F.struct("score", -F.col("pivot_rank"), "pivot"))["pivot"].alias("pivot"))
+    found = durable(found, "to_pivots", drop_shuffles=True)
+    release(*made)
+    return found
 
 
 def pivot_clusters(vectors: DataFrame, dim: int, threshold: float = THRESHOLD, reassign: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -122,35 +153,39 @@ def pivot_clusters(vectors: DataFrame, dim: int, threshold: float = THRESHOLD, r
     """
     vectors = vectors.select("id", "embedding").where("id is not null")
     centroids = lists.fit(vectors, dim)
-    left, done, first, made = vectors, None, None, []
+    centroids, placed, made = lists.place(vectors, centroids, dim, Covering(threshold))
+    left, done, first = placed, None, None
     while True:
-        around = durable(neighbourhoods(left, lists.plan(left, None, centroids, dim, Covering(threshold)), threshold), "around")
+        around = neighbourhoods(left, lists.plan(left, None, centroids, dim, Covering(threshold)), threshold)
         first = first or around
         pivots = around.where("id = pivot").select("pivot")
         direct = join_skewed(around.select("id", "pivot"), pivots, "pivot", "left_semi").select("id", "pivot")
-        direct = durable(direct, "direct")
+        direct = durable(direct, "direct", drop_shuffles=True)
         made += [direct] if around is first else [direct, around]
         done = direct if done is None else done.unionByName(direct)
-        rest = durable(around.select("id").join(direct, "id", "left_anti"), "rest")
+        rest = durable(around.select("id").join(direct, "id", "left_anti"), "rest", drop_shuffles=True)
         made.append(rest)
         if rest.isEmpty():
             break
-        others = left.join(rest, "id", "left_semi")
-        chosen = left.join(pivots.select(F.col("pivot").alias("id")), "id", "left_semi")
-        absorbed = durable(_to_pivots(others, chosen, centroids, dim, threshold, closest=False), "absorbed")
+        others = durable(left.join(rest, "id", "left_semi"), "others", drop_shuffles=True)
+        chosen = durable(left.join(pivots.select(F.col("pivot").alias("id")), "id", "left_semi"), "chosen", drop_shuffles=True)
+        absorbed = _to_pivots(others, chosen, centroids, dim, threshold, closest=False)
+        release(chosen, left if left is not placed else None)
         done = done.unionByName(absorbed)
-        still = durable(rest.join(absorbed, "id", "left_anti"), "left")
-        made += [absorbed, still]
+        still = durable(rest.join(absorbed, "id", "left_anti"), "left", drop_shuffles=True)
+        made += [absorbed, still, others]
         if still.isEmpty():
             break
-        left = vectors.join(still, "id", "left_semi")
+        left = durable(others.join(still, "id", "left_semi"), "left", drop_shuffles=True)
+        made.append(left)
+        release(others)
     done = durable(done, "pivots")
-    release(*made)
     if reassign:
         first_done = done
-        pivots = vectors.join(done.select(F.col("pivot").alias("id")).distinct(), "id", "left_semi")
-        done = durable(_to_pivots(vectors, pivots, centroids, dim, threshold, closest=True), "members")
-        release(first_done)
+        pivots = durable(placed.join(done.select(F.col("pivot").alias("id")).distinct(), "id", "left_semi"), "chosen", drop_shuffles=True)
+        done = _to_pivots(placed, pivots, centroids, dim, threshold, closest=True)
+        release(first_done, pivots)
+    release(*made)
     return done, first
 
 

@@ -13,6 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own_dirs: dict[str, str] = {}
 _written: list[tuple[SparkSession, str]] = []
 
@@ -40,11 +41,20 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
-def durable(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write ``df`` to the shared folder and return a read of it. Removed by ``release`` or at exit."""
+def durable(df: DataFrame, name: str = "t", drop_shuffles: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and return a read of it. Removed by ``release`` or at exit.
+    ``drop_shuffles``: the shuffle files of the write are removed as soon as it ends, not when the driver happens to
+    collect its garbage."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN_UP, None)
+    if drop_shuffles:
+        spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if drop_shuffles:
+            spark.conf.set(_CLEAN_UP, before) if before is not None else spark.conf.unset(_CLEAN_UP)
     out = spark.read.schema(df.schema).parquet(path)
     out._corvane_path = path
     return out

@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -10,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane.llm import cutoffs, leaks, lists, mixing, neardup, neighbours, simclusters, splitting, survivorship, tokens
+from corvane.sources.durable import durable
 
 V = "id long, embedding array<float>"
 
@@ -184,6 +186,36 @@ def test_pivot_clusters_when_neighbours_are_taken(spark):
     assert empty[0].count() == 0 and simclusters.isolated_cliques(*empty, 2).count() == 0
 
 
+def test_disk_of_clusters_grows_with_the_rows(spark, monkeypatch):
+    """Rows in many small blocks, which all meet: no stage shuffles more than a few times the rows, no shuffle file
+    stays, and no link is lost between blocks, lists or passes."""
+    for name, value in (("BLOCK", 64), ("SPLIT", 128), ("PART", 200), ("PASS_LEAST", 1), ("COUNTED", 300)):
+        monkeypatch.setattr(lists, name, value, raising=False)
+    r = np.random.default_rng(8)
+    rows = np.concatenate([r.normal(size=(600, 64)), np.repeat(r.normal(size=(80, 64)), 8, axis=0) + 0.3 * r.normal(size=(640, 64))])
+    x = np.concatenate([rows, r.normal(size=64) + 0.1 * r.normal(size=(150, 64))]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], V).repartition(3)
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = lambda: {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None))}
+    files = lambda: {f.getName() for f in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().endswith(".data")}
+    before = stages()
+    members, around = simclusters.pivot_clusters(df, 64)
+    most = max(v for k, v in stages().items() if k not in before)
+    assert most < 4 * x.nbytes
+    u = lists.unit64(x)
+    near = u @ u.T >= 0.7
+    assert {r.id: r.n for r in around.collect()} == dict(enumerate(near.sum(axis=1).tolist()))
+    rank = simclusters._rank(np.arange(len(x)))
+    assert {r.id: r.pivot for r in around.collect()} == {i: int(min(np.flatnonzero(near[i]), key=lambda j: rank[j])) for i in range(len(x))}
+    pivot = {r.id: r.pivot for r in members.collect()}
+    pivots, s = sorted(set(pivot.values())), u @ u.T
+    assert set(pivot) == set(range(len(x))) and all(s[i, p] >= max(s[i, q] for q in pivots) - 1e-6 for i, p in pivot.items())
+    had = files()
+    durable(df.groupBy("id").count(), drop_shuffles=True)
+    time.sleep(1)
+    assert files() <= had
+
+
 def test_links_are_found_from_both_ends(spark, monkeypatch):
     """A row between two far groups is linked to a row of each; whatever the centroids, no link is missed."""
     r = np.random.default_rng(3)
